@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.functions.timeutil import naive_utc
+import datetime as dt
+
+from lumenfold.operators import metrics as M
 from lumenfold.operators.anomalies import anomalies
+from lumenfold.operators.cohorts import cohort_review
 from lumenfold.operators.daily import daily_metrics
 from lumenfold.operators.funnel import funnel
 from lumenfold.operators.players import player_summary
@@ -68,6 +72,56 @@ def q_anomalies_hourly_burst(spark, sf_dir):
     return naive_utc(anomalies(_silver_cols(spark, sf_dir), burst_unit="hour", burst_over=2))
 
 
+def q_funnel_overall(spark, sf_dir):
+    return M.funnel_overall(funnel(_silver_cols(spark, sf_dir)))
+
+
+def q_newest_anomalies(spark, sf_dir):
+    return naive_utc(M.newest_anomalies(anomalies(_silver_cols(spark, sf_dir))))
+
+
+def q_latest_day(spark, sf_dir):
+    s = _silver_cols(spark, sf_dir)
+    return M.latest_day(daily_metrics(s, sessions(s)))
+
+
+def q_players_top(spark, sf_dir):
+    s = _silver_cols(spark, sf_dir)
+    return M.players(player_summary(s, sessions(s)))
+
+
+def q_retention_rows(spark, sf_dir):
+    return M.retention_rows(retention(_silver_cols(spark, sf_dir)))
+
+
+def q_latest_cohort_retention(spark, sf_dir):
+    return M.latest_cohort_retention(retention(_silver_cols(spark, sf_dir)))
+
+
+def q_timeline_busiest_player(spark, sf_dir):
+    s = _silver_cols(spark, sf_dir)
+    return naive_utc(M.timeline(s, M.busiest_player(s)))
+
+
+COHORT_AS_OF = dt.date(2024, 1, 5)
+
+
+def q_cohort_retention(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir), platform="pc", as_of=COHORT_AS_OF).retention
+
+
+def q_cohort_totals(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir), platform="pc", as_of=COHORT_AS_OF).totals
+
+
+def q_cohort_retention_watermark(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir)).retention
+
+
+def q_cohort_totals_watermark(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir)).totals
+
+
 QUERIES: dict[str, Query] = {
     "silver": q_silver,
     "sessions": q_sessions,
@@ -78,4 +132,15 @@ QUERIES: dict[str, Query] = {
     "player_summary_churn1": q_player_summary_churn1,
     "anomalies": q_anomalies,
     "anomalies_hourly_burst": q_anomalies_hourly_burst,
+    "funnel_overall": q_funnel_overall,
+    "newest_anomalies": q_newest_anomalies,
+    "latest_day": q_latest_day,
+    "players_top": q_players_top,
+    "retention_rows": q_retention_rows,
+    "latest_cohort_retention": q_latest_cohort_retention,
+    "timeline_busiest_player": q_timeline_busiest_player,
+    "cohort_retention": q_cohort_retention,
+    "cohort_totals": q_cohort_totals,
+    "cohort_retention_watermark": q_cohort_retention_watermark,
+    "cohort_totals_watermark": q_cohort_totals_watermark,
 }
