@@ -24,7 +24,8 @@ from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver, silver_columns
 from lumenfold.session import ensure_utc
-from lumenfold.sources.adapters import load_bronze
+from lumenfold.operators.ingest import bronze_rows, quarantine_rows, reason_summary, receipt_counts, route
+from lumenfold.sources.adapters import RAW_BATCH_ID, load_bronze, load_raw_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +123,35 @@ def q_cohort_totals_watermark(spark, sf_dir):
     return cohort_review(_silver_cols(spark, sf_dir)).totals
 
 
+def _routed(spark, sf_dir):
+    return route(load_raw_lines(ensure_utc(spark), sf_dir))
+
+
+def q_ingest_quarantine(spark, sf_dir):
+    return quarantine_rows(_routed(spark, sf_dir)).select(
+        "quarantine_id", "batch_id", "line_number", "reason_code", "details"
+    )
+
+
+def q_ingest_receipt(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return receipt_counts(_routed(spark, sf_dir)).select(F.lit(RAW_BATCH_ID).alias("batch_id"), "*")
+
+
+def q_quarantine_reasons(spark, sf_dir):
+    return reason_summary(quarantine_rows(_routed(spark, sf_dir)))
+
+
+def q_ingest_bronze(spark, sf_dir):
+    return naive_utc(bronze_rows(_routed(spark, sf_dir)).drop("raw_payload"))
+
+
+def q_summary(spark, sf_dir):
+    routed = _routed(spark, sf_dir)
+    return M.summary(bronze_rows(routed), quarantine_rows(routed))
+
+
 QUERIES: dict[str, Query] = {
     "silver": q_silver,
     "sessions": q_sessions,
@@ -143,4 +173,9 @@ QUERIES: dict[str, Query] = {
     "cohort_totals": q_cohort_totals,
     "cohort_retention_watermark": q_cohort_retention_watermark,
     "cohort_totals_watermark": q_cohort_totals_watermark,
+    "ingest_quarantine": q_ingest_quarantine,
+    "ingest_receipt": q_ingest_receipt,
+    "quarantine_reasons": q_quarantine_reasons,
+    "ingest_bronze": q_ingest_bronze,
+    "summary": q_summary,
 }

@@ -43,6 +43,9 @@ def build_session(
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor.
+        conf["spark.driver.memory"] = os.environ.get("LUMENFOLD_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

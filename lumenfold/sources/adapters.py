@@ -42,12 +42,14 @@ def _mapped_type(source: Column) -> Column:
     return expr
 
 
-def contract_columns(events: DataFrame) -> DataFrame:
-    """Typed v1 envelope columns (event_id .. reason) from driver events."""
+def contract_columns(events: DataFrame, keep=(), keep_as=()) -> DataFrame:
+    """Typed v1 envelope columns (event_id .. reason) from driver events;
+    ``keep`` source columns are carried along under the ``keep_as`` names."""
     k = F.get_json_object("props", "$.k").cast("int")
     etype = _mapped_type(F.col("event_type"))
     event_time = F.col("ts").cast("timestamp")
     return events.select(
+        *[F.col(c).alias(a) for c, a in zip(keep, keep_as)],
         F.concat(F.lit("evt_"), F.lpad(F.lower(F.hex("event_id")), 16, "0")).alias("event_id"),
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.concat(F.lit("ply_"), F.lpad(F.lower(F.hex("user_id")), 12, "0")).alias("player_id"),
@@ -83,3 +85,62 @@ def bronze_from_events(events: DataFrame, batch_id: str = ADAPTER_BATCH_ID) -> D
 
 def load_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze_from_events(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
+
+
+# Fixed corruption plan for raw lines (checked in this precedence order).
+CORRUPT_INVALID_JSON = 97  # line is not JSON
+CORRUPT_NOT_OBJECT = 89  # root is an array
+CORRUPT_SENSITIVE_KEY = 83  # extra "contact_email" key with an e-mail value
+CORRUPT_BAD_ID = 79  # event_id not matching the contract pattern
+CORRUPT_PHONE_VALUE = 71  # phone number inside properties.reason
+CORRUPT_DUPLICATE = 73  # the line is emitted twice
+RAW_BATCH_ID = "events-raw"
+ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
+
+
+def raw_event_lines(events: DataFrame, batch_id: str = RAW_BATCH_ID) -> DataFrame:
+    """Canonical NDJSON lines ``(batch_id, line_number, raw)`` for the driver
+    events, with deterministic corruptions keyed on the integer event id.
+
+    Line numbers are ``2 * id + 1`` (``+ 1`` for a duplicate's second copy);
+    the gaps behave like blank lines. Pure projection + explode: no shuffle.
+    """
+    typed = contract_columns(events, keep=("event_id",), keep_as=("src_id",))
+    sid = F.col("src_id")
+    reason = F.when(sid % CORRUPT_PHONE_VALUE == 0, F.lit("call 619-555-0101"))
+    record = typed.select(
+        "src_id",
+        F.when(sid % CORRUPT_SENSITIVE_KEY == 0, F.lit("player@example.test")).alias("contact_email"),
+        F.when(sid % CORRUPT_BAD_ID == 0, F.upper("event_id")).otherwise(F.col("event_id")).alias("event_id"),
+        F.date_format("event_time", ISO_UTC).alias("event_time"),
+        "event_type",
+        "game_version",
+        "platform",
+        "player_id",
+        F.struct(
+            F.col("amount_cents").alias("amount_cents"),
+            F.col("currency").alias("currency"),
+            F.col("level").alias("level"),
+            reason.alias("reason"),
+        ).alias("properties"),
+        F.date_format("received_at", ISO_UTC).alias("received_at"),
+        F.col("schema_version"),
+    )
+    from lumenfold.sources.ndjson import canonical_json  # local: avoids an import cycle
+
+    body = canonical_json(record.drop("src_id"))
+    raw = (
+        F.when(sid % CORRUPT_INVALID_JSON == 0, F.concat(F.lit('{"event_id": broken '), sid.cast("string")))
+        .when(sid % CORRUPT_NOT_OBJECT == 0, F.concat(F.lit("["), sid.cast("string"), F.lit("]")))
+        .otherwise(body)
+    )
+    copies = F.when(sid % CORRUPT_DUPLICATE == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return record.select(sid, raw.alias("raw"), F.explode(copies).alias("copy")).select(
+        F.lit(batch_id).alias("batch_id"),
+        (F.col("src_id") * 2 + 1 + F.col("copy")).cast("bigint").alias("line_number"),
+        "raw",
+    )
+
+
+def load_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_event_lines(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
