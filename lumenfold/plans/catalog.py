@@ -24,6 +24,10 @@ from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver, silver_columns
 from lumenfold.session import ensure_utc
+from lumenfold.functions.hashing import pseudonymize
+from lumenfold.operators.audit import constraint_audit
+from lumenfold.operators.privacy import scan_text
+from lumenfold.sources.tables import read_table
 from lumenfold.operators.ingest import bronze_rows, quarantine_rows, reason_summary, receipt_counts, route
 from lumenfold.sources.adapters import RAW_BATCH_ID, load_bronze, load_raw_lines
 
@@ -152,6 +156,44 @@ def q_summary(spark, sf_dir):
     return M.summary(bronze_rows(routed), quarantine_rows(routed))
 
 
+PSEUDONYM_SECRET = "lumenfold-example-secret-2024"
+
+
+def q_documents_privacy(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return scan_text(docs, ["doc_id"], "text")
+
+
+def q_conversations_privacy(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    return scan_text(conv, ["conv_id", "turn"], "text")
+
+
+def q_customer_pseudonyms(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    return cust.select("c_custkey", pseudonymize(F.col("c_name"), PSEUDONYM_SECRET).alias("player_id"))
+
+
+def q_orders_audit(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    customer = read_table(spark, sf_dir, "customer", ["c_custkey"])
+    return constraint_audit(
+        orders,
+        "orders",
+        primary_key=["o_orderkey"],
+        not_null=["o_custkey", "o_orderdate"],
+        checks={
+            "check:o_totalprice>=0": F.col("o_totalprice") >= 0,
+            "check:o_orderstatus_enum": F.col("o_orderstatus").isin("O", "F", "P"),
+        },
+        foreign_keys=[(["o_custkey"], customer, ["c_custkey"], "foreign_key:o_custkey->customer")],
+    )
+
+
 QUERIES: dict[str, Query] = {
     "silver": q_silver,
     "sessions": q_sessions,
@@ -178,4 +220,8 @@ QUERIES: dict[str, Query] = {
     "quarantine_reasons": q_quarantine_reasons,
     "ingest_bronze": q_ingest_bronze,
     "summary": q_summary,
+    "documents_privacy": q_documents_privacy,
+    "conversations_privacy": q_conversations_privacy,
+    "customer_pseudonyms": q_customer_pseudonyms,
+    "orders_audit": q_orders_audit,
 }
