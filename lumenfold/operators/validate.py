@@ -259,6 +259,14 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         .when(doc.isNull() | (F.size("codes") > 0), F.lit("contract_violation"))
     )
     staged = staged.withColumn("reason_code", reason)
+    if strict_duplicates:
+        # Strict input (A11): a line that *is* JSON but has duplicate keys,
+        # non-finite numbers or a non-object root refuses the whole input.
+        staged = staged.withColumn(
+            "strict_refused",
+            (doc.isNotNull() & (~F.col("dup_free") | ~F.col("object_root")))
+            | (F.coalesce(insp.parsed, F.lit(False)) & insp.refused.isNotNull()),
+        )
     rc = F.col("reason_code")
     details = (
         F.when(rc == "invalid_json", F.lit("line is not one well-formed JSON value"))
@@ -292,7 +300,7 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         "reason_code",
         F.substring(details, 1, MAX_DETAIL_CHARS).alias("details"),
         *[typed[c].alias(c) for c in TYPED_COLUMNS],
-        *(["dup_free", "insp"] if strict_duplicates else []),
+        *(["strict_refused"] if strict_duplicates else []),
     )
     return out.withColumn(
         "is_late",
