@@ -17,17 +17,22 @@ from lumenfold.operators.validate import validate
 from lumenfold.schema import BRONZE_COLUMNS, MAX_RAW_PAYLOAD_CHARS
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared
-    ``spark.checkpoint.dir`` (survives executor loss; never a local folder).
+def materialize(df: DataFrame, location: str | None = None) -> DataFrame:
+    """Cut the lineage with a Parquet table written once into the cluster's
+    shared ``spark.checkpoint.dir`` (or ``location``) and read back.
 
     The validated batch is read three to four times (bronze, quarantine,
-    counts, duplicate check); materialising it once also keeps the optimiser
-    from pushing routing predicates into the per-rule expressions."""
-    from lumenfold.session import ensure_checkpoint_dir
+    counts, duplicate check); one columnar write replaces re-parsing it, the
+    table survives executor loss, and the optimiser sees a plain scan (so
+    routing predicates are pushed into Parquet instead of into the per-rule
+    expressions). ``DataFrame.checkpoint`` would compute the plan twice."""
+    import uuid
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from lumenfold.session import checkpoint_dir
+
+    path = location or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lumenfold-stage-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def route(

@@ -137,7 +137,8 @@ def _stage_values(df: DataFrame) -> DataFrame:
     for name in _TS_FIELDS:
         values[f"x_{name}"] = F.when(F.col(f"t_{name}") == "STRING", F.try_variant_get(doc, paths[name], "string"))
         values[f"n_{name}"] = F.try_variant_get(doc, paths[name], "double")
-    values["root_keys"] = F.json_object_keys(F.to_json(doc))
+    # Top-level keys straight from the line (it is valid JSON whenever doc is).
+    values["root_keys"] = F.json_object_keys(F.col("raw"))
     values["prop_keys"] = F.json_object_keys(F.to_json(F.try_variant_get(doc, "$.properties", "variant")))
     return df.withColumns(values)
 
@@ -214,7 +215,9 @@ def _stage_codes(df: DataFrame) -> DataFrame:
             "purchase:amount_and_currency_required",
         )
     )
-    codes = F.array_distinct(F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in rules])))
+    # concat_ws skips NULLs and stays inside whole-stage codegen (array_compact
+    # is a lambda filter, which is not). Codes hold no commas or quotes.
+    codes = F.concat_ws(",", *[F.when(cond, F.lit(code)) for cond, code in rules])
     return df.withColumn("codes", codes)
 
 
@@ -240,7 +243,7 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
     parsed = parse_lines(lines, strict_duplicates)
     doc = F.col("doc")
     staged = parsed.withColumn("object_root", F.col("raw").rlike(r"\A[ \t\n\r]*\{"))
-    needs_python = doc.isNull() | (F.col("object_root") & candidate(F.to_json(doc)))
+    needs_python = doc.isNull() | (F.col("object_root") & candidate(F.col("raw")))
     staged = staged.withColumn("insp", inspect_json(F.when(needs_python, F.col("raw"))))
     staged = _stage_codes(_stage_timestamps(_stage_values(_stage_types(staged))))
     insp = F.col("insp")
@@ -256,7 +259,7 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         F.when(~F.col("_parsed"), F.lit("invalid_json"))
         .when(~F.col("_object"), F.lit("invalid_shape"))
         .when(F.col("_privacy").isNotNull(), F.lit("privacy_violation"))
-        .when(doc.isNull() | (F.size("codes") > 0), F.lit("contract_violation"))
+        .when(doc.isNull() | (F.col("codes") != ""), F.lit("contract_violation"))
     )
     staged = staged.withColumn("reason_code", reason)
     if strict_duplicates:
@@ -274,7 +277,9 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         .when(rc == "privacy_violation", F.col("_privacy"))
         .when(
             rc == "contract_violation",
-            F.when(doc.isNull(), F.lit('["json:non_finite_or_unsupported_value"]')).otherwise(F.to_json("codes")),
+            F.when(doc.isNull(), F.lit('["json:non_finite_or_unsupported_value"]')).otherwise(
+                F.concat(F.lit('["'), F.regexp_replace("codes", ",", '","'), F.lit('"]'))
+            ),
         )
     )
     typed = {

@@ -194,6 +194,30 @@ def q_orders_audit(spark, sf_dir):
     )
 
 
+def q_cohort_header(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir), platform="pc", as_of=COHORT_AS_OF).header
+
+
+def q_events_audit(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    bronze = load_bronze(ensure_utc(spark), sf_dir)
+    return constraint_audit(
+        bronze,
+        "bronze_events",
+        primary_key=["event_id"],
+        not_null=["event_id", "player_id", "event_type", "event_time", "received_at"],
+        checks={
+            "check:schema_version=1": F.col("schema_version") == 1,
+            "check:received_at>=event_time": F.col("received_at") >= F.col("event_time"),
+            "check:event_type_enum": F.col("event_type").isin(
+                "session_start", "level_start", "level_complete", "purchase", "reset"
+            ),
+            "check:amount_range": F.col("amount_cents").between(0, 100000),
+        },
+    )
+
+
 QUERIES: dict[str, Query] = {
     "silver": q_silver,
     "sessions": q_sessions,
@@ -224,4 +248,6 @@ QUERIES: dict[str, Query] = {
     "conversations_privacy": q_conversations_privacy,
     "customer_pseudonyms": q_customer_pseudonyms,
     "orders_audit": q_orders_audit,
+    "cohort_header": q_cohort_header,
+    "events_audit": q_events_audit,
 }

@@ -42,6 +42,9 @@ def build_session(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Keep generated methods small enough for the JIT (8000 bytecodes);
+        # larger ones would run interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if master and master.startswith("local"):
         # Local mode: the driver JVM is the only executor.
