@@ -51,7 +51,7 @@ from lumenfold.schema import (
     RECEIPTS,
 )
 from lumenfold.session import ensure_utc
-from lumenfold.sources.ndjson import file_digests, lines_digest, read_ndjson, records_to_lines
+from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, records_to_lines
 
 RECEIPT_LISTING_LIMIT = 100
 EXPORT_SCOPE = "current global gold tables; cohort review filters are separate"
@@ -197,10 +197,19 @@ class Warehouse:
             size = file_digests(self.spark, path).agg(F.sum("length")).first()[0] or 0
             if size == 0 or size > self.limits.max_input_bytes:
                 raise InputRefused("input must be non-empty and within the byte limit")
-        lines, bad, checksum = read_ndjson(self.spark, path, batch_id)
+        return self.ingest_files(self.spark.read.format("binaryFile").load(path), batch_id, strict)
+
+    def ingest_files(self, files: DataFrame, batch_id: str, strict: bool = False) -> IngestionResult:
+        """Ingest ``binaryFile`` rows as one batch (also used per micro-batch by
+        ``streaming.file_ingest``). Lines are numbered per file; a multi-file
+        batch is keyed by the sorted per-file digests."""
+        lines, bad, checksum = lines_from_files(files, batch_id)
         if bad.limit(1).count() > 0:
             raise UnicodeDecodeError("utf-8", b"", 0, 1, "source is not valid UTF-8")
-        return self.ingest_lines(lines, batch_id, checksum.first()["source_sha256"], strict)
+        digest = checksum.first()["source_sha256"]
+        if digest is None:
+            raise InputRefused("no input files")
+        return self.ingest_lines(lines, batch_id, digest, strict)
 
     def ingest_records(self, records: DataFrame, batch_id: str, order_by: list[str]) -> IngestionResult:
         """A3: records serialised canonically (sorted keys), numbered by ``order_by``."""

@@ -55,36 +55,49 @@ def split_lines(text_col: str = "text") -> F.Column:
     ).when(ends_with_break, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def read_ndjson(spark: SparkSession, path: str, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Return ``(lines, invalid_utf8_files, checksum)``.
+def lines_from_files(files: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split ``binaryFile`` rows ``(path, content)`` into numbered lines.
 
-    ``lines`` has (batch_id, source_file, line_number, raw) for non-blank
-    lines; blank lines are skipped but still counted in the numbering.
-    ``invalid_utf8_files`` must be empty before anything is written.
+    Returns ``(lines, invalid_utf8_files, checksum)``: ``lines`` has
+    (batch_id, source_file, line_number, raw) for non-blank lines (blank
+    lines are skipped but still counted); ``invalid_utf8_files`` must be empty
+    before anything is written; ``checksum`` is one row ``source_sha256``.
     """
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("source_file"), "content"
-    )
     decoded = files.select(
-        "source_file",
+        F.col("path").alias("source_file"),
         F.col("content").cast("string").alias("text"),
         F.sha2(F.col("content"), 256).alias("sha256"),
     )
     bad = decoded.filter(~F.is_valid_utf8("text")).select("source_file")
-    lines = decoded.select(
-        F.lit(batch_id).alias("batch_id"),
-        "source_file",
-        F.posexplode(split_lines("text")).alias("pos", "raw"),
-    ).select(
-        "batch_id",
+    # Files of one batch are numbered consecutively in path order: each file's
+    # offset is the line count of the files before it (one row per file).
+    counts = decoded.select("source_file", F.size(split_lines("text")).alias("_n"))
+    offsets = counts.select(
         "source_file",
-        (F.col("pos") + 1).cast("bigint").alias("line_number"),
-        "raw",
+        F.coalesce(
+            F.sum("_n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("_offset"),
+    )
+    lines = (
+        decoded.select("source_file", F.posexplode(split_lines("text")).alias("pos", "raw"))
+        .join(F.broadcast(offsets), "source_file")
+        .select(
+            F.lit(batch_id).alias("batch_id"),
+            "source_file",
+            (F.col("_offset") + F.col("pos") + 1).cast("bigint").alias("line_number"),
+            "raw",
+        )
     )
     checksum = batch_checksum(decoded.select("sha256"))
     return lines.filter(F.col("raw").rlike(NON_BLANK)), bad, checksum
 
 
+def read_ndjson(spark: SparkSession, path: str, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A1: NDJSON file(s) at ``path`` (see ``lines_from_files``)."""
+    return lines_from_files(spark.read.format("binaryFile").load(path), batch_id)
+
+
 def number_rows(df: DataFrame, out_col: str = "line_number") -> DataFrame:
     """Consecutive 1-based numbers in the DataFrame's current row order.
 
