@@ -58,52 +58,76 @@ def add_sequence(
     )
 
 
-def add_session_number(
+def session_fragments(
     df: DataFrame,
     gap_minutes: int,
+    aggs: dict[str, Column],
     out_col: str = "session_number",
     key: str = "player_id",
     time_col: str = "event_time",
     tie_col: str = "event_id",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
-    """Running count of session starts per player in (time, tie) order.
-
-    A row starts a session when it is the player's first row or when the
-    minute-boundary difference to the previous row is >= ``gap_minutes``.
+    """Session *fragments* with their per-player session number.
+
+    A fragment is the part of one session inside one (player, bucket). Rows
+    are shuffled once by (player, bucket) and scanned in (time, tie) order to
+    cut fragments at inner gaps; ``aggs`` (partial aggregates, e.g. counts)
+    are folded per fragment right there, so no further stage touches rows.
+    Fragments are then ordered per player: a fragment starts a session unless
+    it is the first of its bucket and the previous bucket's last event is less
+    than ``gap_minutes`` minute boundaries earlier. The number of fragments per
+    player is bounded by its time span / gap plus its bucket count, not by its
+    event volume, so even a player with a third of all rows stays small here.
+    Output: key, bucket, ``_frag``, ``_first``, ``_last``, the ``aggs``
+    columns and ``out_col``.
     """
     b = with_bucket(df, time_col, bucket_seconds)
     fine = _fine_window(key, time_col, tie_col)
     prev = F.lag(time_col).over(fine)
     inner_begin = F.when(prev.isNotNull() & (minute_diff(prev, F.col(time_col)) >= gap_minutes), 1).otherwise(0)
     local = b.withColumn("_inner_begin", inner_begin).withColumn(
-        "_local_sessions", F.sum("_inner_begin").over(fine.rowsBetween(Window.unboundedPreceding, 0))
+        "_frag", F.sum("_inner_begin").over(fine.rowsBetween(Window.unboundedPreceding, 0))
     )
-    summary = local.groupBy(key, BUCKET).agg(
-        F.min(time_col).alias("_first_t"),
-        F.max(time_col).alias("_last_t"),
-        F.sum("_inner_begin").alias("_inner_n"),
+    # Same (key, bucket) clustering as the window: no exchange for this aggregate.
+    frags = local.groupBy(key, BUCKET, "_frag").agg(
+        F.min(time_col).alias("_first"),
+        F.max(time_col).alias("_last"),
+        *[expr.alias(name) for name, expr in aggs.items()],
     )
-    sw = _summary_window(key)
-    prev_last = F.lag("_last_t").over(sw)
-    first_begins = F.when(
-        prev_last.isNull() | (minute_diff(prev_last, F.col("_first_t")) >= gap_minutes), 1
+    fw = Window.partitionBy(key).orderBy(BUCKET, "_frag")
+    prev_last = F.lag("_last").over(fw)
+    begins = F.when(
+        (F.col("_frag") > 0) | prev_last.isNull() | (minute_diff(prev_last, F.col("_first")) >= gap_minutes), 1
     ).otherwise(0)
-    carried = summary.withColumn("_first_begins", first_begins).select(
-        key,
-        BUCKET,
-        (
-            F.coalesce(
-                F.sum(F.col("_first_begins") + F.col("_inner_n")).over(
-                    sw.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            )
-            + F.col("_first_begins")
-        ).alias("_base"),
-    )
-    return (
-        local.join(carried, [key, BUCKET], "inner")
-        .withColumn(out_col, (F.col("_base") + F.col("_local_sessions")).cast("bigint"))
-        .drop("_base", "_local_sessions", "_inner_begin", BUCKET)
+    return frags.withColumn("_begins", begins).withColumn(
+        out_col, F.sum("_begins").over(fw.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
+    ).drop("_begins")
+
+
+def add_session_number(
+    df: DataFrame,
+    gap_minutes: int,
+    out_col: str = "session_number",
+    key: str = "player_id",
+    time_col: str = "event_time",
+    tie_col: str = "event_id",
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Per-row running count of session starts per player in (time, tie) order
+    (a row starts a session when it is the player's first row or when >=
+    ``gap_minutes`` minute boundaries separate it from the previous row).
+
+    Rows keep their (key, bucket) partitioning; only the fragment numbers
+    (small) move to meet them."""
+    b = with_bucket(df, time_col, bucket_seconds)
+    fine = _fine_window(key, time_col, tie_col)
+    prev = F.lag(time_col).over(fine)
+    inner_begin = F.when(prev.isNotNull() & (minute_diff(prev, F.col(time_col)) >= gap_minutes), 1).otherwise(0)
+    local = b.withColumn("_inner_begin", inner_begin).withColumn(
+        "_frag", F.sum("_inner_begin").over(fine.rowsBetween(Window.unboundedPreceding, 0))
     )
+    numbers = session_fragments(
+        df.select(key, time_col, tie_col), gap_minutes, {}, out_col, key, time_col, tie_col, bucket_seconds
+    ).select(key, BUCKET, "_frag", out_col)
+    return local.join(numbers, [key, BUCKET, "_frag"], "inner").drop("_inner_begin", "_frag", BUCKET)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.timeutil import second_diff
-from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, add_session_number
+from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, session_fragments
 from lumenfold.schema import SESSION_GAP_MINUTES
 
 
@@ -18,21 +18,30 @@ def sessions(
     """One row per (player, session). A session starts at a player's first event
     or when >= ``gap_minutes`` minute boundaries separate consecutive events.
 
-    The final aggregate is a hash aggregate with map-side partial merge, so a
-    single very long session does not concentrate raw rows in one task.
+    Rows are shuffled once (by player and UTC day); per-session measures are
+    folded into fragments in that stage and fragments are merged per
+    (player, session_number) on the player partitioning the fragment window
+    already produced -- no second exchange of rows.
     """
-    numbered = add_session_number(
+    etype = F.col("event_type")
+    frags = session_fragments(
         silver.select("player_id", "event_id", "event_time", "event_type", "is_late"),
         gap_minutes,
+        {
+            "_n": F.count(F.lit(1)),
+            "_completed": F.count_if(etype == "level_complete"),
+            "_purchases": F.count_if(etype == "purchase"),
+            "_late": F.bool_or("is_late"),
+        },
         bucket_seconds=bucket_seconds,
     )
-    agg = numbered.groupBy("player_id", "session_number").agg(
-        F.min("event_time").alias("session_started_at"),
-        F.max("event_time").alias("session_ended_at"),
-        F.count(F.lit(1)).alias("event_count"),
-        F.count_if(F.col("event_type") == "level_complete").alias("levels_completed"),
-        F.count_if(F.col("event_type") == "purchase").alias("purchases"),
-        F.bool_or("is_late").alias("contains_late_event"),
+    agg = frags.groupBy("player_id", "session_number").agg(
+        F.min("_first").alias("session_started_at"),
+        F.max("_last").alias("session_ended_at"),
+        F.sum("_n").alias("event_count"),
+        F.sum("_completed").alias("levels_completed"),
+        F.sum("_purchases").alias("purchases"),
+        F.bool_or("_late").alias("contains_late_event"),
     )
     return agg.select(
         F.concat(
@@ -43,8 +52,8 @@ def sessions(
         "session_started_at",
         "session_ended_at",
         second_diff("session_started_at", "session_ended_at").alias("duration_seconds"),
-        "event_count",
-        "levels_completed",
-        "purchases",
+        F.col("event_count").cast("bigint").alias("event_count"),
+        F.col("levels_completed").cast("bigint").alias("levels_completed"),
+        F.col("purchases").cast("bigint").alias("purchases"),
         "contains_late_event",
     )
