@@ -69,9 +69,15 @@ def _sentinel_parse(raw: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
-    """Add ``doc`` (VARIANT, duplicate keys: last wins) and, when asked,
-    ``dup_free`` (parse with duplicate keys refused, at any depth)."""
-    out = _with_dup_setting(lines, True, lambda d: d.withColumn("doc", _sentinel_parse(F.col("raw"))))
+    """Add ``doc_ok`` (the line is exactly one JSON value; duplicate keys
+    allowed, last wins) and, when asked, ``dup_free`` (the same with
+    duplicate keys refused, at any depth). Only the verdicts are kept: the
+    typed fields come from one ``from_json`` pass, and carrying the parsed
+    document would make every later row copy (e.g. the Python stage's input
+    buffer) pay for it."""
+    out = _with_dup_setting(
+        lines, True, lambda d: d.withColumn("doc_ok", _sentinel_parse(F.col("raw")).isNotNull())
+    )
     if strict_duplicates:
         out = _with_dup_setting(
             out, False, lambda d: d.withColumn("dup_free", _sentinel_parse(F.col("raw")).isNotNull())
@@ -90,32 +96,41 @@ _PROP_STR_FIELDS = ("currency", "reason")
 _TS_FIELDS = ("event_time", "received_at")
 
 
-def _paths() -> dict[str, str]:
-    p = {name: f"$.{name}" for name in (*_STR_FIELDS, *_TS_FIELDS, "schema_version", "properties")}
-    p.update({name: f"$.properties.{name}" for name in (*_PROP_INT_FIELDS, *_PROP_STR_FIELDS)})
-    return p
+_ENVELOPE_VARIANTS = (*_STR_FIELDS, *_TS_FIELDS, "schema_version", "properties")
+_ENVELOPE_SCHEMA = ", ".join(f"{name} variant" for name in _ENVELOPE_VARIANTS)
 
 
 def _stage_types(df: DataFrame) -> DataFrame:
-    """Variant type name per field (NULL when absent, VOID for an explicit null)."""
-    doc = F.col("doc")
-    return df.withColumns(
-        {f"t_{name}": F.schema_of_variant(F.try_variant_get(doc, path, "variant")) for name, path in _paths().items()}
-    )
+    """One ``from_json`` pass splits the envelope into small per-field VARIANTs
+    (duplicate keys: last wins; explicit null -> VOID; absent -> NULL), then a
+    type name per field. Navigating small variants is far cheaper than
+    path lookups into the whole document."""
+    # Parse once into its own column: selecting fields straight out of the
+    # from_json call would let the optimiser split it into one pruned parse
+    # per field (13 parses of the same line).
+    df = df.withColumn("_env", F.from_json(F.col("raw"), _ENVELOPE_SCHEMA))
+    df = df.withColumns({f"f_{name}": F.col("_env")[name] for name in _ENVELOPE_VARIANTS}).drop("_env")
+    props = {
+        f"f_{name}": F.try_variant_get(F.col("f_properties"), f"$.{name}", "variant")
+        for name in (*_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
+    }
+    df = df.withColumns(props)
+    names = (*_ENVELOPE_VARIANTS, *_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
+    return df.withColumns({f"t_{name}": F.schema_of_variant(F.col(f"f_{name}")) for name in names})
 
 
-def _int_value(doc: Column, path: str, t: Column) -> Column:
+def _int_value(v: Column, t: Column) -> Column:
     """Lax integer coercion: integral numbers, booleans and integral numeric
     text are accepted; fractions are not."""
-    dbl = F.try_variant_get(doc, path, "double")
-    txt = F.trim(F.try_variant_get(doc, path, "string"))
+    dbl = v.try_cast("double")
+    txt = F.trim(v.try_cast("string"))
     return (
-        F.when(t.isin(*_INT_TYPES), F.try_variant_get(doc, path, "bigint"))
+        F.when(t.isin(*_INT_TYPES), v.try_cast("bigint"))
         .when(
             t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
             F.when(dbl == F.floor(dbl), dbl.try_cast("bigint")),
         )
-        .when(t == "BOOLEAN", F.when(F.try_variant_get(doc, path, "boolean"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+        .when(t == "BOOLEAN", F.when(v.try_cast("boolean"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
         .when((t == "STRING") & txt.rlike(_INT_TEXT), F.regexp_extract(txt, r"^([+-]?[0-9]+)", 1).try_cast("bigint"))
     )
 
@@ -127,19 +142,18 @@ def _epoch_to_ts(seconds_or_ms: Column) -> Column:
 
 def _stage_values(df: DataFrame) -> DataFrame:
     """Raw typed values; NULL when absent, null or of the wrong JSON type."""
-    doc = F.col("doc")
-    paths = _paths()
     values: dict[str, Column] = {}
     for name in (*_STR_FIELDS, *_PROP_STR_FIELDS):
-        values[f"v_{name}"] = F.when(F.col(f"t_{name}") == "STRING", F.try_variant_get(doc, paths[name], "string"))
+        values[f"v_{name}"] = F.when(F.col(f"t_{name}") == "STRING", F.col(f"f_{name}").try_cast("string"))
     for name in ("schema_version", *_PROP_INT_FIELDS):
-        values[f"v_{name}"] = _int_value(doc, paths[name], F.col(f"t_{name}"))
+        values[f"v_{name}"] = _int_value(F.col(f"f_{name}"), F.col(f"t_{name}"))
     for name in _TS_FIELDS:
-        values[f"x_{name}"] = F.when(F.col(f"t_{name}") == "STRING", F.try_variant_get(doc, paths[name], "string"))
-        values[f"n_{name}"] = F.try_variant_get(doc, paths[name], "double")
+        f = F.col(f"f_{name}")
+        values[f"x_{name}"] = F.when(F.col(f"t_{name}") == "STRING", f.try_cast("string"))
+        values[f"n_{name}"] = f.try_cast("double")
     # Top-level keys straight from the line (it is valid JSON whenever doc is).
     values["root_keys"] = F.json_object_keys(F.col("raw"))
-    values["prop_keys"] = F.json_object_keys(F.to_json(F.try_variant_get(doc, "$.properties", "variant")))
+    values["prop_keys"] = F.json_object_keys(F.to_json(F.col("f_properties")))
     return df.withColumns(values)
 
 
@@ -241,16 +255,16 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
     """Per-line verdict: ``reason_code``/``details`` for the first failed stage
     (NULL when the line is contract-valid) plus typed columns and ``is_late``."""
     parsed = parse_lines(lines, strict_duplicates)
-    doc = F.col("doc")
+    doc_ok = F.col("doc_ok")
     staged = parsed.withColumn("object_root", F.col("raw").rlike(r"\A[ \t\n\r]*\{"))
-    needs_python = doc.isNull() | (F.col("object_root") & candidate(F.col("raw")))
+    needs_python = ~doc_ok | (F.col("object_root") & candidate(F.col("raw")))
     staged = staged.withColumn("insp", inspect_json(F.when(needs_python, F.col("raw"))))
     staged = _stage_codes(_stage_timestamps(_stage_values(_stage_types(staged))))
     insp = F.col("insp")
     staged = staged.withColumns(
         {
-            "_parsed": doc.isNotNull() | F.coalesce(insp.parsed, F.lit(False)),
-            "_object": F.when(doc.isNotNull(), F.col("object_root")).otherwise(
+            "_parsed": doc_ok | F.coalesce(insp.parsed, F.lit(False)),
+            "_object": F.when(doc_ok, F.col("object_root")).otherwise(
                 F.coalesce(insp.is_object, F.lit(False))
             ),
         }
@@ -259,7 +273,7 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         F.when(~F.col("_parsed"), F.lit("invalid_json"))
         .when(~F.col("_object"), F.lit("invalid_shape"))
         .when(F.col("_privacy").isNotNull(), F.lit("privacy_violation"))
-        .when(doc.isNull() | (F.col("codes") != ""), F.lit("contract_violation"))
+        .when(~doc_ok | (F.col("codes") != ""), F.lit("contract_violation"))
     )
     staged = staged.withColumn("reason_code", reason)
     if strict_duplicates:
@@ -267,7 +281,7 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         # non-finite numbers or a non-object root refuses the whole input.
         staged = staged.withColumn(
             "strict_refused",
-            (doc.isNotNull() & (~F.col("dup_free") | ~F.col("object_root")))
+            (doc_ok & (~F.col("dup_free") | ~F.col("object_root")))
             | (F.coalesce(insp.parsed, F.lit(False)) & insp.refused.isNotNull()),
         )
     rc = F.col("reason_code")
@@ -277,7 +291,7 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         .when(rc == "privacy_violation", F.col("_privacy"))
         .when(
             rc == "contract_violation",
-            F.when(doc.isNull(), F.lit('["json:non_finite_or_unsupported_value"]')).otherwise(
+            F.when(~doc_ok, F.lit('["json:non_finite_or_unsupported_value"]')).otherwise(
                 F.concat(F.lit('["'), F.regexp_replace("codes", ",", '","'), F.lit('"]'))
             ),
         )
