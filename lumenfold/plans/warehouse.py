@@ -50,7 +50,7 @@ from lumenfold.schema import (
     QUARANTINE,
     RECEIPTS,
 )
-from lumenfold.session import ensure_utc
+from lumenfold.session import checkpoint_dir, ensure_utc
 from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, records_to_lines
 
 RECEIPT_LISTING_LIMIT = 100
@@ -160,7 +160,17 @@ class Warehouse:
                 held = self.receipts().agg(F.coalesce(F.sum("received_count"), F.lit(0))).first()[0]
                 if held + n > self.limits.max_warehouse_rows:
                     raise InputRefused("warehouse row budget reached; existing data was preserved")
-        checked = materialize(validate(lines, strict_duplicates=strict))
+        staging = f"{checkpoint_dir(self.spark).rstrip('/')}/lumenfold-stage-{uuid.uuid4().hex}"
+        try:
+            return self._validate_route_commit(lines, batch_id, source_sha256, strict, staging)
+        finally:
+            fs, p = self._fs(staging)
+            fs.delete(p, True)  # the batch's staging table is no longer needed
+
+    def _validate_route_commit(
+        self, lines: DataFrame, batch_id: str, source_sha256: str, strict: bool, staging: str
+    ) -> IngestionResult:
+        checked = materialize(validate(lines, strict_duplicates=strict), staging)
         if strict:
             refused = checked.filter(F.col("strict_refused"))
             if refused.limit(1).count() > 0:

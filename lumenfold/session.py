@@ -87,7 +87,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    # Only reached when the cluster did not name a shared folder (local/tests).
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a shared (cluster-visible) folder for staging tables"
+        )
+    # Local runs and tests only: a private folder on this machine.
     local = tempfile.mkdtemp(prefix="lumenfold-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
