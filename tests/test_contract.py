@@ -129,3 +129,18 @@ def spark_for_hypothesis(spark):
 def test_pseudonym_requires_meaningful_secret():
     with pytest.raises(ValueError, match="16 characters"):
         hmac_pads("short")
+
+
+def test_text_scan_matches_python_rules_on_driver_texts(spark):
+    from conftest import SF01
+    from lumenfold.operators.privacy import _PY_VALUES, scan_text
+
+    for table, keys in (("documents", ["doc_id"]), ("conversations", ["conv_id", "turn"])):
+        df = spark.read.parquet(f"{SF01}/{table}.parquet").select(*keys, "text")
+        got = {tuple(r[k] for k in keys): r["violations"] for r in scan_text(df, keys, "text").collect()}
+        expected = {}
+        for r in df.collect():
+            labels = sorted(f"{label} at text" for label, rx in _PY_VALUES if r["text"] and rx.search(r["text"]))
+            if labels:
+                expected[tuple(r[k] for k in keys)] = "; ".join(labels)
+        assert got == expected, table
