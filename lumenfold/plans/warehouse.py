@@ -255,7 +255,15 @@ class Warehouse:
         version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ") + "-" + uuid.uuid4().hex[:8]
         silver_path = f"{self.silver_root}/v={version}"
         gold = f"{self.gold_root}/v={version}"
-        silver(self.bronze()).write.mode("overwrite").parquet(silver_path)
+        # Rows arrive hash-partitioned by (player, day) from the ordered scan;
+        # sorting within partitions by player clusters Parquet row-group stats,
+        # so player filters (timeline, drill-downs) skip row groups.
+        (
+            silver(self.bronze())
+            .sortWithinPartitions("player_id", "event_time", "event_id")
+            .write.mode("overwrite")
+            .parquet(silver_path)
+        )
         s = self.spark.read.parquet(silver_path)
         sessions(s).write.mode("overwrite").parquet(f"{gold}/gold_sessions")
         sess = self.spark.read.parquet(f"{gold}/gold_sessions")
