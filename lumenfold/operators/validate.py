@@ -251,10 +251,23 @@ TYPED_COLUMNS = (
 )
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Validation is CPU-bound per line; a batch that arrives as one file (or
+    one small table split) would otherwise run in a single task. Inputs with
+    fewer partitions than the default parallelism are spread round-robin
+    (Spark sorts before a round-robin repartition, so retries are
+    deterministic); large inputs already have enough partitions and are left
+    alone."""
+    target = lines.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < target:
+        return lines.repartition(target)
+    return lines
+
+
 def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
     """Per-line verdict: ``reason_code``/``details`` for the first failed stage
     (NULL when the line is contract-valid) plus typed columns and ``is_late``."""
-    parsed = parse_lines(lines, strict_duplicates)
+    parsed = parse_lines(spread(lines), strict_duplicates)
     doc_ok = F.col("doc_ok")
     staged = parsed.withColumn("object_root", F.col("raw").rlike(r"\A[ \t\n\r]*\{"))
     needs_python = ~doc_ok | (F.col("object_root") & candidate(F.col("raw")))
