@@ -36,6 +36,8 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Filter the big side of selective joins (e.g. bronze ids vs one batch).
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or cores),
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
