@@ -96,6 +96,22 @@ _PROP_STR_FIELDS = ("currency", "reason")
 _TS_FIELDS = ("event_time", "received_at")
 
 
+_EXPR_CACHE: dict = {}
+
+
+def _cached(name: str, build):
+    """Rule expressions are unresolved Columns that do not depend on the input
+    DataFrame: build them once per SparkContext (thousands of JVM calls) and
+    reuse them for every batch."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = (id(sc._jsc) if sc is not None else None, name)
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE[key] = build()
+    return _EXPR_CACHE[key]
+
+
 _ENVELOPE_VARIANTS = (*_STR_FIELDS, *_TS_FIELDS, "schema_version", "properties")
 _ENVELOPE_SCHEMA = ", ".join(f"{name} variant" for name in _ENVELOPE_VARIANTS)
 
@@ -108,15 +124,22 @@ def _stage_types(df: DataFrame) -> DataFrame:
     # Parse once into its own column: selecting fields straight out of the
     # from_json call would let the optimiser split it into one pruned parse
     # per field (13 parses of the same line).
-    df = df.withColumn("_env", F.from_json(F.col("raw"), _ENVELOPE_SCHEMA))
-    df = df.withColumns({f"f_{name}": F.col("_env")[name] for name in _ENVELOPE_VARIANTS}).drop("_env")
-    props = {
-        f"f_{name}": F.try_variant_get(F.col("f_properties"), f"$.{name}", "variant")
-        for name in (*_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
-    }
-    df = df.withColumns(props)
-    names = (*_ENVELOPE_VARIANTS, *_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
-    return df.withColumns({f"t_{name}": F.schema_of_variant(F.col(f"f_{name}")) for name in names})
+    def build():
+        names = (*_ENVELOPE_VARIANTS, *_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
+        return (
+            F.from_json(F.col("raw"), _ENVELOPE_SCHEMA),
+            {f"f_{name}": F.col("_env")[name] for name in _ENVELOPE_VARIANTS},
+            {
+                f"f_{name}": F.try_variant_get(F.col("f_properties"), f"$.{name}", "variant")
+                for name in (*_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
+            },
+            {f"t_{name}": F.schema_of_variant(F.col(f"f_{name}")) for name in names},
+        )
+
+    env, fields, props, types = _cached("types", build)
+    df = df.withColumn("_env", env)
+    df = df.withColumns(fields).drop("_env")
+    return df.withColumns(props).withColumns(types)
 
 
 def _int_value(v: Column, t: Column) -> Column:
@@ -142,6 +165,10 @@ def _epoch_to_ts(seconds_or_ms: Column) -> Column:
 
 def _stage_values(df: DataFrame) -> DataFrame:
     """Raw typed values; NULL when absent, null or of the wrong JSON type."""
+    return df.withColumns(_cached("values", _values_exprs))
+
+
+def _values_exprs() -> dict[str, Column]:
     values: dict[str, Column] = {}
     for name in (*_STR_FIELDS, *_PROP_STR_FIELDS):
         values[f"v_{name}"] = F.when(F.col(f"t_{name}") == "STRING", F.col(f"f_{name}").try_cast("string"))
@@ -154,12 +181,16 @@ def _stage_values(df: DataFrame) -> DataFrame:
     # Top-level keys straight from the line (it is valid JSON whenever doc is).
     values["root_keys"] = F.json_object_keys(F.col("raw"))
     values["prop_keys"] = F.json_object_keys(F.to_json(F.col("f_properties")))
-    return df.withColumns(values)
+    return values
 
 
 def _stage_timestamps(df: DataFrame) -> DataFrame:
     """Text must carry a UTC offset; epoch numbers (seconds, or milliseconds
     above 2e10) are UTC by definition."""
+    return df.withColumns(_cached("timestamps", _timestamp_exprs))
+
+
+def _timestamp_exprs() -> dict[str, Column]:
     out: dict[str, Column] = {}
     for name in _TS_FIELDS:
         t, txt, num = F.col(f"t_{name}"), F.col(f"x_{name}"), F.col(f"n_{name}")
@@ -173,7 +204,7 @@ def _stage_timestamps(df: DataFrame) -> DataFrame:
             .when(has_offset, parsed_text)
         )
         out[f"naive_{name}"] = ~numeric_text & ~has_offset & parsed_text.isNotNull()
-    return df.withColumns(out)
+    return out
 
 
 def _present(name: str) -> Column:
@@ -182,7 +213,11 @@ def _present(name: str) -> Column:
 
 
 def _stage_codes(df: DataFrame) -> DataFrame:
-    """Ordered, de-duplicated list of failed rule codes."""
+    """Comma-joined list of failed rule codes, in rule order."""
+    return df.withColumn("codes", _cached("codes", _codes_expr))
+
+
+def _codes_expr() -> Column:
     rules: list[tuple[Column, str]] = []
     rules.append((F.size(F.array_except("root_keys", F.array(*[F.lit(k) for k in ENVELOPE_FIELDS]))) > 0, "extra_fields"))
     for name, pattern in (("event_id", EVENT_ID_PATTERN), ("player_id", PLAYER_ID_PATTERN), ("game_version", GAME_VERSION_PATTERN)):
@@ -231,8 +266,7 @@ def _stage_codes(df: DataFrame) -> DataFrame:
     )
     # concat_ws skips NULLs and stays inside whole-stage codegen (array_compact
     # is a lambda filter, which is not). Codes hold no commas or quotes.
-    codes = F.concat_ws(",", *[F.when(cond, F.lit(code)) for cond, code in rules])
-    return df.withColumn("codes", codes)
+    return F.concat_ws(",", *[F.when(cond, F.lit(code)) for cond, code in rules])
 
 
 TYPED_COLUMNS = (
@@ -264,39 +298,29 @@ def spread(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
-    """Per-line verdict: ``reason_code``/``details`` for the first failed stage
-    (NULL when the line is contract-valid) plus typed columns and ``is_late``."""
-    parsed = parse_lines(spread(lines), strict_duplicates)
+def _verdict_exprs() -> dict:
     doc_ok = F.col("doc_ok")
-    staged = parsed.withColumn("object_root", F.col("raw").rlike(r"\A[ \t\n\r]*\{"))
-    needs_python = ~doc_ok | (F.col("object_root") & candidate(F.col("raw")))
-    staged = staged.withColumn("insp", inspect_json(F.when(needs_python, F.col("raw"))))
-    staged = _stage_codes(_stage_timestamps(_stage_values(_stage_types(staged))))
     insp = F.col("insp")
-    staged = staged.withColumns(
-        {
+    needs_python = ~doc_ok | (F.col("object_root") & candidate(F.col("raw")))
+    e: dict = {
+        "object_root": F.col("raw").rlike(r"\A[ \t\n\r]*\{"),
+        "insp": inspect_json(F.when(needs_python, F.col("raw"))),
+        "flags": {
             "_parsed": doc_ok | F.coalesce(insp.parsed, F.lit(False)),
-            "_object": F.when(doc_ok, F.col("object_root")).otherwise(
-                F.coalesce(insp.is_object, F.lit(False))
-            ),
-        }
-    ).withColumn("_privacy", F.when(F.col("_object"), insp.violations))
-    reason = (
-        F.when(~F.col("_parsed"), F.lit("invalid_json"))
-        .when(~F.col("_object"), F.lit("invalid_shape"))
-        .when(F.col("_privacy").isNotNull(), F.lit("privacy_violation"))
-        .when(~doc_ok | (F.col("codes") != ""), F.lit("contract_violation"))
-    )
-    staged = staged.withColumn("reason_code", reason)
-    if strict_duplicates:
+            "_object": F.when(doc_ok, F.col("object_root")).otherwise(F.coalesce(insp.is_object, F.lit(False))),
+        },
+        "privacy": F.when(F.col("_object"), insp.violations),
+        "reason": (
+            F.when(~F.col("_parsed"), F.lit("invalid_json"))
+            .when(~F.col("_object"), F.lit("invalid_shape"))
+            .when(F.col("_privacy").isNotNull(), F.lit("privacy_violation"))
+            .when(~doc_ok | (F.col("codes") != ""), F.lit("contract_violation"))
+        ),
         # Strict input (A11): a line that *is* JSON but has duplicate keys,
         # non-finite numbers or a non-object root refuses the whole input.
-        staged = staged.withColumn(
-            "strict_refused",
-            (doc_ok & (~F.col("dup_free") | ~F.col("object_root")))
-            | (F.coalesce(insp.parsed, F.lit(False)) & insp.refused.isNotNull()),
-        )
+        "strict_refused": (doc_ok & (~F.col("dup_free") | ~F.col("object_root")))
+        | (F.coalesce(insp.parsed, F.lit(False)) & insp.refused.isNotNull()),
+    }
     rc = F.col("reason_code")
     details = (
         F.when(rc == "invalid_json", F.lit("line is not one well-formed JSON value"))
@@ -325,16 +349,32 @@ def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
         "currency": F.col("v_currency"),
         "reason": F.col("v_reason"),
     }
-    out = staged.select(
-        "batch_id",
-        "line_number",
-        "raw",
-        "reason_code",
+    e["output"] = [
+        F.col("batch_id"),
+        F.col("line_number"),
+        F.col("raw"),
+        F.col("reason_code"),
         F.substring(details, 1, MAX_DETAIL_CHARS).alias("details"),
         *[typed[c].alias(c) for c in TYPED_COLUMNS],
-        *(["strict_refused"] if strict_duplicates else []),
-    )
-    return out.withColumn(
-        "is_late",
-        F.when(F.col("reason_code").isNull(), late_flag("event_time", "received_at", LATE_ARRIVAL_HOURS)),
+    ]
+    e["is_late"] = F.when(
+        F.col("reason_code").isNull(), late_flag("event_time", "received_at", LATE_ARRIVAL_HOURS)
     )
+    return e
+
+
+def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
+    """Per-line verdict: ``reason_code``/``details`` for the first failed stage
+    (NULL when the line is contract-valid) plus typed columns and ``is_late``."""
+    e = _cached("verdict", _verdict_exprs)
+    parsed = parse_lines(spread(lines), strict_duplicates)
+    staged = parsed.withColumn("object_root", e["object_root"]).withColumn("insp", e["insp"])
+    staged = _stage_codes(_stage_timestamps(_stage_values(_stage_types(staged))))
+    staged = staged.withColumns(e["flags"]).withColumn("_privacy", e["privacy"])
+    staged = staged.withColumn("reason_code", e["reason"])
+    extra = []
+    if strict_duplicates:
+        staged = staged.withColumn("strict_refused", e["strict_refused"])
+        extra = ["strict_refused"]
+    out = staged.select(*e["output"], *extra)
+    return out.withColumn("is_late", e["is_late"])
