@@ -204,7 +204,8 @@ class Warehouse:
         """A1/A4: NDJSON file(s); invalid UTF-8 aborts before any write."""
         check_batch_id(batch_id, strict)
         if self.limits.max_input_bytes is not None:
-            size = file_digests(self.spark, path).agg(F.sum("length")).first()[0] or 0
+            # Only the length column: the binary source then skips file contents.
+            size = self.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
             if size == 0 or size > self.limits.max_input_bytes:
                 raise InputRefused("input must be non-empty and within the byte limit")
         return self.ingest_files(self.spark.read.format("binaryFile").load(path), batch_id, strict)
