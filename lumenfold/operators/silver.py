@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lumenfold.functions.timeutil import second_diff, utc_date
 from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, add_sequence
