@@ -293,7 +293,9 @@ def spread(lines: DataFrame) -> DataFrame:
     deterministic); large inputs already have enough partitions and are left
     alone."""
     target = lines.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < target:
+    # File count from the driver-side listing: asking the DataFrame for its
+    # RDD partitions would, under AQE, execute upstream stages early.
+    if len(lines.inputFiles()) < target:
         return lines.repartition(target)
     return lines
 
