@@ -23,6 +23,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -275,8 +276,15 @@ class Warehouse:
             "gold_player_summary": player_summary(s, sess),
             "gold_anomaly_candidates": anomalies(s),
         }
-        for name, df in outputs.items():
-            df.write.mode("overwrite").parquet(f"{gold}/{name}")
+        # Independent tables: submit their jobs concurrently so small stages do
+        # not leave executors idle; any failure propagates and no marker is made.
+        with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+            futures = [
+                pool.submit(lambda n=name, d=df: d.write.mode("overwrite").parquet(f"{gold}/{n}"))
+                for name, df in outputs.items()
+            ]
+            for future in futures:
+                future.result()
         fs, marker = self._fs(f"{self.markers}/{version}")
         fs.create(marker, False).close()
         return version
