@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.schema import RETENTION_DAYS
@@ -23,28 +23,33 @@ def day_grid(members: DataFrame, days: Sequence[int]) -> DataFrame:
 def retention(silver: DataFrame, days: Sequence[int] = RETENTION_DAYS) -> DataFrame:
     """A player is retained on day n when active exactly on cohort_date + n.
 
-    The active side is distinct per (player, date), so each grid row matches
-    at most once and ``count`` of the matched key is the distinct count. Cohort
-    size is the number of grid rows per (cohort, day) -- no separate join.
+    Each distinct (player, date) row learns its player's cohort date from a
+    per-player ``min`` window -- the rows per player are its active *days*,
+    bounded by the calendar, not by its event volume -- and becomes a day
+    offset. One aggregate per cohort counts offsets 0 (the cohort size: every
+    player is active on its first day) and each requested n, and ``inline``
+    emits one row per day: no grid join against the active rows.
     """
+    wanted = sorted({0, *[int(d) for d in days]})
     active = active_days(silver)
-    first_seen = active.groupBy("player_id").agg(F.min("event_date").alias("cohort_date"))
-    grid = day_grid(first_seen, days).withColumn(
-        "target_date", F.date_add("cohort_date", F.col("day_number"))
+    offsets = active.select(
+        F.min("event_date").over(Window.partitionBy("player_id")).alias("cohort_date"),
+        "event_date",
+    ).select("cohort_date", F.datediff("event_date", "cohort_date").alias("day_number"))
+    per_cohort = offsets.filter(F.col("day_number").isin(*wanted)).groupBy("cohort_date").agg(
+        *[F.count_if(F.col("day_number") == d).alias(f"_d{d}") for d in wanted]
     )
-    hits = active.select(
-        F.col("player_id").alias("a_player"), F.col("event_date").alias("target_date"), F.lit(1).alias("hit")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(int(d)).alias("day_number"),
+                F.col("_d0").alias("cohort_size"),
+                F.col(f"_d{int(d)}").alias("retained_players"),
+            )
+            for d in days
+        ]
     )
-    joined = grid.join(
-        hits,
-        (grid.player_id == hits.a_player) & (grid.target_date == hits.target_date),
-        "left",
-    )
-    agg = joined.groupBy("cohort_date", "day_number").agg(
-        F.count(F.lit(1)).alias("cohort_size"),
-        F.count("hit").alias("retained_players"),
-    )
-    return agg.select(
+    return per_cohort.select("cohort_date", F.inline(rows)).select(
         "cohort_date",
         F.col("day_number").cast("int").alias("day_number"),
         "cohort_size",
