@@ -226,9 +226,14 @@ class Warehouse:
     def ingest_records(self, records: DataFrame, batch_id: str, order_by: list[str]) -> IngestionResult:
         """A3: records serialised canonically (sorted keys), numbered by ``order_by``."""
         check_batch_id(batch_id)
-        lines = records_to_lines(records, order_by, batch_id)
-        lines = materialize(lines)
-        return self.ingest_lines(lines, batch_id, lines_digest(lines).first()["source_sha256"])
+        staging = f"{checkpoint_dir(self.spark).rstrip('/')}/lumenfold-lines-{uuid.uuid4().hex}"
+        try:
+            # Numbering reads its input twice (counts, then offsets); stage it once.
+            lines = materialize(records_to_lines(records, order_by, batch_id), staging)
+            return self.ingest_lines(lines, batch_id, lines_digest(lines).first()["source_sha256"])
+        finally:
+            fs, p = self._fs(staging)
+            fs.delete(p, True)
 
     def receipt_listing(self) -> DataFrame:
         """Receipts ordered by id, first 100."""
