@@ -82,3 +82,22 @@ def test_canonical_ndjson_sink(spark, workdir):
     line = text.strip()
     assert line == json.dumps(json.loads(line), sort_keys=True, separators=(",", ":"))
     assert line == '{"alpha":1,"props":{"amount":5,"currency":"USD"},"zeta":"evt_1"}'
+
+
+def test_constraint_audit_and_insert_if_absent(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators.audit import constraint_audit, insert_if_absent
+
+    parent = spark.createDataFrame([(1,), (2,)], "k long")
+    child = spark.createDataFrame([(1, 1, 5.0), (1, 2, -1.0), (2, 3, None), (3, None, 1.0)], "id long, k long, v double")
+    got = {
+        r["constraint_name"]: r["violations"]
+        for r in constraint_audit(
+            child, "child", primary_key=["id"], not_null=["k"], checks={"check:v>=0": F.col("v") >= 0},
+            foreign_keys=[(["k"], parent.withColumnRenamed("k", "pk"), ["pk"], "fk:k")],
+        ).collect()
+    }
+    assert got == {"not_null:k": 1, "check:v>=0": 1, "primary_key:id": 2, "fk:k": 1}
+    fresh = insert_if_absent(parent, spark.createDataFrame([(2,), (4,)], "k long"), ["k"])
+    assert [r["k"] for r in fresh.collect()] == [4]
