@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions.timeutil import utc_date
-from lumenfold.operators.retention import day_grid
 from lumenfold.schema import GAME_VERSION_PATTERN, MAX_VERSION_LENGTH, PLATFORMS, RETENTION_DAYS
 
 DEFINITION = (
@@ -91,26 +90,37 @@ def members(visible: DataFrame, start=None, end=None, platform=None, version=Non
 
 
 def retention_frame(visible: DataFrame, member_df: DataFrame, cutoff: Column, days: Sequence[int]) -> DataFrame:
-    """K7-K10."""
-    active = visible.select(F.col("player_id").alias("a_player"), F.col("event_date").alias("a_date")).distinct()
-    grid = day_grid(member_df, days).withColumn("target_date", F.date_add("cohort_date", F.col("day_number")))
-    joined = grid.join(
-        active.withColumn("hit", F.lit(1)),
-        (grid.player_id == F.col("a_player")) & (grid.target_date == F.col("a_date")),
-        "left",
+    """K7-K10. Members' distinct active days (visible events on any platform)
+    become day offsets from their cohort date; one aggregate per cohort counts
+    offset 0 (the cohort size: a member's first visible event is on its
+    cohort date) and each requested n. Maturity (cohort_date + n <= cutoff)
+    is the same for every member of a cohort, so mature and retained counts
+    follow per (cohort, n) without a members x days grid."""
+    wanted = sorted({0, *[int(d) for d in days]})
+    active = visible.select("player_id", "event_date").distinct()
+    offsets = active.join(member_df, "player_id").select(
+        "cohort_date", F.datediff("event_date", "cohort_date").alias("day_number")
     )
-    mature = F.col("target_date") <= cutoff
-    agg = joined.groupBy("cohort_date", "day_number").agg(
-        F.count(F.lit(1)).alias("cohort_size"),
-        F.count_if(mature).alias("mature_players"),
-        F.count_if(mature & F.col("hit").isNotNull()).alias("retained_players"),
+    per_cohort = offsets.filter(F.col("day_number").isin(*wanted)).groupBy("cohort_date").agg(
+        *[F.count_if(F.col("day_number") == d).alias(f"_d{d}") for d in wanted]
     )
-    return agg.select(
+    rows = F.array(
+        *[
+            F.struct(F.lit(int(d)).alias("day_number"), F.col(f"_d{int(d)}").alias("_active"))
+            for d in days
+        ]
+    )
+    exploded = per_cohort.select("cohort_date", F.col("_d0").alias("cohort_size"), F.inline(rows))
+    mature = F.date_add("cohort_date", F.col("day_number")) <= cutoff
+    staged = exploded.select(
         "cohort_date",
         F.col("day_number").cast("int").alias("day_number"),
         "cohort_size",
-        "mature_players",
-        "retained_players",
+        F.when(mature, F.col("cohort_size")).otherwise(F.lit(0)).cast("bigint").alias("mature_players"),
+        F.when(mature, F.col("_active")).otherwise(F.lit(0)).cast("bigint").alias("retained_players"),
+    )
+    return staged.select(
+        "*",
         (F.col("cohort_size") - F.col("mature_players")).alias("censored_players"),
         F.when(
             F.col("mature_players") > 0,

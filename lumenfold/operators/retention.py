@@ -15,11 +15,6 @@ def active_days(silver: DataFrame) -> DataFrame:
     return silver.select("player_id", "event_date").distinct()
 
 
-def day_grid(members: DataFrame, days: Sequence[int]) -> DataFrame:
-    """Members x day offsets via a generator (no nested-loop join)."""
-    return members.withColumn("day_number", F.explode(F.array(*[F.lit(int(d)) for d in days])))
-
-
 def retention(silver: DataFrame, days: Sequence[int] = RETENTION_DAYS) -> DataFrame:
     """A player is retained on day n when active exactly on cohort_date + n.
 
