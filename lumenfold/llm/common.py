@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _steps(column: pa.Array, step_chars: int) -> Iterator[tuple[int, int, list]]:
+    """(start, end, texts) of consecutive rows with about ``step_chars`` characters together."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    start = 0
+    while start < len(sizes):
+        end, chars = start, 0
+        while end < len(sizes) and (end == start or chars < step_chars):
+            chars += sizes[end]
+            end += 1
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+
+
 def map_texts(
     df: DataFrame,
     schema: str,
@@ -105,18 +119,27 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars < step_chars):
-                    chars += len(texts[end] or "")
-                    end += 1
-                columns = step(texts[start:end])
+            for start, end, texts in _steps(batch.column(batch.num_columns - 1), step_chars):
+                columns = step(texts)
                 through = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 names = [*keep, *columns]
                 arrays = [*through, *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                start = end
 
     return source.mapInArrow(run, out_schema)
+
+
+def filter_texts(
+    df: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text", step_chars: int = STEP_CHARS
+) -> DataFrame:
+    """The rows of ``df`` for which ``step(texts)`` gives true, with all columns as they are."""
+    ship(df.sparkSession)
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for start, end, texts in _steps(batch.column(place), step_chars):
+                yield batch.slice(start, end - start).filter(pa.array(step(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_texts, settle
+from lumenfold.llm.common import filter_texts, map_texts, settle
 
 UNDETERMINED = "und"
 #: Labelled rows that a model learns from (expected number; all if there are fewer).
@@ -140,38 +141,64 @@ def fit(
     return model
 
 
+def _scorer(model: Model) -> Callable[[list], tuple[list[str], list[float]]]:
+    """Function from texts to their languages and scores; it keeps the scores of words it has met."""
+    width = len(model.languages)
+    index: dict[str, int] = {}
+    table = np.zeros((1024, max(width, 1)))
+
+    def score(texts):
+        nonlocal table
+        words = [letter_words(t) if t and width else [] for t in texts]
+        if len(index) > CACHE_WORDS:
+            index.clear()
+        for word in set().union(*words).difference(index):
+            if len(index) == len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            table[len(index)] = model.score_word(word)
+            index[word] = len(index)
+        names, scores = [], []
+        for own in words:
+            if not own:
+                names.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            sums = table[np.fromiter(map(index.__getitem__, own), np.int64, len(own))].sum(axis=0)
+            best = int(np.argmax(sums))
+            names.append(model.languages[best])
+            scores.append(float(1 / np.exp(sums - sums[best]).sum()))
+        return names, scores
+
+    return score
+
+
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1) per row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model = shared.value
-        width = len(model.languages)
-        index: dict[str, int] = {}
-        table = np.zeros((1024, max(width, 1)))
+        score = _scorer(shared.value)
 
         def step(texts):
-            nonlocal table
-            words = [letter_words(t) if t and width else [] for t in texts]
-            if len(index) > CACHE_WORDS:
-                index.clear()
-            for word in set().union(*words).difference(index):
-                if len(index) == len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                table[len(index)] = model.score_word(word)
-                index[word] = len(index)
-            names, scores = [], []
-            for own in words:
-                if not own:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                sums = table[np.fromiter(map(index.__getitem__, own), np.int64, len(own))].sum(axis=0)
-                best = int(np.argmax(sums))
-                names.append(model.languages[best])
-                scores.append(float(1 / np.exp(sums - sums[best]).sum()))
+            names, scores = score(texts)
             return {"lang_pred": names, "score": scores}
 
         return step
 
     return map_texts(df, "lang_pred string, score double", make, text, keep)
+
+
+def known_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose language can be told, with all their columns.
+
+    Under a model that learnt no language, the rows that have letters stay.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = _scorer(shared.value)
+        if not shared.value.languages:
+            return lambda texts: [bool(t) and bool(letter_words(t)) for t in texts]
+        return lambda texts: [name != UNDETERMINED for name in score(texts)[0]]
+
+    return filter_texts(df, make, text)

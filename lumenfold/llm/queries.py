@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, langid, ordermin, quality, secrets, simhash, warc
+from lumenfold.llm import bpe, decontam, langid, ordermin, quality, secrets, simhash, suffixes, unigram, warc
 from lumenfold.llm.common import documents, held_out, remove_path, scratch_path, settle
 from lumenfold.session import ensure_utc
 from lumenfold.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in two documents; (doc_id, spans, n_words, partners)."""
+    return suffixes.repeated_passages(documents(ensure_utc(spark), sf_dir))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in documents; (doc_id, item_id, similarity, start_word, n_words)."""
+    docs = documents(ensure_utc(spark), sf_dir)
+    return decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark", ("item_id", "text")))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +59,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document; (doc_id, n_pretokens, n_tokens)."""
+    return unigram.token_counts(documents(ensure_utc(spark), sf_dir), PIECES)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     return bpe.bpe_digests(documents(ensure_utc(spark), sf_dir), BYTE_BPE)
@@ -75,9 +92,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
+    "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
     "op4_order_minhash": op4_order_minhash,
     "op5_warc": op5_warc,
+    "op6_token_counts": op6_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
