@@ -31,7 +31,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(ensure_utc(spark), sf_dir)
     found = secrets.scan(docs, secrets.train(docs))
     return found.select(
-        F.col("row.doc_id").alias("doc_id"),
+        "doc_id",
         *(secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),

@@ -133,14 +133,20 @@ def _keep(spans: Column, kind: str, test) -> Column:
     return F.coalesce(rows, F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>"))
 
 
-def scan(df: DataFrame, table: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` as the struct column ``row``, with ``base`` and ``spans``.
+def scan(
+    df: DataFrame,
+    table: list[float],
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``keep`` columns, ``base`` and ``spans``.
 
     Both are arrays of struct(start, kind, stop), sorted by start and kind
     (a place in KINDS); ``spans`` adds the spans of the random kind to ``base``.
     """
-    rows = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    t = F.col("t")
+    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t = F.col("_t")
     value = lambda x: F.char_length(F.regexp_extract(x.found, ASSIGN, 2))
     length = lambda x: x.stop - x.start
     base = F.concat(
@@ -151,7 +157,7 @@ def scan(df: DataFrame, table: list[float], text: str = "text", threshold: float
     )
     added = _keep(match_spans(t, RUNS), "random", lambda x: likelihood_ratio(x.found, table) >= threshold)
     found = hold(hold(rows, "base", F.array_sort(base)), "added", added)
-    return found.select("row", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
+    return found.select(*keep, "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -170,8 +176,11 @@ def redact(df: DataFrame, table: list[float], text: str = "text", mark: str = "[
 
     All columns stay; a text without spans, null included, stays as it is.
     """
-    found = scan(df, table, text).select("row", "spans")
-    t = F.col(f"row.{text}")
+    # Columns go by place, so no name of theirs can clash.
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    place = names[df.columns.index(text)]
+    found = scan(df.toDF(*names), table, place, tuple(names)).select(*names, "spans")
+    t = F.col(place)
     # Up to where the spans before each one reach; the text in between stays.
     reach = running(F.col("spans.stop"), F.greatest, F.lit(0).cast("bigint"))
     starts = F.concat(F.col("spans.start"), F.array(F.char_length(t).cast("bigint")))
@@ -180,5 +189,5 @@ def redact(df: DataFrame, table: list[float], text: str = "text", mark: str = "[
     open_gaps = F.filter(gaps, lambda g, i: (i == 0) | (i == last) | (g.b > g.a))
     kept = F.transform(open_gaps, lambda g: F.substring(t, (g.a + 1).cast("int"), (g.b - g.a).cast("int")))
     clean = F.when(last > 0, F.array_join(kept, mark)).otherwise(t)
-    fields = [clean.alias(text) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
+    fields = [(clean if n == place else F.col(n)).alias(c) for n, c in zip(names, df.columns)]
     return hold(found, "reach", reach).select(*fields)
