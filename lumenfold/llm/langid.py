@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +63,31 @@ class Model:
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
 
-    def score_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST_GRAM, 0, -1):
-            found = [g for x in grams(word, n) if (g := self.grams.get(x)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+    def __post_init__(self):
+        self.rows = np.array([*self.grams.values()]).reshape(len(self.grams), len(self.languages))
+        self.places = {g: i for i, g in enumerate(self.grams)}
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """A row of scores per word: its own, or the mean over its longest known n-grams (none: zeros)."""
+        out = np.zeros((len(words), len(self.languages)))
+        flat, at, sizes = [], [], []
+        get = self.places.get
+        for i, word in enumerate(words):
+            known = self.words.get(word)
+            if known is not None:
+                out[i] = known
+                continue
+            for n in range(LONGEST_GRAM, 0, -1):
+                found = [p for x in grams(word, n) if (p := get(x)) is not None]
+                if found:
+                    flat += found
+                    at.append(i)
+                    sizes.append(len(found))
+                    break
+        if flat:
+            edges = np.append(0, np.cumsum(sizes)[:-1])
+            out[at] = np.add.reduceat(self.rows[flat], edges, axis=0) / np.array(sizes)[:, None]
+        return out
 
 
 def _sample(rows: DataFrame, max_docs: int) -> DataFrame:
@@ -133,51 +150,67 @@ def fit(
         return {r.item: np.log([r.by.get(k, 0) + PRIOR for k in languages]) - scale for r in rows}
 
     word_rows = kept(table, max_words)
-    model = Model(languages, logs(word_rows, sums, len(word_rows)), {})
+    gram_logs = {}
     for n in range(1, LONGEST_GRAM + 1):
         rows_n = [r for r in gram_rows if len(r.item) == n]
         totals = {k: sum(r.by.get(k, 0) for r in rows_n) for k in languages}
-        model.grams.update(logs(rows_n, totals, len(rows_n)))
-    return model
-
-
-def _scorer(model: Model) -> Callable[[list], tuple[list[str], list[float]]]:
-    """Function from texts to their languages and scores; it keeps the scores of words it has met."""
-    width = len(model.languages)
-    index: dict[str, int] = {}
-    table = np.zeros((1024, max(width, 1)))
-
-    def score(texts):
-        nonlocal table
-        words = [letter_words(t) if t and width else [] for t in texts]
-        if len(index) > CACHE_WORDS:
-            index.clear()
-        for word in set().union(*words).difference(index):
-            if len(index) == len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            table[len(index)] = model.score_word(word)
-            index[word] = len(index)
+        gram_logs.update(logs(rows_n, totals, len(rows_n)))
+    return Model(languages, logs(word_rows, sums, len(word_rows)), gram_logs)
+
+
+class Scorer:
+    """Languages and scores of texts; keeps the scores of the words it has met."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._renew()
+
+    def _renew(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((4096, max(len(self.model.languages), 1)))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        languages = self.model.languages
+        words = [letter_words(t) if t and languages else [] for t in texts]
+        if len(self.index) > CACHE_WORDS:
+            self._renew()
+        index = self.index
+        fresh = list(set().union(*words).difference(index))
+        if fresh:
+            while len(index) + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[len(index) : len(index) + len(fresh)] = self.model.score_words(fresh)
+            index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
         names, scores = [], []
         for own in words:
             if not own:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            sums = table[np.fromiter(map(index.__getitem__, own), np.int64, len(own))].sum(axis=0)
+            sums = self.table[np.fromiter(map(index.__getitem__, own), np.int64, len(own))].sum(axis=0)
             best = int(np.argmax(sums))
-            names.append(model.languages[best])
+            names.append(languages[best])
             scores.append(float(1 / np.exp(sums - sums[best]).sum()))
         return names, scores
 
-    return score
+
+_READY: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, shared: Broadcast) -> Scorer:
+    """The worker's scorer for this model; one is kept."""
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Scorer(shared.value)
+    return _READY[key]
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1) per row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        score = _scorer(shared.value)
+        score = _scorer(key, shared)
 
         def step(texts):
             names, scores = score(texts)
@@ -193,10 +226,10 @@ def known_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame
 
     Under a model that learnt no language, the rows that have letters stay.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        score = _scorer(shared.value)
+        score = _scorer(key, shared)
         if not shared.value.languages:
             return lambda texts: [bool(t) and bool(letter_words(t)) for t in texts]
         return lambda texts: [name != UNDETERMINED for name in score(texts)[0]]
