@@ -9,16 +9,16 @@ so Spark's text writer with the record separator as its line end writes the
 archives: tasks write whole files in parallel, and a lost task is written anew
 without leaving parts behind.
 
-Reading. The text scan takes the record boundary as line end and streams
-through an archive; plain archives are split between tasks, gzip ones are read
-by a task each. A payload can hold the boundary itself; such a record arrives
+Reading. The text scan takes the start of the version line as line end and
+streams through an archive; plain archives are split between tasks, gzip ones
+are read by a task each. A payload can hold the same text; such a record arrives
 in pieces, which Content-Length shows. Pieces are put together by their byte
 offsets (sums of lengths within a file), so reading is exact for any payload.
 Offsets use narrow columns of the files concerned only.
 
-Transactions are assembled by joining the request, response and metadata records
-on the concurrent-to identifiers, one nested row per capture. Payloads travel
-only if the caller selects them.
+Transactions are assembled by bringing the request, response and metadata records
+together on the identifiers that concurrent-to names: one shuffle and one nested
+row per capture. Payloads travel only if the caller selects them.
 
 Null html is an empty payload, a null url is empty. Rows that agree in id, url
 and html are separate captures; of equal ids that tie for the response one is
@@ -27,6 +27,8 @@ chosen. Null ids count as smaller than any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,8 +42,11 @@ FILE_RECORDS = 100_000
 DATE = "2026-01-01T00:00:00Z"
 
 VERSION = "WARC/1.1\r\n"
-#: What stands between two records: the end of one and the version line of the next.
-BOUNDARY = "\r\n\r\n" + VERSION
+#: What parts two records for the scan. No end of it is its beginning, as Hadoop's line
+#: reader can pass over a delimiter whose first part repeats.
+BOUNDARY = "WARC/1."
+#: Largest table that is broadcast to keep payloads from being shuffled.
+BROADCAST_ROWS = 100_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,6 +57,12 @@ def _urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` written and counted; with a broadcast hint if it has BROADCAST_ROWS or fewer (else joins shuffle)."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _identified(pages: DataFrame) -> DataFrame:
     """``pages`` with ``row_id``: equal rows are numbered, at the price of a shuffle of the payloads."""
     each = pages.groupBy("page_id", "url", "html").agg(F.count("*").alias("copies"))
@@ -78,7 +89,7 @@ def captures(pages: DataFrame) -> DataFrame:
     order = F.struct(F.col("page_id").isNotNull().alias("has_id"), "page_id", "record_id")
     long = each.where(F.col("bytes") >= MIN_REVISIT)
     first = long.groupBy("digest", "bytes").agg(F.max(order).alias("top"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("digest", "bytes", F.col("top.record_id").alias("target"))
+    first = _small(first.select("digest", "bytes", F.col("top.record_id").alias("target")))
     joined = each.join(first, ["digest", "bytes"], "left")
     return joined.withColumn("is_revisit", F.col("target").isNotNull() & (F.col("target") != F.col("record_id")))
 
@@ -156,8 +167,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
         F.octet_length("value").alias("size"),
         "value",
-        # The first record of a file still has its version line.
-        F.regexp_replace("value", r"^WARC/1\.[01]\r\n", "").alias("body"),
+        # A record starts with the rest of its version line.
+        F.regexp_replace("value", r"^[01]\r\n", "").alias("body"),
     )
     head = F.substring_index("body", "\r\n\r\n", 1)
     length = _header(head, "Content-Length").try_cast("bigint")
@@ -166,11 +177,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _members(pieces: DataFrame) -> DataFrame:
-    """(file, split, at, start, lo): pieces of records that hold the boundary; ``lo`` is the record's offset."""
-    place = pieces.select("file", "split", "at", "size", "own", "need")
-    files = place.where("need > own").select("file").distinct()
-    place = place.join(files, "file", "left_semi")
+def _members(place: DataFrame) -> DataFrame:
+    """(file, split, at, start, lo): pieces of records that hold the boundary; ``lo`` is the record's offset.
+
+    ``place`` has all pieces of the files that such records are in.
+    """
     step = F.col("size") + F.lit(len(BOUNDARY))
     earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     totals = place.groupBy("file", "split").agg(F.sum(step).alias("total"))
@@ -200,12 +211,26 @@ def _members(pieces: DataFrame) -> DataFrame:
     return found.select("file", "split", "at", "start", F.col("last.start").alias("lo"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(head, block) of every record: header lines and the bytes announced by Content-Length."""
+def read_records(spark: SparkSession, path: str, extract: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``extract`` of the (head, block) of every record: header lines and the bytes that Content-Length announces.
+
+    ``extract`` is a projection; it runs in the scan, before anything is shuffled.
+    """
     pieces = _pieces(spark, path)
-    members = _members(pieces)
+
+    def taken(df: DataFrame) -> DataFrame:
+        start = F.octet_length("head") + F.lit(5)
+        block = F.substring(F.col("body").cast("binary"), start, (F.col("need") - start + 1).cast("int"))
+        return extract(df.select("head", block.alias("block")))
+
     place = ["file", "split", "at"]
-    whole = pieces.where("need <= own").join(members.select(*place), place, "left_anti").select("head", "body", "need")
+    whole = pieces.where("need <= own")
+    files = _small(pieces.where("need > own").select("file").distinct())
+    if files.isEmpty():
+        return taken(whole)
+    near = settle(pieces.select(*place, "size", "own", "need").join(files, "file", "left_semi"))
+    members = _small(_members(near))
+    apart = whole.join(members.select(*place), place, "left_anti")
     parts = pieces.join(members, place).groupBy("file", "lo")
     ordered = F.array_sort(F.collect_list(F.struct("start", "value", "body", "head", "need")))
     joined = parts.agg(ordered.alias("p")).select(
@@ -214,43 +239,56 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         F.concat_ws(BOUNDARY, F.col("p")[0].body, F.slice("p.value", 2, F.size("p"))).alias("body"),
         F.col("p")[0].need.alias("need"),
     )
-    start = F.octet_length("head") + F.lit(5)
-    size = (F.col("need") - start + 1).cast("int")
-    return whole.union(joined).select("head", F.substring(F.col("body").cast("binary"), start, size).alias("block"))
+    return taken(apart).union(taken(joined))
+
+
+def _fields(records: DataFrame) -> DataFrame:
+    """Header fields, payload and its measures of each record."""
+    head, block = F.col("head"), F.col("block")
+    http = F.substring_index(block.cast("string"), "\r\n\r\n", 1)
+    payload = F.substring(block, F.octet_length(http) + F.lit(5), F.length(block))
+    rows = records.select(
+        _header(head, "WARC-Type").alias("type"),
+        _header(head, "WARC-Record-ID").alias("id"),
+        F.regexp_extract_all(head, F.lit(r"(?im)^WARC-Concurrent-To:[ \t]*(\S+)"), 1).alias("concurrent"),
+        _header(head, "WARC-Target-URI").alias("url"),
+        F.regexp_replace(_header(head, "WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
+        _header(head, "WARC-Refers-To").alias("refers_to"),
+        "block",
+        payload.alias("payload"),
+    ).where("type in ('response', 'revisit', 'request', 'metadata')")
+    whole = F.col("type") == "response"
+    return rows.select(
+        "type", "id", "concurrent", "url", "digest", "refers_to",
+        F.when(F.col("type").isin("request", "metadata"), F.col("block")).alias("block"),
+        F.when(whole, F.col("payload")).alias("payload"),
+        F.when(whole, F.length("payload").cast("bigint")).alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).alias("payload_sha1"),
+    )
 
 
 def transactions(spark: SparkSession, path: str) -> DataFrame:
-    """One nested row per capture: ``response``, ``request`` and ``metadata``.
+    """One nested row per capture: ``response``, ``payload``, ``request`` and ``metadata``.
 
     ``response`` has id, type (response or revisit), url, digest (as announced),
-    refers_to, payload, payload_bytes and payload_sha1 (of the payload read; a
-    revisit has none of its own). ``request`` and ``metadata`` have id and block
-    and are null where no record names the response. Of several that do, the
-    one with the least id is taken.
+    refers_to, payload_bytes and payload_sha1 (of the payload read; a revisit has
+    none of its own). ``request`` and ``metadata`` have id and block and are null
+    where no record names the response. Of several that do, the one with the least
+    id is taken. Records that name no response of the archives are left out.
     """
-    found = read_records(spark, path).select(
-        _header(F.col("head"), "WARC-Type").alias("type"), _header(F.col("head"), "WARC-Record-ID").alias("id"), "head", "block"
+    found = read_records(spark, path, _fields)
+    answer = F.col("type").isin("response", "revisit")
+    keys = F.when(answer, F.array("id")).otherwise(F.col("concurrent"))
+    keyed = found.select(F.explode(keys).alias("capture"), "*")
+    fields = ["id", "type", "url", "digest", "refers_to", "payload_bytes", "payload_sha1"]
+    other = lambda kind: F.min(F.when(F.col("type") == kind, F.struct("id", "block"))).alias(kind)
+    grouped = keyed.groupBy("capture").agg(
+        F.min(F.when(answer, F.struct(*fields))).alias("response"),
+        F.first("payload", ignorenulls=True).alias("payload"),
+        other("request"),
+        other("metadata"),
     )
-    http = F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1)
-    payload = F.substring(F.col("block"), F.octet_length(http) + F.lit(5), F.length("block"))
-    answers = found.where("type in ('response', 'revisit')").select(
-        "type",
-        "id",
-        _header(F.col("head"), "WARC-Target-URI").alias("url"),
-        F.regexp_replace(_header(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        _header(F.col("head"), "WARC-Refers-To").alias("refers_to"),
-        F.when(F.col("type") == "response", payload).alias("payload"),
-    )
-    answers = answers.withColumns({"payload_bytes": F.length("payload").cast("bigint"), "payload_sha1": F.sha1("payload")})
-
-    def concurrent(kind: str) -> DataFrame:
-        named = F.regexp_extract_all("head", F.lit(r"(?im)^WARC-Concurrent-To:[ \t]*(\S+)"), 1)
-        each = found.where(F.col("type") == kind).select(F.explode(named).alias("id"), F.struct("id", "block").alias("r"))
-        return each.groupBy("id").agg(F.min("r").alias(kind))
-
-    joined = answers.join(concurrent("request"), "id", "left").join(concurrent("metadata"), "id", "left")
-    names = ["id", "type", "url", "digest", "refers_to", "payload", "payload_bytes", "payload_sha1"]
-    return joined.select(F.struct(*names).alias("response"), "request", "metadata")
+    return grouped.where("response is not null").select("response", "payload", "request", "metadata")
 
 
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -268,8 +306,14 @@ def page_captures(spark: SparkSession, path: str) -> DataFrame:
         F.col("response.payload_sha1").alias("sha1"),
     )
     rows = settle(rows)
-    whole = rows.where("record_type = 'response'").select(
-        F.col("id").alias("target"), F.col("page_id").alias("to_page"), F.col("bytes").alias("to_bytes"), F.col("sha1").alias("to_sha1")
+    again = rows.where("target is not null").select(F.col("target").alias("id")).distinct()
+    whole = _small(
+        rows.join(again, "id", "left_semi").select(
+            F.col("id").alias("target"),
+            F.col("page_id").alias("to_page"),
+            F.col("bytes").alias("to_bytes"),
+            F.col("sha1").alias("to_sha1"),
+        )
     )
     return rows.join(whole, "target", "left").select(
         "page_id",
