@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumenfold.session import checkpoint_dir, ensure_checkpoint_dir
 from lumenfold.sources.tables import read_table
@@ -115,6 +117,7 @@ def map_texts(
     source = df.select(*keep, F.col(text).alias("_text"))
     kept = source.select(*keep).schema
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), schema])
+    kinds = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -123,7 +126,8 @@ def map_texts(
                 columns = step(texts)
                 through = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 names = [*keep, *columns]
-                arrays = [*through, *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values())]
+                values = zip(columns.values(), kinds)
+                arrays = [*through, *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in values)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(run, out_schema)

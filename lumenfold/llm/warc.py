@@ -168,7 +168,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("value").alias("size"),
         "value",
         # A record starts with the rest of its version line.
-        F.regexp_replace("value", r"^[01]\r\n", "").alias("body"),
+        F.when(F.substring("value", 1, 3).isin("1\r\n", "0\r\n"), F.substring("value", 4, 2**31 - 1)).otherwise(F.col("value")).alias("body"),
     )
     head = F.substring_index("body", "\r\n\r\n", 1)
     length = _header(head, "Content-Length").try_cast("bigint")
