@@ -59,5 +59,5 @@ def constraint_audit(
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key is not yet present (conflict -> skip)."""
-    return incoming.join(existing.select(*key).distinct(), list(key), "left_anti")
+    """Rows of ``incoming`` whose key is not yet present (conflict -> skip); one row per key."""
+    return incoming.dropDuplicates(list(key)).join(existing.select(*key).distinct(), list(key), "left_anti")

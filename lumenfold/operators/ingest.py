@@ -96,9 +96,9 @@ def quarantine_rows(routed: DataFrame, quarantined_at=None) -> DataFrame:
 def receipt_counts(routed: DataFrame) -> DataFrame:
     """received = accepted + quarantined, in one global aggregate."""
     return routed.agg(
-        F.count(F.lit(1)).cast("int").alias("received_count"),
-        F.count_if(F.col("reason_code").isNull()).cast("int").alias("accepted_count"),
-        F.count_if(F.col("reason_code").isNotNull()).cast("int").alias("quarantine_count"),
+        F.count(F.lit(1)).alias("received_count"),
+        F.count_if(F.col("reason_code").isNull()).alias("accepted_count"),
+        F.count_if(F.col("reason_code").isNotNull()).alias("quarantine_count"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import full_match
 from lumenfold.functions.timeutil import late_flag
-from lumenfold.operators.privacy import candidate, inspect_json
+from lumenfold.operators.privacy import PY_WHITESPACE_CLASS, candidate, inspect_json
 from lumenfold.schema import (
     AMOUNT_RANGE,
     CURRENCY_PATTERN,
@@ -37,9 +37,15 @@ from lumenfold.schema import (
 DUPLICATE_KEYS_CONF = "spark.sql.variant.allowDuplicateKeys"
 _INT_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 _OFFSET = r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
+# A whole date and time, which date-only, time-only and one-digit fields are not.
+_DATE_TIME = r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt _]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)"
+_OFFSET_PARTS = r"([+-])([0-9]{2}):?([0-9]{2})\z"
 _NUMERIC_TEXT = r"\A[+-]?[0-9]+(?:\.[0-9]+)?\z"
-_INT_TEXT = r"\A[+-]?[0-9]+(?:\.0*)?\z"
+_INT_TEXT = r"\A[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?\z"
+_OUTER_SPACE = rf"\A[{PY_WHITESPACE_CLASS}]+|[{PY_WHITESPACE_CLASS}]+\z"
 EPOCH_MS_THRESHOLD = 2e10
+# Seconds of the first and last instant of the years 1 to 9999.
+EPOCH_SECONDS = (-62135596800, 253402300799)
 
 
 def _with_dup_setting(df: DataFrame, allow: bool, build):
@@ -75,9 +81,13 @@ def parse_lines(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
     typed fields come from one ``from_json`` pass, and carrying the parsed
     document would make every later row copy (e.g. the Python stage's input
     buffer) pay for it."""
-    out = _with_dup_setting(
-        lines, True, lambda d: d.withColumn("doc_ok", _sentinel_parse(F.col("raw")).isNotNull())
-    )
+
+    def verdict(d: DataFrame) -> DataFrame:
+        doc = _sentinel_parse(F.col("raw"))
+        # ``properties`` comes from this parse, as repeated keys inside it are allowed too.
+        return d.withColumns({"doc_ok": doc.isNotNull(), "doc_props": F.try_variant_get(doc, "$.properties", "variant")})
+
+    out = _with_dup_setting(lines, True, verdict)
     if strict_duplicates:
         out = _with_dup_setting(
             out, False, lambda d: d.withColumn("dup_free", _sentinel_parse(F.col("raw")).isNotNull())
@@ -128,7 +138,7 @@ def _stage_types(df: DataFrame) -> DataFrame:
         names = (*_ENVELOPE_VARIANTS, *_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
         return (
             F.from_json(F.col("raw"), _ENVELOPE_SCHEMA),
-            {f"f_{name}": F.col("_env")[name] for name in _ENVELOPE_VARIANTS},
+            {f"f_{name}": F.col("_env")[name] for name in _ENVELOPE_VARIANTS} | {"f_properties": F.col("doc_props")},
             {
                 f"f_{name}": F.try_variant_get(F.col("f_properties"), f"$.{name}", "variant")
                 for name in (*_PROP_INT_FIELDS, *_PROP_STR_FIELDS)
@@ -138,7 +148,7 @@ def _stage_types(df: DataFrame) -> DataFrame:
 
     env, fields, props, types = _cached("types", build)
     df = df.withColumn("_env", env)
-    df = df.withColumns(fields).drop("_env")
+    df = df.withColumns(fields).drop("_env", "doc_props")
     return df.withColumns(props).withColumns(types)
 
 
@@ -146,7 +156,8 @@ def _int_value(v: Column, t: Column) -> Column:
     """Lax integer coercion: integral numbers, booleans and integral numeric
     text are accepted; fractions are not."""
     dbl = v.try_cast("double")
-    txt = F.trim(v.try_cast("string"))
+    txt = F.regexp_replace(v.try_cast("string"), _OUTER_SPACE, "")
+    digits = F.translate(F.regexp_extract(txt, r"^([+-]?[0-9_]+)", 1), "_", "")
     return (
         F.when(t.isin(*_INT_TYPES), v.try_cast("bigint"))
         .when(
@@ -154,13 +165,25 @@ def _int_value(v: Column, t: Column) -> Column:
             F.when(dbl == F.floor(dbl), dbl.try_cast("bigint")),
         )
         .when(t == "BOOLEAN", F.when(v.try_cast("boolean"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-        .when((t == "STRING") & txt.rlike(_INT_TEXT), F.regexp_extract(txt, r"^([+-]?[0-9]+)", 1).try_cast("bigint"))
+        .when((t == "STRING") & txt.rlike(_INT_TEXT), digits.try_cast("bigint"))
     )
 
 
 def _epoch_to_ts(seconds_or_ms: Column) -> Column:
     secs = F.when(F.abs(seconds_or_ms) > EPOCH_MS_THRESHOLD, seconds_or_ms / 1000).otherwise(seconds_or_ms)
-    return F.timestamp_micros(F.floor(secs * 1_000_000).try_cast("bigint"))
+    return F.when(secs.between(*EPOCH_SECONDS), F.timestamp_micros(F.floor(secs * 1_000_000).try_cast("bigint")))
+
+
+def _text_to_ts(txt: Column) -> Column:
+    """Whole date and time, taken as UTC, less the offset that is written (under a day)."""
+    date, time = (F.regexp_extract(txt, _DATE_TIME, i) for i in (1, 2))
+    full = F.when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
+    local = F.when(date != "", F.try_to_timestamp(F.concat(date, F.lit("T"), full, F.lit("Z"))))
+    sign, hours, minutes = (F.regexp_extract(txt, _OFFSET_PARTS, i) for i in (1, 2, 3))
+    shift = hours.try_cast("bigint") * 60 + minutes.try_cast("bigint")
+    signed = F.when(sign == "-", -shift).when(sign == "+", shift).otherwise(F.lit(0).cast("bigint"))
+    small = (sign == "") | ((hours.try_cast("int") < 24) & (minutes.try_cast("int") < 60))
+    return F.when(small, F.timestamp_micros(F.unix_micros(local) - signed * 60_000_000))
 
 
 def _stage_values(df: DataFrame) -> DataFrame:
@@ -197,7 +220,7 @@ def _timestamp_exprs() -> dict[str, Column]:
         is_num = t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")
         numeric_text = txt.rlike(_NUMERIC_TEXT)
         has_offset = txt.rlike(_OFFSET)
-        parsed_text = F.try_to_timestamp(F.upper(txt))
+        parsed_text = _text_to_ts(txt)
         out[f"v_{name}"] = (
             F.when(is_num, _epoch_to_ts(num))
             .when(numeric_text, _epoch_to_ts(txt.try_cast("double")))
@@ -285,21 +308,6 @@ TYPED_COLUMNS = (
 )
 
 
-def spread(lines: DataFrame) -> DataFrame:
-    """Validation is CPU-bound per line; a batch that arrives as one file (or
-    one small table split) would otherwise run in a single task. Inputs with
-    fewer partitions than the default parallelism are spread round-robin
-    (Spark sorts before a round-robin repartition, so retries are
-    deterministic); large inputs already have enough partitions and are left
-    alone."""
-    target = lines.sparkSession.sparkContext.defaultParallelism
-    # File count from the driver-side listing: asking the DataFrame for its
-    # RDD partitions would, under AQE, execute upstream stages early.
-    if len(lines.inputFiles()) < target:
-        return lines.repartition(target)
-    return lines
-
-
 def _verdict_exprs() -> dict:
     doc_ok = F.col("doc_ok")
     insp = F.col("insp")
@@ -339,15 +347,15 @@ def _verdict_exprs() -> dict:
         "event_id": F.col("v_event_id"),
         "schema_version": F.coalesce(
             F.col("v_schema_version"), F.when(F.col("t_schema_version").isNull(), F.lit(SCHEMA_VERSION))
-        ).cast("int"),
+        ).try_cast("int"),
         "player_id": F.col("v_player_id"),
         "event_type": F.col("v_event_type"),
         "event_time": F.col("v_event_time"),
         "received_at": F.col("v_received_at"),
         "game_version": F.col("v_game_version"),
         "platform": F.col("v_platform"),
-        "level": F.col("v_level").cast("int"),
-        "amount_cents": F.col("v_amount_cents").cast("int"),
+        "level": F.col("v_level").try_cast("int"),
+        "amount_cents": F.col("v_amount_cents").try_cast("int"),
         "currency": F.col("v_currency"),
         "reason": F.col("v_reason"),
     }
@@ -365,11 +373,14 @@ def _verdict_exprs() -> dict:
     return e
 
 
-def validate(lines: DataFrame, strict_duplicates: bool = False) -> DataFrame:
+def validate(lines: DataFrame, strict_duplicates: bool = False, partitions: int | None = None) -> DataFrame:
     """Per-line verdict: ``reason_code``/``details`` for the first failed stage
-    (NULL when the line is contract-valid) plus typed columns and ``is_late``."""
+    (NULL when the line is contract-valid) plus typed columns and ``is_late``.
+
+    ``partitions`` deals the lines round-robin to so many tasks first; by
+    default they stay where the scan has them."""
     e = _cached("verdict", _verdict_exprs)
-    parsed = parse_lines(spread(lines), strict_duplicates)
+    parsed = parse_lines(lines if partitions is None else lines.repartition(partitions), strict_duplicates)
     staged = parsed.withColumn("object_root", e["object_root"]).withColumn("insp", e["insp"])
     staged = _stage_codes(_stage_timestamps(_stage_values(_stage_types(staged))))
     staged = staged.withColumns(e["flags"]).withColumn("_privacy", e["privacy"])

@@ -7,9 +7,11 @@ rendered as naive UTC at the edge (``naive_utc``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenfold.functions.timeutil import naive_utc
 import datetime as dt
@@ -23,13 +25,16 @@ from lumenfold.operators.players import player_summary
 from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver, silver_columns
-from lumenfold.session import ensure_utc
+from lumenfold.operators.validate import validate
+from lumenfold.plans.warehouse import Warehouse
+from lumenfold.session import checkpoint_dir, ensure_checkpoint_dir, ensure_utc
 from lumenfold.functions.hashing import pseudonymize
 from lumenfold.operators.audit import constraint_audit
 from lumenfold.operators.privacy import scan_text
 from lumenfold.sources.tables import read_table
 from lumenfold.operators.ingest import bronze_rows, quarantine_rows, reason_summary, receipt_counts, route
-from lumenfold.sources.adapters import RAW_BATCH_ID, load_bronze, load_raw_lines
+from lumenfold.sources.adapters import RAW_BATCH_ID, RULE_CASES, load_bronze, load_raw_lines, rule_lines
+from lumenfold.sources.ndjson import read_ndjson
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,6 +164,65 @@ def q_summary(spark, sf_dir):
 PSEUDONYM_SECRET = "lumenfold-example-secret-2024"
 
 
+def _scratch(spark, name):
+    ensure_checkpoint_dir(spark)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _keep_result(spark, result, path):
+    """The (small) result on its own, with the folder it was read from removed."""
+    result = result.checkpoint(eager=True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return result
+
+
+def q_ndjson_lines(spark, sf_dir):
+    """A1, A2: the raw lines written as NDJSON files in order and read back with their numbers."""
+    path = _scratch(ensure_utc(spark), "ndjson")
+    load_raw_lines(spark, sf_dir).orderBy("line_number").select("raw").write.text(path)
+    lines, _ = read_ndjson(spark, path, "files")
+    raw = F.col("raw")
+    digits = F.regexp_extract(raw, r"(?:broken |^\[)(\d+)", 1)
+    hex_id = F.regexp_extract(raw, r"(?i)evt_([0-9a-f]{16})", 1)
+    source = F.when(digits != "", digits).otherwise(F.conv(hex_id, 16, 10)).cast("bigint")
+    return _keep_result(spark, lines.select("line_number", source.alias("source_id")), path)
+
+
+def q_warehouse_two_batches(spark, sf_dir):
+    """Two overlapping batches of the raw lines in one warehouse; rows by outcome."""
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = Warehouse(spark, root).initialize()
+    lines = load_raw_lines(spark, sf_dir)
+    source = F.shiftright(F.col("line_number") - 1, 1)
+    first, second = source % 3 != 0, (source % 3 == 0) | (source % 5 == 0)
+    for name, part in (("first", first), ("second", second)):
+        warehouse.ingest_lines(lines.where(part), name, name)
+    accepted = warehouse.bronze().groupBy("batch_id").agg(F.count("*").alias("rows"))
+    result = accepted.select("batch_id", F.lit("accepted").alias("outcome"), "rows").union(
+        reason_summary(warehouse.quarantine())
+    )
+    counts = warehouse.receipts().select(
+        "batch_id", F.explode(F.create_map(
+            F.lit("receipt:received"), F.col("received_count"),
+            F.lit("receipt:accepted"), F.col("accepted_count"),
+            F.lit("receipt:quarantined"), F.col("quarantine_count"),
+        )).alias("outcome", "rows"),
+    )
+    return _keep_result(spark, result.union(counts), root)
+
+
+def q_contract_rules(spark, sf_dir):
+    """A changed line per event and rule; verdicts, rule codes and levels by case."""
+    lines = rule_lines(read_table(ensure_utc(spark), sf_dir, "events", ("event_id",)))
+    case = ((F.col("line_number") - 1) % len(RULE_CASES)).cast("int").alias("case_no")
+    return (
+        validate(lines)
+        .groupBy(case, F.coalesce("reason_code", F.lit("accepted")).alias("verdict"), F.coalesce("details", F.lit("")).alias("codes"))
+        .agg(F.count("*").alias("rows"), F.max("level").alias("level"))
+    )
+
+
 def q_documents_privacy(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return scan_text(docs, ["doc_id"], "text")
@@ -243,6 +307,9 @@ QUERIES: dict[str, Query] = {
     "ingest_receipt": q_ingest_receipt,
     "quarantine_reasons": q_quarantine_reasons,
     "ingest_bronze": q_ingest_bronze,
+    "ndjson_lines": q_ndjson_lines,
+    "warehouse_two_batches": q_warehouse_two_batches,
+    "contract_rules": q_contract_rules,
     "summary": q_summary,
     "documents_privacy": q_documents_privacy,
     "conversations_privacy": q_conversations_privacy,

@@ -2,18 +2,18 @@
 
 Layout under ``root`` (any Hadoop-compatible URI)::
 
-    receipts/batch_id=<id>/     one row per committed batch (the commit marker)
-    bronze/batch_id=<id>/       accepted events of that batch
-    quarantine/batch_id=<id>/   rejected lines of that batch
+    receipts/batch_id=<id>/                 one row per committed batch (the commit marker)
+    bronze/batch_id=<id>/attempt_id=<a>/      accepted events of one attempt at that batch
+    quarantine/batch_id=<id>/attempt_id=<a>/  rejected lines of that attempt
     silver/v=<version>/         silver of one rebuild
     gold/v=<version>/<table>/   the six gold tables of one rebuild
     gold/_committed/<version>   marker: the version is complete
 
-Exactly-once without transactions: a batch writes its own bronze and
-quarantine partitions (dynamic partition overwrite, so a retry replaces only
-its own partitions) and appends its receipt last. Readers join bronze and
-quarantine to the receipts (``left_semi``), so a half-written batch is
-invisible. A rebuild writes a new version and publishes it by creating its
+Exactly-once without transactions: every attempt at a batch only appends, to
+partitions of its own, and its receipt, written last, names the attempt. Readers
+join bronze and quarantine to the receipts on batch and attempt (``left_semi``),
+so what a failed attempt left is never seen, whatever the session's overwrite
+mode. A rebuild writes a new version and publishes it by creating its
 marker; a failed rebuild leaves the previous version current. Single writer
 per warehouse, as in the reference design.
 """
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lumenfold import __version__
 from lumenfold.operators import metrics as M
@@ -52,9 +53,11 @@ from lumenfold.schema import (
     RECEIPTS,
 )
 from lumenfold.session import checkpoint_dir, ensure_utc
-from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, records_to_lines
+from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, read_ndjson, records_to_lines
 
 RECEIPT_LISTING_LIMIT = 100
+#: Partition column of one attempt at a batch.
+ATTEMPT = StructField("attempt_id", StringType())
 EXPORT_SCOPE = "current global gold tables; cohort review filters are separate"
 
 
@@ -120,13 +123,15 @@ class Warehouse:
 
     # -- durable table scans (A16) -------------------------------------------
     def receipts(self) -> DataFrame:
-        return self.spark.read.schema(RECEIPTS).parquet(self.receipts_path)
+        return self._stored_receipts().select(*RECEIPTS.fieldNames())
+
+    def _stored_receipts(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*RECEIPTS.fields, ATTEMPT])).parquet(self.receipts_path)
 
     def _committed(self, path: str, schema) -> DataFrame:
-        table = self.spark.read.schema(schema).parquet(path)
-        return table.join(self.receipts().select("batch_id"), "batch_id", "left_semi").select(
-            *[f.name for f in schema.fields]
-        )
+        table = self.spark.read.schema(StructType([*schema.fields, ATTEMPT])).parquet(path)
+        attempts = self._stored_receipts().select("batch_id", "attempt_id")
+        return table.join(attempts, ["batch_id", "attempt_id"], "left_semi").select(*schema.fieldNames())
 
     def bronze(self) -> DataFrame:
         return self._committed(self.bronze_path, BRONZE)
@@ -181,22 +186,22 @@ class Warehouse:
         routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             now = dt.datetime.now(dt.timezone.utc)
-            (bronze_rows(routed).write.mode("overwrite").partitionBy("batch_id").parquet(self.bronze_path))
-            (
-                quarantine_rows(routed, quarantined_at=now)
-                .write.mode("overwrite")
-                .partitionBy("batch_id")
-                .parquet(self.quarantine_path)
-            )
+            attempt = uuid.uuid4().hex
+            parts = ("batch_id", "attempt_id")
+            for rows, path in (
+                (bronze_rows(routed), self.bronze_path),
+                (quarantine_rows(routed, quarantined_at=now), self.quarantine_path),
+            ):
+                rows.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy(*parts).parquet(path)
             counts = receipt_counts(routed).first()
         finally:
             routed.unpersist()
         receipt = self.spark.createDataFrame(
             [(batch_id, source_sha256, now, now, counts["received_count"], counts["accepted_count"],
-              counts["quarantine_count"])],
-            RECEIPTS,
+              counts["quarantine_count"], attempt)],
+            StructType([*RECEIPTS.fields, ATTEMPT]),
         )
-        receipt.write.mode("overwrite").partitionBy("batch_id").parquet(self.receipts_path)
+        receipt.write.mode("append").partitionBy("batch_id").parquet(self.receipts_path)
         return IngestionResult(
             batch_id, source_sha256, counts["received_count"], counts["accepted_count"], counts["quarantine_count"]
         )
@@ -209,7 +214,16 @@ class Warehouse:
             size = self.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
             if size == 0 or size > self.limits.max_input_bytes:
                 raise InputRefused("input must be non-empty and within the byte limit")
-        return self.ingest_files(self.spark.read.format("binaryFile").load(path), batch_id, strict)
+        lines, bad = read_ndjson(self.spark, path, batch_id)
+        staging = f"{checkpoint_dir(self.spark).rstrip('/')}/lumenfold-lines-{uuid.uuid4().hex}"
+        try:
+            if not bad.isEmpty():
+                raise UnicodeDecodeError("utf-8", b"", 0, 1, "source is not valid UTF-8")
+            lines = materialize(lines, staging)  # digest, limits and validation read it
+            return self.ingest_lines(lines, batch_id, lines_digest(lines).first()["source_sha256"], strict)
+        finally:
+            fs, p = self._fs(staging)
+            fs.delete(p, True)
 
     def ingest_files(self, files: DataFrame, batch_id: str, strict: bool = False) -> IngestionResult:
         """Ingest ``binaryFile`` rows as one batch (also used per micro-batch by
@@ -327,7 +341,7 @@ class Warehouse:
 
     def audit(self) -> DataFrame:
         """A18 over the warehouse tables."""
-        bronze = self.spark.read.schema(BRONZE).parquet(self.bronze_path)
+        bronze = self.bronze()
         receipts = self.receipts()
         b = constraint_audit(
             bronze,
@@ -353,7 +367,7 @@ class Warehouse:
             },
         )
         q = constraint_audit(
-            self.spark.read.schema(QUARANTINE).parquet(self.quarantine_path),
+            self.quarantine(),
             "quarantine_events",
             primary_key=["quarantine_id"],
             checks={"check:line_number>0": F.col("line_number") > 0},

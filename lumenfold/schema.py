@@ -74,9 +74,9 @@ RECEIPTS = T.StructType(
         T.StructField("source_sha256", T.StringType(), False),
         T.StructField("started_at", T.TimestampType(), False),
         T.StructField("completed_at", T.TimestampType(), False),
-        T.StructField("received_count", T.IntegerType(), False),
-        T.StructField("accepted_count", T.IntegerType(), False),
-        T.StructField("quarantine_count", T.IntegerType(), False),
+        T.StructField("received_count", T.LongType(), False),
+        T.StructField("accepted_count", T.LongType(), False),
+        T.StructField("quarantine_count", T.LongType(), False),
     ]
 )
 

@@ -128,7 +128,7 @@ def raw_event_lines(events: DataFrame, batch_id: str = RAW_BATCH_ID) -> DataFram
     )
     from lumenfold.sources.ndjson import canonical_json  # local: avoids an import cycle
 
-    body = canonical_json(record.drop("src_id"))
+    body = canonical_json(record.drop("src_id"), nulls=False)
     raw = (
         F.when(sid % CORRUPT_INVALID_JSON == 0, F.concat(F.lit('{"event_id": broken '), sid.cast("string")))
         .when(sid % CORRUPT_NOT_OBJECT == 0, F.concat(F.lit("["), sid.cast("string"), F.lit("]")))
@@ -144,3 +144,60 @@ def raw_event_lines(events: DataFrame, batch_id: str = RAW_BATCH_ID) -> DataFram
 
 def load_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_event_lines(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
+
+
+# Fixed plan of one change per line for the contract rules: by event id modulo the
+# number of cases, the piece that is changed and its new text (others stay valid).
+RULE_CASES: tuple[tuple[str, str], ...] = (
+    ("", ""),
+    ("properties", '{"level":3000000000}'),
+    ("event_time", '"12:00:00Z"'),
+    ("event_time", "1000000000000000000"),
+    ("properties", '{"level":9,"level":2}'),
+    ("properties", r'{"level":" 3\t"}'),
+    ("properties", '{"level":"1_0"}'),
+    ("properties", '{"level":2.5}'),
+    ("properties", "{}"),
+    ("platform", '"toaster"'),
+    ("event_type", '"fly"'),
+    ("extra", ',"zz":1'),
+    ("properties", '{"level":3,"q":1}'),
+    ("event_time", '"2026-01-01T00:00:00"'),
+    ("received_at", '"2001-01-01T00:00:00Z"'),
+    ("schema_version", "2"),
+    ("schema_version", "null"),
+    ("schema_version", "99999999999"),
+    ("properties", "[]"),
+    ("properties", '{"level":3,"currency":"usd"}'),
+    ("extra", ',"pa\u017f\u017fword":1'),
+    ("event_time", '"2026-01-01T10:00:00+20:00"'),
+    ("event_type", '"purchase"'),
+    ("properties", '{"level":3,"reason":""}'),
+    ("event_time", '"2026-8-1T2:0:0Z"'),
+    ("player_id", '"someone"'),
+    ("game_version", "7"),
+)
+
+
+def rule_lines(events: DataFrame, batch_id: str = "rules") -> DataFrame:
+    """A line per driver event, changed by RULE_CASES; ``(batch_id, line_number, raw)``."""
+    case = F.pmod(F.col("event_id"), F.lit(len(RULE_CASES))).cast("int")
+    pieces = {
+        "event_id": F.concat(F.lit('"evt_'), F.lpad(F.lower(F.hex("event_id")), 16, "0"), F.lit('"')),
+        "event_time": F.lit('"2026-01-01T00:00:00+00:00"'),
+        "event_type": F.lit('"level_start"'),
+        "game_version": F.lit('"1.2.3"'),
+        "platform": F.lit('"pc"'),
+        "player_id": F.lit('"ply_00000000000a"'),
+        "properties": F.lit('{"level":3}'),
+        "received_at": F.lit('"2026-01-01T00:00:05+00:00"'),
+        "schema_version": F.lit("1"),
+        "extra": F.lit(""),
+    }
+    for n, (piece, text) in enumerate(RULE_CASES):
+        if piece:
+            pieces[piece] = F.when(case == n, F.lit(text)).otherwise(pieces[piece])
+    extra = pieces.pop("extra")
+    joined = [F.concat(F.lit(f'"{name}":'), value) for name, value in pieces.items()]
+    raw = F.concat(F.lit("{"), F.concat_ws(",", *joined), extra, F.lit("}"))
+    return events.select(F.lit(batch_id).alias("batch_id"), (F.col("event_id") + 1).alias("line_number"), raw.alias("raw"))

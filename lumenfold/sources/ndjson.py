@@ -1,15 +1,16 @@
 """NDJSON sources and sink.
 
-* ``read_ndjson``: whole files via the ``binaryFile`` source, so a line's
-  physical number and the file's SHA-256 are exact. Files are split into
-  lines on the full Python ``splitlines`` separator set. Each file is one
-  task (the binary source caps a file at 2 GB); a batch of many part files
-  is read in parallel.
+* ``read_ndjson``: a splittable text scan, so a file of any size is read by as
+  many tasks as it has splits. Lines end at the full Python ``splitlines``
+  separator set and are numbered by offsets of the splits; the text itself is
+  not shuffled. ``lines_from_files`` does the same for ``binaryFile`` rows
+  (file-arrival streams, one task per file).
 * ``number_rows``: consecutive 1-based numbers for an ordered DataFrame
   without a single-partition window (count per partition, then offsets --
   the DataFrame form of ``zipWithIndex``).
 * ``lines_digest``: content digest of a numbered line set computed as a
-  fixed-fanout SHA-256 tree, so no task ever sees more than one chunk.
+  fixed-fanout SHA-256 tree over line digests, so no task ever sees more than
+  one chunk of them. Files and records with the same lines have the same digest.
 * ``write_ndjson``: canonical lines (keys sorted at every level, compact).
 """
 
@@ -23,6 +24,7 @@ from lumenfold.operators.privacy import PY_WHITESPACE_CLASS
 
 # Fixed value: the separators Python's str.splitlines() breaks on.
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+OTHER_BREAKS = r"[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 NON_BLANK = "[^" + PY_WHITESPACE_CLASS + "]"
 DIGEST_FANOUT = 4096
 _ROW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
@@ -34,17 +36,6 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
 
 
-def batch_checksum(digests: DataFrame) -> DataFrame:
-    """One file -> its own SHA-256; several files -> SHA-256 over their sorted
-    digests joined by newlines (1 row, bounded by the number of files)."""
-    agg = digests.agg(F.sort_array(F.collect_list("sha256")).alias("d"))
-    return agg.select(
-        F.when(F.size("d") == 1, F.col("d")[0])
-        .otherwise(F.sha2(F.array_join("d", "\n"), 256))
-        .alias("source_sha256")
-    )
-
-
 def split_lines(text_col: str = "text") -> F.Column:
     """``str.splitlines()``: split on every separator, drop the empty tail
     left by a trailing separator."""
@@ -61,12 +52,11 @@ def lines_from_files(files: DataFrame, batch_id: str) -> tuple[DataFrame, DataFr
     Returns ``(lines, invalid_utf8_files, checksum)``: ``lines`` has
     (batch_id, source_file, line_number, raw) for non-blank lines (blank
     lines are skipped but still counted); ``invalid_utf8_files`` must be empty
-    before anything is written; ``checksum`` is one row ``source_sha256``.
+    before anything is written; ``checksum`` is one row ``source_sha256`` (see ``lines_digest``).
     """
     decoded = files.select(
         F.col("path").alias("source_file"),
         F.col("content").cast("string").alias("text"),
-        F.sha2(F.col("content"), 256).alias("sha256"),
     )
     bad = decoded.filter(~F.is_valid_utf8("text")).select("source_file")
     # Files of one batch are numbered consecutively in path order: each file's
@@ -89,13 +79,50 @@ def lines_from_files(files: DataFrame, batch_id: str) -> tuple[DataFrame, DataFr
             "raw",
         )
     )
-    checksum = batch_checksum(decoded.select("sha256"))
-    return lines.filter(F.col("raw").rlike(NON_BLANK)), bad, checksum
+    lines = lines.filter(F.col("raw").rlike(NON_BLANK))
+    return lines, bad, lines_digest(lines)
 
 
-def read_ndjson(spark: SparkSession, path: str, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A1: NDJSON file(s) at ``path`` (see ``lines_from_files``)."""
-    return lines_from_files(spark.read.format("binaryFile").load(path), batch_id)
+def read_ndjson(spark: SparkSession, path: str, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """A1: NDJSON file(s) at ``path`` as ``(lines, invalid_utf8)``.
+
+    ``lines`` has (batch_id, source_file, line_number, raw) for non-blank lines;
+    files are numbered on in path order and blank lines are counted. Rows of
+    ``invalid_utf8`` (source_file) must be absent before anything is written.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    parts = F.split("value", OTHER_BREAKS, -1)
+    # The scan ends lines at \\n, \\r and \\r\\n; few hold one of the other separators.
+    text = text.withColumn("parts", F.when(F.col("value").rlike(OTHER_BREAKS), parts).otherwise(F.array("value")))
+    key = ["source_file", "split"]
+    counts = text.groupBy(*key).agg(
+        F.min("at").alias("first"),
+        F.sum(F.size("parts")).alias("lines"),
+        F.max(F.size("parts") > 1).alias("uneven"),
+    )
+    # One row per split of the input.
+    before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
+    joined = text.join(F.broadcast(counts), key)
+    even = joined.where("not uneven").withColumn("offset", F.col("at") - F.col("first"))
+    inside = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    uneven = joined.where("uneven").withColumn("offset", F.coalesce(F.sum(F.size("parts")).over(inside), F.lit(0)))
+    numbered = even.unionByName(uneven).select(
+        F.lit(batch_id).alias("batch_id"),
+        "source_file",
+        F.posexplode("parts").alias("pos", "raw"),
+        (F.col("base") + F.col("offset") + 1).alias("start"),
+    )
+    lines = numbered.select(
+        "batch_id", "source_file", (F.col("start") + F.col("pos")).cast("bigint").alias("line_number"), "raw"
+    )
+    bad = text.filter(~F.is_valid_utf8("value")).select("source_file")
+    return lines.filter(F.col("raw").rlike(NON_BLANK)), bad
 
 
 def number_rows(df: DataFrame, out_col: str = "line_number") -> DataFrame:
@@ -132,10 +159,11 @@ def _sorted_struct(dtype: T.DataType, col: F.Column) -> F.Column:
     return col
 
 
-def canonical_json(df: DataFrame) -> F.Column:
-    """Compact JSON with keys sorted at every nesting level; NULL fields omitted."""
+def canonical_json(df: DataFrame, nulls: bool = True) -> F.Column:
+    """Compact JSON with keys sorted at every nesting level; NULL fields are written as null, or left out."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    return F.to_json(F.struct(*[_sorted_struct(f.dataType, F.col(f.name)).alias(f.name) for f in fields]))
+    row = F.struct(*[_sorted_struct(f.dataType, F.col(f.name)).alias(f.name) for f in fields])
+    return F.to_json(row, {"ignoreNullFields": "false" if nulls else "true"})
 
 
 def records_to_lines(records: DataFrame, order_by: list[str], batch_id: str) -> DataFrame:
@@ -145,10 +173,10 @@ def records_to_lines(records: DataFrame, order_by: list[str], batch_id: str) ->
 
 
 def lines_digest(lines: DataFrame) -> DataFrame:
-    """1-row ``source_sha256`` for numbered lines: SHA-256 over chunks of
-    ``DIGEST_FANOUT`` lines ("line\\n" each), then over groups of chunk
-    digests, then over the group digests. Every level aggregates at most
-    ``DIGEST_FANOUT`` items per group, so no task holds the whole batch."""
+    """1-row ``source_sha256`` for numbered lines: SHA-256 of each line, over the
+    digests of ``DIGEST_FANOUT`` consecutive numbers, over groups of those, and
+    over the group digests. Lines themselves never leave their task, and every
+    group below the last has ``DIGEST_FANOUT`` digests at most."""
     fan = DIGEST_FANOUT
 
     def level(df: DataFrame, key: str, order: str, payload: str, out_key: str) -> DataFrame:
@@ -164,11 +192,11 @@ def lines_digest(lines: DataFrame) -> DataFrame:
         lines.select(
             F.floor((F.col("line_number") - 1) / fan).alias("chunk"),
             "line_number",
-            "raw",
+            F.sha2("raw", 256).alias("line_sha256"),
         ),
         "chunk",
         "line_number",
-        "raw",
+        "line_sha256",
         "chunk",
     )
     groups = level(chunks.withColumn("grp", F.floor(F.col("chunk") / fan)), "grp", "chunk", "digest", "grp")
