@@ -2,13 +2,13 @@
 
 Two character models are trained from labelled samples: random strings (hashes
 of numbers, written in hexadecimal, base 64 and letters and digits) and ordinary
-identifiers (words of the documents at hand, alone and joined as in names and
-paths). A candidate is a run of ``SHORTEST`` or more letters, digits and
+identifiers (words of the documents at hand, joined as in names and paths; fillers,
+counters and dates). A candidate is a run of ``SHORTEST`` or more letters, digits and
 ``+ / _ = -``. It is a secret if the sum over its character pairs of the log
 likelihood ratio, random against ordinary, reaches ``THRESHOLD``.
 
-Everything runs in DataFrame functions. Both samples are bounded (``STRINGS`` and
-``SAMPLE_DOCS``); scanning covers whole texts of every row. Training collects one
+Everything runs in DataFrame functions. Both samples are bounded (``STRINGS``,
+``SAMPLE_DOCS`` and ``FILLERS``); scanning covers whole texts of every row. Training collects one
 count per character pair.
 
 Null and empty texts have no spans. Spans count code points, with exclusive
@@ -38,6 +38,7 @@ SHORTEST = 20
 THRESHOLD = 12.0
 STRINGS = 4000
 SAMPLE_DOCS = 1000
+FILLERS = 200
 
 #: Letters by case, digits and the five marks; a row and a column of the pair table each.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -60,7 +61,7 @@ def random_strings(spark: SparkSession, count: int = STRINGS) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
-    """(value) identifiers: words of about ``count`` documents, alone and joined by case, mark or nothing."""
+    """(value) identifiers: words of about ``count`` documents, joined by case, mark or nothing, and plain fillers."""
     total = docs.count()
     share = max(1, math.ceil(1_000_000 * min(1.0, count / max(total, 1))))
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
@@ -75,7 +76,13 @@ def ordinary_strings(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
         out = out.when(kind == 2, F.concat_ws("/", three)).when(kind == 3, F.concat_ws("-", three)).when(kind == 4, name)
         return out.otherwise(F.upper(F.concat_ws("_", three)))
 
-    return words.select(F.explode(F.transform(at, joined)).alias("value"))
+    names = words.select(F.explode(F.transform(at, joined)).alias("value"))
+    # Rules and fillers of one character, counters and dates are ordinary as well.
+    fills = F.array(*(F.lit(c * 30) for c in ALPHABET))
+    date = F.date_format(F.timestamp_seconds(F.col("id") * 864_013), "yyyy-MM-dd-HH-mm-ss")
+    counter = F.lpad((F.col("id") * 7919).cast("string"), 24, "0")
+    plain = docs.sparkSession.range(0, FILLERS, 1, 4).select(F.explode(F.concat(fills, F.array(date, counter))).alias("value"))
+    return names.union(plain)
 
 
 def pair_counts(strings: DataFrame) -> list[list[float]]:
