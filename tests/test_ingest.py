@@ -15,7 +15,8 @@ from lumenfold.plans.warehouse import (
     Warehouse,
     check_batch_id,
 )
-from lumenfold.sources.ndjson import split_lines
+from lumenfold.operators.audit import insert_if_absent
+from lumenfold.sources.ndjson import read_ndjson, split_lines, write_ndjson
 
 
 def new_wh(spark, workdir, **kw):
@@ -86,12 +87,74 @@ def test_admission_limits(spark, workdir, make):
 def test_uncommitted_batch_is_invisible(spark, workdir, make):
     wh = new_wh(spark, workdir)
     wh.ingest_lines(lines_df(spark, [canonical(make(1))], "ok"), "ok", "x")
-    # A crashed batch: bronze partition written, no receipt.
-    stray = wh.bronze().limit(1).withColumn("batch_id", F.lit("crashed"))
-    stray.write.mode("overwrite").partitionBy("batch_id").parquet(wh.bronze_path)
+    leave_attempt(wh, "crashed")
     assert wh.bronze().count() == 1
 
 
+def leave_attempt(wh, batch_id):
+    """What an attempt leaves that stopped before its receipt: a bronze partition."""
+    stray = wh.bronze().limit(1).withColumns({"batch_id": F.lit(batch_id), "attempt_id": F.lit("stopped")})
+    stray.write.mode("append").partitionBy("batch_id", "attempt_id").parquet(wh.bronze_path)
+
+
+def test_retry_that_accepts_nothing_shows_no_rows_of_the_stopped_attempt(spark, workdir, make):
+    wh = new_wh(spark, workdir)
+    line = canonical(make(1))
+    wh.ingest_lines(lines_df(spark, [line], "y"), "y", "sum-y")
+    leave_attempt(wh, "x")
+    again = wh.ingest_lines(lines_df(spark, [line], "x"), "x", "sum-x")
+    assert (again.accepted, again.quarantined) == (0, 1)
+    assert [r.batch_id for r in wh.bronze().collect()] == ["y"]
+    assert wh.audit().agg(F.sum("violations")).first()[0] == 0
+
+
+def test_second_batch_keeps_the_first_under_static_overwrite(spark, workdir, make):
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "static")
+    try:
+        wh = new_wh(spark, workdir)
+        for n, name in enumerate(("a", "b"), 1):
+            wh.ingest_lines(lines_df(spark, [canonical(make(n)), "{"], name), name, name)
+        assert sorted(r.batch_id for r in wh.receipts().collect()) == ["a", "b"]
+        assert wh.bronze().count() == 2 and wh.quarantine().count() == 2
+    finally:
+        spark.conf.set(mode, before)
+
+
+def test_files_and_records_with_the_same_lines_have_the_same_checksum(spark, workdir):
+    rows = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(1, 8)], "n int, s string")
+    path = os.path.join(workdir, "lines")
+    write_ndjson(rows.coalesce(1).orderBy("n"), path)
+    wh = new_wh(spark, workdir)
+    from_files, from_records = wh.ingest_ndjson(path, "f"), wh.ingest_records(rows, "r", ["n"])
+    assert from_files.source_sha256 == from_records.source_sha256
+    assert '"s":null' in wh.quarantine().where("line_number = 1").first().raw_payload
+
+
+def test_file_lines_are_numbered_across_splits_and_separators(spark, workdir):
+    text = "".join(f"line {i}" + ("\n", "\r\n", "\x0b", "\u2028", "\n\n")[i % 5] for i in range(400)) + "end\n"
+    text += "plain\n" * 500  # splits without the rarer separators
+    for name in ("b", "a"):
+        write_text(os.path.join(workdir, f"{name}.ndjson"), text)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "500b")
+    try:
+        lines, bad = read_ndjson(spark, f"{workdir}/*.ndjson", "n")
+        got = [(r.line_number, r.raw) for r in lines.orderBy("line_number").collect()]
+        assert spark.read.text(f"{workdir}/*.ndjson").rdd.getNumPartitions() > 4 and bad.isEmpty()
+    finally:
+        spark.conf.set(size, before)
+    want = [(n, x) for n, x in enumerate((text + text).splitlines(), 1) if x.strip()]
+    assert got == want
+
+
+def test_insert_if_absent_takes_a_key_once(spark):
+    have, come = (spark.createDataFrame([(k, v) for k, v in rows], "k int, v string") for rows in ([(1, "a")], [(1, "b"), (2, "c"), (2, "d")]))
+    assert [r.k for r in insert_if_absent(have, come, ["k"]).collect()] == [2]
+
+
 def test_splitlines_parity(spark):
     text = "a\nb\r\nc\rd\x0be\x0cf\x1cg\x1dh\x1ei\x85j k l\n\n m \n"
     got = spark.createDataFrame([(text,)], "text string").select(split_lines("text").alias("x")).first()["x"]
