@@ -38,7 +38,7 @@ SHORTEST = 20
 THRESHOLD = 12.0
 STRINGS = 4000
 SAMPLE_DOCS = 1000
-FILLERS = 200
+FILLERS = 2000
 
 #: Letters by case, digits and the five marks; a row and a column of the pair table each.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -78,7 +78,7 @@ def ordinary_strings(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
 
     names = words.select(F.explode(F.transform(at, joined)).alias("value"))
     # Rules and fillers of one character, counters and dates are ordinary as well.
-    fills = F.array(*(F.lit(c * 30) for c in ALPHABET))
+    fills = F.when(F.col("id") % 40 == 0, F.array(*(F.lit(c * 30) for c in ALPHABET))).otherwise(F.array().cast("array<string>"))
     date = F.date_format(F.timestamp_seconds(F.col("id") * 864_013), "yyyy-MM-dd-HH-mm-ss")
     counter = F.lpad((F.col("id") * 7919).cast("string"), 24, "0")
     plain = docs.sparkSession.range(0, FILLERS, 1, 4).select(F.explode(F.concat(fills, F.array(date, counter))).alias("value"))
