@@ -91,7 +91,7 @@ class AdmissionLimits:
 def check_batch_id(batch_id: str, strict: bool = False) -> str:
     """A5: 1..80 characters; strict mode also restricts the alphabet."""
     if not isinstance(batch_id, str) or not batch_id or len(batch_id) > MAX_BATCH_ID_CHARS:
-        raise ValueError("batch_id must contain between 1 and 80 characters")
+        raise ValueError(f"batch_id must be a text of 1 to {MAX_BATCH_ID_CHARS} characters")
     if strict and not re.fullmatch(BATCH_ID_STRICT_PATTERN, batch_id):
         raise ValueError("batch_id must start with a letter or digit and use only [A-Za-z0-9_.:-]")
     return batch_id
@@ -152,7 +152,7 @@ class Warehouse:
         if prior:
             row = prior[0]
             if row["source_sha256"] != source_sha256:
-                raise BatchConflictError("batch_id already exists with a different source checksum")
+                raise BatchConflictError(f"batch {batch_id!r} was committed from other bytes")
             return IngestionResult(
                 batch_id, source_sha256, row["received_count"], row["accepted_count"],
                 row["quarantine_count"], already_processed=True,
@@ -165,7 +165,7 @@ class Warehouse:
             if self.limits.max_warehouse_rows is not None:
                 held = self.receipts().agg(F.coalesce(F.sum("received_count"), F.lit(0))).first()[0]
                 if held + n > self.limits.max_warehouse_rows:
-                    raise InputRefused("warehouse row budget reached; existing data was preserved")
+                    raise InputRefused("the warehouse has no room for so many lines; nothing was written")
         staging = f"{checkpoint_dir(self.spark).rstrip('/')}/lumenfold-stage-{uuid.uuid4().hex}"
         try:
             return self._validate_route_commit(lines, batch_id, source_sha256, strict, staging)

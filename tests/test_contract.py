@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from conftest import canonical, lines_df
 from lumenfold.functions.hashing import hmac_pads, pseudonymize
 from lumenfold.operators.ingest import route
-from lumenfold.operators.privacy import walk_violations
+from lumenfold.operators.privacy import scan_json
 from lumenfold.operators.validate import validate
 
 
@@ -95,14 +95,24 @@ def test_privacy_precedes_contract_and_reports_paths(spark, make):
     assert out[1][1] == "email-like value at properties.email; sensitive key at properties.email"
 
 
-def test_privacy_walk_reports_keys_and_values_once():
-    found = walk_violations(
-        {"profile": {"email": "player@example.test", "notes": ["call 619-555-0101", "Bearer abcdefghijklmnop"]}}
-    )
-    assert found == sorted(set(found))
-    assert "sensitive key at profile.email" in found
-    assert "phone-like value at profile.notes[0]" in found
-    assert "bearer credential at profile.notes[1]" in found
+def test_privacy_scan_names_every_place_once():
+    raw = r'''{"a": [{"": {"x": "mail me: q@w.example"}}, ["Bearer 0123456789abc", 5]], "ApiKey": null, "a": [[], {"tel": "(212) 555-0199"}],
+        "k\ud800_token": "\u0071@w.example"}'''
+    is_object, found, flaw = scan_json(raw)
+    # The first "a" is replaced by the second; the escaped address is one all the same.
+    assert is_object and flaw == "repeated key"
+    assert found == [
+        "email-like value at k\ud800_token", "phone-like value at a[1].tel",
+        "sensitive key at ApiKey", "sensitive key at k\ud800_token",
+    ]
+    assert scan_json('{"": {"x": "q@w.example"}}')[1] == ["email-like value at x"]
+    assert scan_json('[{"email": 1}]') == (False, [], "no object") and scan_json('{"n": NaN}')[2] == "NaN"
+
+
+def test_lines_that_must_not_stop_a_batch(spark, make):
+    whole = canonical(make(properties={"note": "@"}))
+    lines = [whole.replace('"@"', "9" * 5000 + ', "m": "@"'), whole.replace('"note"', r'"\ud800email"'), canonical(make(schema_version=2**40))]
+    assert [v[0] for v in verdicts(spark, lines).values()] == ["invalid_json", "privacy_violation", "contract_violation"]
 
 
 def test_duplicates_lowest_line_wins(spark, make):
