@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenfold.functions.timeutil import utc_date
 from lumenfold.schema import GAME_VERSION_PATTERN, MAX_VERSION_LENGTH, PLATFORMS, RETENTION_DAYS
@@ -181,20 +180,17 @@ def cohort_review(
     retention, totals = cohort_frames(
         silver, cutoff, start=start, end=end, platform=platform, version=version, days=days
     )
-    spark = silver.sparkSession
-    header_schema = T.StructType(
-        [
-            T.StructField("schema_version", T.IntegerType()),
-            T.StructField("as_of", T.DateType()),
-            T.StructField("available_through", T.DateType()),
-            T.StructField("cohort_start", T.DateType()),
-            T.StructField("cohort_end", T.DateType()),
-            T.StructField("acquisition_platform", T.StringType()),
-            T.StructField("acquisition_version", T.StringType()),
-            T.StructField("definition", T.StringType()),
-        ]
-    )
-    header = spark.createDataFrame(
-        [(1, cutoff_value, available, start, end, platform, version, DEFINITION)], header_schema
+    given = {
+        "cohort_start": F.lit(start).cast("date"),
+        "cohort_end": F.lit(end).cast("date"),
+        "acquisition_platform": F.lit(platform).cast("string"),
+        "acquisition_version": F.lit(version).cast("string"),
+        "definition": F.lit(DEFINITION),
+    }
+    header = watermark(silver).select(
+        F.lit(1).alias("schema_version"),
+        F.coalesce(F.lit(as_of).cast("date"), "available_through").alias("as_of"),
+        "available_through",
+        *(value.alias(name) for name, value in given.items()),
     )
     return CohortReview(header=header, totals=totals, retention=retention.orderBy("cohort_date", "day_number"))

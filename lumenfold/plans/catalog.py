@@ -258,6 +258,32 @@ def q_orders_audit(spark, sf_dir):
     )
 
 
+def q_orders_audit_broken(spark, sf_dir):
+    """The audit over all orders with rows broken by the remainder of their key."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    customer = read_table(spark, sf_dir, "customer", ["c_custkey"])
+    key = F.col("o_orderkey")
+    broken = orders.select(
+        key,
+        F.when(key % 97 == 0, None).when(key % 79 == 0, -1 - key).otherwise(F.col("o_custkey")).alias("o_custkey"),
+        F.when(key % 83 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 89 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+        F.when(key % 71 != 0, F.col("o_orderdate")).alias("o_orderdate"),
+        F.explode(F.when(key % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+    return constraint_audit(
+        broken,
+        "orders",
+        primary_key=["o_orderkey"],
+        not_null=["o_custkey", "o_orderdate"],
+        checks={
+            "check:o_totalprice>=0": F.col("o_totalprice") >= 0,
+            "check:o_orderstatus_enum": F.col("o_orderstatus").isin("O", "F", "P"),
+        },
+        foreign_keys=[(["o_custkey"], customer, ["c_custkey"], "foreign_key:o_custkey->customer")],
+    )
+
+
 def q_cohort_header(spark, sf_dir):
     return cohort_review(_silver_cols(spark, sf_dir), platform="pc", as_of=COHORT_AS_OF).header
 
@@ -315,6 +341,7 @@ QUERIES: dict[str, Query] = {
     "conversations_privacy": q_conversations_privacy,
     "customer_pseudonyms": q_customer_pseudonyms,
     "orders_audit": q_orders_audit,
+    "orders_audit_broken": q_orders_audit_broken,
     "cohort_header": q_cohort_header,
     "events_audit": q_events_audit,
 }
