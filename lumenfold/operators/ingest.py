@@ -40,6 +40,7 @@ def route(
     existing_ids: DataFrame | None = None,
     strict_duplicates: bool = False,
     checked: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Validated lines with the final ``reason_code`` (NULL = accepted).
 
@@ -50,7 +51,7 @@ def route(
     skew-join handling in the join back.
     """
     if checked is None:
-        checked = materialize(validate(lines, strict_duplicates))
+        checked = materialize(validate(lines, strict_duplicates, partitions))
     valid = checked.filter(F.col("reason_code").isNull())
     rejected = checked.filter(F.col("reason_code").isNotNull())
     first = valid.groupBy("event_id").agg(F.min("line_number").alias("_first_line"))

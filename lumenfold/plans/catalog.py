@@ -133,7 +133,7 @@ def q_cohort_totals_watermark(spark, sf_dir):
 
 
 def _routed(spark, sf_dir):
-    return route(load_raw_lines(ensure_utc(spark), sf_dir))
+    return route(load_raw_lines(ensure_utc(spark), sf_dir), partitions=spark.sparkContext.defaultParallelism)
 
 
 def q_ingest_quarantine(spark, sf_dir):
