@@ -40,7 +40,7 @@ LONGEST_GRAM = 4
 #: Added to every count.
 PRIOR = 0.5
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _RUNS = re.compile(r"[^\W\d_]+")
 

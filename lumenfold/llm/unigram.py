@@ -29,7 +29,7 @@ from lumenfold.llm.common import map_texts
 
 MARK = "▁"
 FALLBACK = 10.0
-MAX_NODES = 2_000_000
+MAX_NODES = 1_000_000
 MAX_SHARED = 64
 #: Shift of the Zipf law: a piece of rank r has a weight of 1 / (r + SHIFT).
 SHIFT = 2.7
