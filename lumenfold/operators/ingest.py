@@ -1,10 +1,9 @@
 """Batch routing: duplicates, bronze rows, quarantine rows, receipt counts
 (B17-B25, A8).
 
-``route`` is lazy and shuffle-light: validation is a projection; the only
-exchanges are the duplicate check on ``event_id`` (a partial-aggregating
-``min(line_number)`` plus a join, and an anti-lookup against the ids already
-in bronze).
+Validation is a projection. Duplicates are found on two narrow columns
+(``event_id``, ``line_number``); only the few lines that are duplicates are
+then joined to the whole rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.hashing import quarantine_id
 from lumenfold.operators.validate import validate
-from lumenfold.schema import BRONZE_COLUMNS, MAX_RAW_PAYLOAD_CHARS
+from lumenfold.schema import BRONZE_COLUMNS
 
 
 def materialize(df: DataFrame, location: str | None = None) -> DataFrame:
@@ -41,6 +40,7 @@ def route(
     strict_duplicates: bool = False,
     checked: DataFrame | None = None,
     partitions: int | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
     """Validated lines with the final ``reason_code`` (NULL = accepted).
 
@@ -48,40 +48,55 @@ def route(
     number wins, later copies and ids already present in bronze become
     ``duplicate_event``. A hot id (one copy group holding a large share of
     the batch) is merged map-side by the aggregate and split by AQE's
-    skew-join handling in the join back.
+    skew-join handling in the joins back. With ``staging`` the duplicates are
+    written there first: what is returned then reads neither ``existing_ids``
+    again nor shuffles whole rows while that table is small.
     """
     if checked is None:
         checked = materialize(validate(lines, strict_duplicates, partitions))
     valid = checked.filter(F.col("reason_code").isNull())
     rejected = checked.filter(F.col("reason_code").isNotNull())
-    first = valid.groupBy("event_id").agg(F.min("line_number").alias("_first_line"))
-    flagged = valid.join(first, "event_id")
-    if existing_ids is not None:
-        known = existing_ids.select("event_id").distinct().withColumn("_known", F.lit(True))
-        flagged = flagged.join(known, "event_id", "left")
+    twice = duplicate_lines(valid.select("event_id", "line_number"), existing_ids)
+    if staging is not None:
+        twice = materialize(twice, staging)
+    decided = valid.join(twice, ["event_id", "line_number"], "left").withColumns({
+        "reason_code": F.when(F.col("_twice"), F.lit("duplicate_event")),
+        "details": F.when(F.col("_twice"), F.col("event_id")).otherwise(F.col("details")),
+    })
+    return decided.drop("_twice").unionByName(rejected)
+
+
+def duplicate_lines(keys: DataFrame, existing_ids: DataFrame | None = None) -> DataFrame:
+    """(event_id, line_number, ``_twice``) of the lines whose id an earlier line or ``existing_ids`` holds."""
+    per_id = keys.groupBy("event_id").agg(F.min("line_number").alias("_first"), F.max("line_number").alias("_last"))
+    if existing_ids is None:
+        per_id = per_id.withColumn("_known", F.lit(False))
     else:
-        flagged = flagged.withColumn("_known", F.lit(None).cast("boolean"))
-    is_dup = (F.col("line_number") != F.col("_first_line")) | F.coalesce(F.col("_known"), F.lit(False))
-    decided = flagged.withColumn(
-        "reason_code", F.when(is_dup, F.lit("duplicate_event"))
-    ).withColumn(
-        "details", F.when(is_dup, F.col("event_id")).otherwise(F.col("details"))
-    ).drop("_first_line", "_known")
-    return decided.unionByName(rejected)
+        held = per_id.select("event_id").join(existing_ids.select("event_id"), "event_id", "left_semi")
+        per_id = per_id.join(held.withColumn("_known", F.lit(True)), "event_id", "left")
+    known = F.coalesce("_known", F.lit(False))
+    several = per_id.where(known | (F.col("_last") > F.col("_first")))
+    rows = keys.join(several, "event_id").where(known | (F.col("line_number") > F.col("_first")))
+    return rows.select("event_id", "line_number", F.lit(True).alias("_twice")).distinct()
 
 
-def bronze_rows(routed: DataFrame) -> DataFrame:
+def _payload(chars: int | None):
+    """The raw line, whole or (B20) cut to ``chars`` characters."""
+    return (F.col("raw") if chars is None else F.substring("raw", 1, chars)).alias("raw_payload")
+
+
+def bronze_rows(routed: DataFrame, payload_chars: int | None = None) -> DataFrame:
     """Accepted lines flattened to the bronze schema."""
     return routed.filter(F.col("reason_code").isNull()).select(
         *[c for c in BRONZE_COLUMNS if c not in ("raw_payload", "is_late", "batch_id")],
         "is_late",
         "batch_id",
-        F.substring("raw", 1, MAX_RAW_PAYLOAD_CHARS).alias("raw_payload"),
+        _payload(payload_chars),
     ).select(*BRONZE_COLUMNS)
 
 
-def quarantine_rows(routed: DataFrame, quarantined_at=None) -> DataFrame:
-    """Rejected lines with a deterministic id and bounded payload."""
+def quarantine_rows(routed: DataFrame, quarantined_at=None, payload_chars: int | None = None) -> DataFrame:
+    """Rejected lines with a deterministic id."""
     at = F.lit(quarantined_at).cast("timestamp") if quarantined_at is not None else F.current_timestamp()
     return routed.filter(F.col("reason_code").isNotNull()).select(
         quarantine_id(F.col("batch_id"), F.col("line_number"), F.col("reason_code")).alias("quarantine_id"),
@@ -89,7 +104,7 @@ def quarantine_rows(routed: DataFrame, quarantined_at=None) -> DataFrame:
         "line_number",
         "reason_code",
         F.coalesce("details", F.lit("")).alias("details"),
-        F.substring("raw", 1, MAX_RAW_PAYLOAD_CHARS).alias("raw_payload"),
+        _payload(payload_chars),
         at.alias("quarantined_at"),
     )
 

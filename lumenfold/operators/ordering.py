@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from lumenfold.functions.timeutil import minute_diff
 
 DEFAULT_BUCKET_SECONDS = 86400  # one UTC day per bucket
+#: Widths that bucket_width chooses from.
+BUCKET_WIDTHS = (86400, 3600, 60, 1)
+#: Rows of one (player, bucket) that a task may order.
+BUCKET_ROWS = 2_000_000
 BUCKET = "_bucket"
 
 
@@ -23,6 +27,23 @@ def with_bucket(df: DataFrame, time_col: str = "event_time", bucket_seconds: int
     return df.withColumn(BUCKET, F.floor(F.unix_seconds(F.col(time_col)) / bucket_seconds))
 
 
+def bucket_width(
+    df: DataFrame, key: str = "player_id", time_col: str = "event_time", max_rows: int = BUCKET_ROWS
+) -> int:
+    """The widest of BUCKET_WIDTHS with ``max_rows`` rows or fewer in every (key, bucket).
+
+    Results are the same at any width; this only keeps the buckets of a very
+    busy player small. The narrowest is taken where all others are too full.
+    One partial aggregate of two columns per width looked at; one number
+    reaches the driver.
+    """
+    for width in BUCKET_WIDTHS[:-1]:
+        counts = with_bucket(df.select(key, time_col), time_col, width).groupBy(key, BUCKET).count()
+        if (counts.agg(F.max("count")).first()[0] or 0) <= max_rows:
+            return width
+    return BUCKET_WIDTHS[-1]
+
+
 def _fine_window(key: str, time_col: str, tie_col: str):
     return Window.partitionBy(key, BUCKET).orderBy(time_col, tie_col)
 

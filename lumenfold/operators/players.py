@@ -25,7 +25,7 @@ def player_summary(silver: DataFrame, sessions: DataFrame, churn_days: int = CHU
         .alias("revenue_cents"),
     )
     session_counts = sessions.groupBy("player_id").agg(F.count(F.lit(1)).alias("sessions"))
-    latest = silver.agg(F.max("event_date").alias("latest_date"))
+    latest = per_player.agg(F.max("last_event_date").alias("latest_date"))  # reuses the exchange of per_player
     return (
         per_player.join(session_counts, "player_id", "left")
         .crossJoin(F.broadcast(latest))

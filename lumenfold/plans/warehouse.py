@@ -5,7 +5,7 @@ Layout under ``root`` (any Hadoop-compatible URI)::
     receipts/batch_id=<id>/                 one row per committed batch (the commit marker)
     bronze/batch_id=<id>/attempt_id=<a>/      accepted events of one attempt at that batch
     quarantine/batch_id=<id>/attempt_id=<a>/  rejected lines of that attempt
-    silver/v=<version>/         silver of one rebuild
+    silver/v=<version>/event_date=<d>/  silver of one rebuild
     gold/v=<version>/<table>/   the six gold tables of one rebuild
     gold/_committed/<version>   marker: the version is complete
 
@@ -26,7 +26,6 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -39,18 +38,29 @@ from lumenfold.operators.cohorts import CohortReview, cohort_review
 from lumenfold.operators.daily import daily_metrics
 from lumenfold.operators.funnel import funnel
 from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, receipt_counts, route
+from lumenfold.operators.ordering import bucket_width
 from lumenfold.operators.players import player_summary
 from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver
 from lumenfold.operators.validate import validate
 from lumenfold.schema import (
+    AMOUNT_RANGE,
     BATCH_ID_STRICT_PATTERN,
     BRONZE,
+    CURRENCY_PATTERN,
+    EVENT_ID_PATTERN,
+    EVENT_TYPES,
+    GAME_VERSION_PATTERN,
     GOLD_TABLES,
+    LEVEL_RANGE,
     MAX_BATCH_ID_CHARS,
+    PLATFORMS,
+    PLAYER_ID_PATTERN,
     QUARANTINE,
+    REASON_CODES,
     RECEIPTS,
+    SILVER_COLUMNS,
 )
 from lumenfold.session import checkpoint_dir, ensure_utc
 from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, read_ndjson, records_to_lines
@@ -98,8 +108,16 @@ def check_batch_id(batch_id: str, strict: bool = False) -> str:
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str, limits: AdmissionLimits | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        limits: AdmissionLimits | None = None,
+        payload_chars: int | None = None,
+    ):
+        """``payload_chars`` cuts stored raw lines (B20: ``MAX_RAW_PAYLOAD_CHARS``); whole lines by default."""
         self.spark = ensure_utc(spark)
+        self.payload_chars = payload_chars
         self.root = root.rstrip("/")
         self.limits = limits or AdmissionLimits()
         self.receipts_path = f"{self.root}/receipts"
@@ -176,26 +194,24 @@ class Warehouse:
     def _validate_route_commit(
         self, lines: DataFrame, batch_id: str, source_sha256: str, strict: bool, staging: str
     ) -> IngestionResult:
-        checked = materialize(validate(lines, strict_duplicates=strict), staging)
+        checked = materialize(validate(lines, strict_duplicates=strict), f"{staging}/lines")
         if strict:
             refused = checked.filter(F.col("strict_refused"))
             if refused.limit(1).count() > 0:
                 raise InputRefused("duplicate keys, non-finite numbers or non-object lines are not supported")
             checked = checked.drop("strict_refused")
-        routed = route(lines, existing_ids=self.bronze().select("event_id"), checked=checked)
-        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            now = dt.datetime.now(dt.timezone.utc)
-            attempt = uuid.uuid4().hex
-            parts = ("batch_id", "attempt_id")
-            for rows, path in (
-                (bronze_rows(routed), self.bronze_path),
-                (quarantine_rows(routed, quarantined_at=now), self.quarantine_path),
-            ):
-                rows.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy(*parts).parquet(path)
-            counts = receipt_counts(routed).first()
-        finally:
-            routed.unpersist()
+        # Both staged tables are plain files: nothing below reads the tables that are appended to.
+        known = self.bronze().select("event_id")
+        routed = route(lines, existing_ids=known, checked=checked, staging=f"{staging}/duplicates")
+        now = dt.datetime.now(dt.timezone.utc)
+        attempt = uuid.uuid4().hex
+        parts = ("batch_id", "attempt_id")
+        for rows, path in (
+            (bronze_rows(routed, self.payload_chars), self.bronze_path),
+            (quarantine_rows(routed, now, self.payload_chars), self.quarantine_path),
+        ):
+            rows.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy(*parts).parquet(path)
+        counts = receipt_counts(routed).first()
         receipt = self.spark.createDataFrame(
             [(batch_id, source_sha256, now, now, counts["received_count"], counts["accepted_count"],
               counts["quarantine_count"], attempt)],
@@ -276,17 +292,21 @@ class Warehouse:
         version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ") + "-" + uuid.uuid4().hex[:8]
         silver_path = f"{self.silver_root}/v={version}"
         gold = f"{self.gold_root}/v={version}"
-        # Rows arrive hash-partitioned by (player, day) from the ordered scan;
-        # sorting within partitions by player clusters Parquet row-group stats,
-        # so player filters (timeline, drill-downs) skip row groups.
+        # A folder per date lets date filters prune files; the rebalance keeps files
+        # of even size (AQE joins small and splits large dates). Sorting by player
+        # clusters row-group statistics, so player filters skip row groups.
+        bronze = self.bronze()
+        width = bucket_width(bronze)
         (
-            silver(self.bronze())
-            .sortWithinPartitions("player_id", "event_time", "event_id")
+            silver(bronze, width)
+            .hint("rebalance", "event_date")
+            .sortWithinPartitions("event_date", "player_id", "event_time", "event_id")
             .write.mode("overwrite")
+            .partitionBy("event_date")
             .parquet(silver_path)
         )
-        s = self.spark.read.parquet(silver_path)
-        sessions(s).write.mode("overwrite").parquet(f"{gold}/gold_sessions")
+        s = self._silver_at(silver_path)
+        sessions(s, bucket_seconds=width).write.mode("overwrite").parquet(f"{gold}/gold_sessions")
         sess = self.spark.read.parquet(f"{gold}/gold_sessions")
         outputs = {
             "gold_daily_metrics": daily_metrics(s, sess),
@@ -308,9 +328,23 @@ class Warehouse:
         fs.create(marker, False).close()
         return version
 
+    def _silver_at(self, path: str) -> DataFrame:
+        # With its schema, as a table without rows has no date folders to tell it from.
+        return self.spark.read.schema(silver(self.bronze()).schema).parquet(path).select(*SILVER_COLUMNS)
+
     def silver(self) -> DataFrame:
-        version = self._require_version()
-        return self.spark.read.parquet(f"{self.silver_root}/v={version}")
+        return self._silver_at(f"{self.silver_root}/v={self._require_version()}")
+
+    def drop_versions(self, keep: int = 2) -> list[str]:
+        """Remove all but the newest ``keep`` rebuilt versions, marker first; their names."""
+        if keep < 1:
+            raise ValueError("at least the current version must be kept")
+        old = self._versions()[:-keep]
+        for version in old:
+            for path in (f"{self.markers}/{version}", f"{self.silver_root}/v={version}", f"{self.gold_root}/v={version}"):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
+        return old
 
     def gold(self, table: str) -> DataFrame:
         if table not in GOLD_TABLES:
@@ -347,10 +381,18 @@ class Warehouse:
             bronze,
             "bronze_events",
             primary_key=["event_id"],
-            not_null=["event_id", "player_id", "event_type", "event_time", "received_at", "batch_id"],
+            not_null=[f.name for f in BRONZE.fields if not f.nullable],
             checks={
                 "check:schema_version=1": F.col("schema_version") == 1,
                 "check:received_at>=event_time": F.col("received_at") >= F.col("event_time"),
+                "check:event_id": F.col("event_id").rlike(EVENT_ID_PATTERN),
+                "check:player_id": F.col("player_id").rlike(PLAYER_ID_PATTERN),
+                "check:game_version": F.col("game_version").rlike(GAME_VERSION_PATTERN),
+                "check:currency": F.col("currency").rlike(CURRENCY_PATTERN),
+                "check:event_type": F.col("event_type").isin(*EVENT_TYPES),
+                "check:platform": F.col("platform").isin(*PLATFORMS),
+                "check:level": F.col("level").between(*LEVEL_RANGE),
+                "check:amount_cents": F.col("amount_cents").between(*AMOUNT_RANGE),
             },
             foreign_keys=[(["batch_id"], receipts, ["batch_id"], "foreign_key:batch_id->receipts")],
         )
@@ -358,6 +400,7 @@ class Warehouse:
             receipts,
             "ingestion_batches",
             primary_key=["batch_id"],
+            not_null=RECEIPTS.fieldNames(),
             checks={
                 "check:counts_non_negative": (F.col("received_count") >= 0)
                 & (F.col("accepted_count") >= 0)
@@ -370,7 +413,12 @@ class Warehouse:
             self.quarantine(),
             "quarantine_events",
             primary_key=["quarantine_id"],
-            checks={"check:line_number>0": F.col("line_number") > 0},
+            not_null=QUARANTINE.fieldNames(),
+            checks={
+                "check:line_number>0": F.col("line_number") > 0,
+                "check:reason_code": F.col("reason_code").isin(*REASON_CODES),
+            },
+            foreign_keys=[(["batch_id"], receipts, ["batch_id"], "foreign_key:batch_id->receipts")],
         )
         return b.unionByName(r).unionByName(q)
 

@@ -168,3 +168,21 @@ def test_ingest_records_checksum_is_content_defined(spark, workdir, make):
     assert a.received == 5 and a.quarantined == 5
     b = wh.ingest_records(recs.orderBy(F.desc("n")), "recs", ["n"])
     assert b.already_processed and b.source_sha256 == a.source_sha256
+
+
+def test_payloads_are_whole_unless_bounded(spark, workdir, make):
+    line = canonical(make(1)) + " " * 30_000
+    for chars, expected in ((None, len(line)), (20_000, 20_000)):
+        wh = Warehouse(spark, os.path.join(workdir, str(chars)), payload_chars=chars).initialize()
+        wh.ingest_lines(lines_df(spark, [line, "x" * 30_000], "a"), "a", "sum")
+        assert len(wh.bronze().first().raw_payload) == expected
+        assert len(wh.quarantine().first().raw_payload) == min(30_000, expected)
+
+
+def test_committed_batch_does_not_see_itself_as_duplicate(spark, workdir, make):
+    wh = new_wh(spark, workdir)
+    first = wh.ingest_lines(lines_df(spark, [canonical(make(n)) for n in (1, 2, 2)], "a"), "a", "sum-a")
+    second = wh.ingest_lines(lines_df(spark, [canonical(make(n)) for n in (2, 3, 3, 4)], "b"), "b", "sum-b")
+    assert (first.accepted, first.quarantined) == (2, 1)
+    assert (second.accepted, second.quarantined) == (2, 2)
+    assert wh.bronze().count() == 4
