@@ -7,6 +7,7 @@ rendered as naive UTC at the edge (``naive_utc``).
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -14,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.timeutil import naive_utc
-import datetime as dt
-
 from lumenfold.operators import metrics as M
 from lumenfold.operators.anomalies import anomalies
 from lumenfold.operators.cohorts import cohort_review
@@ -26,15 +25,17 @@ from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver, silver_columns
 from lumenfold.operators.validate import validate
-from lumenfold.plans.warehouse import Warehouse
+from lumenfold.plans.warehouse import Warehouse, verify_export
 from lumenfold.session import checkpoint_dir, ensure_checkpoint_dir, ensure_utc
 from lumenfold.functions.hashing import pseudonymize
 from lumenfold.operators.audit import constraint_audit
 from lumenfold.operators.privacy import scan_text
 from lumenfold.sources.tables import read_table
 from lumenfold.operators.ingest import bronze_rows, quarantine_rows, reason_summary, receipt_counts, route
-from lumenfold.sources.adapters import RAW_BATCH_ID, RULE_CASES, load_bronze, load_raw_lines, rule_lines
-from lumenfold.sources.ndjson import read_ndjson
+from lumenfold.schema import GOLD_TABLES
+from lumenfold.sources.adapters import RAW_BATCH_ID, RULE_CASES, contract_columns, load_bronze, load_raw_lines, rule_lines
+from lumenfold.sources.ndjson import lines_digest, read_ndjson, records_to_lines, write_ndjson
+from lumenfold.sources.tables import EVENTS_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +133,17 @@ def q_cohort_totals_watermark(spark, sf_dir):
     return cohort_review(_silver_cols(spark, sf_dir)).totals
 
 
+COHORT_FILTERS = {"start": dt.date(2024, 1, 2), "end": dt.date(2024, 1, 3), "version": "1.4.0", "as_of": dt.date(2024, 1, 9)}
+
+
+def q_cohort_retention_filtered(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir), **COHORT_FILTERS).retention
+
+
+def q_cohort_totals_filtered(spark, sf_dir):
+    return cohort_review(_silver_cols(spark, sf_dir), **COHORT_FILTERS).totals
+
+
 def _routed(spark, sf_dir):
     return route(load_raw_lines(ensure_utc(spark), sf_dir), partitions=spark.sparkContext.defaultParallelism)
 
@@ -189,15 +201,82 @@ def q_ndjson_lines(spark, sf_dir):
     return _keep_result(spark, lines.select("line_number", source.alias("source_id")), path)
 
 
-def q_warehouse_two_batches(spark, sf_dir):
-    """Two overlapping batches of the raw lines in one warehouse; rows by outcome."""
-    root = _scratch(ensure_utc(spark), "warehouse")
+def q_ndjson_records(spark, sf_dir):
+    """All events as records; their lines, and the files that the NDJSON sink writes, read back.
+
+    A row of line count, lines with a null reason, and whether both checksums agree.
+    """
+    path = _scratch(ensure_utc(spark), "records")
+    records = contract_columns(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
+    write_ndjson(records.orderBy("event_id"), path)
+    files, _ = read_ndjson(spark, path, "records")
+    digests = lines_digest(files).union(lines_digest(records_to_lines(records, ["event_id"], "records")))
+    same = digests.agg((F.count_distinct("source_sha256") == 1).alias("same_checksum"))
+    counted = files.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("raw").contains('"reason":null')).alias("null_reasons")
+    )
+    return _keep_result(spark, counted.crossJoin(F.broadcast(same)), path)
+
+
+def _two_batches(spark, root, sf_dir):
+    """A warehouse with two overlapping batches of the raw lines."""
     warehouse = Warehouse(spark, root).initialize()
     lines = load_raw_lines(spark, sf_dir)
     source = F.shiftright(F.col("line_number") - 1, 1)
     first, second = source % 3 != 0, (source % 3 == 0) | (source % 5 == 0)
     for name, part in (("first", first), ("second", second)):
         warehouse.ingest_lines(lines.where(part), name, name)
+    return warehouse
+
+
+def q_warehouse_daily(spark, sf_dir):
+    """Daily metrics of a warehouse that was rebuilt after two batches."""
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = _two_batches(spark, root, sf_dir)
+    warehouse.rebuild()
+    return _keep_result(spark, warehouse.gold("gold_daily_metrics"), root)
+
+
+def q_warehouse_timeline(spark, sf_dir):
+    """the busiest player's timeline, by its identifier, from a rebuilt warehouse."""
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = _two_batches(spark, root, sf_dir)
+    warehouse.rebuild()
+    player = M.busiest_player(warehouse.silver()).first().player_id
+    return _keep_result(spark, naive_utc(warehouse.metric("timeline", limit=100, player_id=player)), root)
+
+
+def q_warehouse_export(spark, sf_dir):
+    """Figures of a warehouse that was rebuilt, exported, and read back."""
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = _two_batches(spark, root, sf_dir)
+    warehouse.rebuild()
+    manifest = warehouse.export(f"{root}/export")
+    verified = verify_export(spark, f"{root}/export")
+
+    def figures(df, label, *columns):
+        pairs = F.array(*(F.struct(F.lit(f"{label}:{c}").alias("item"), F.col(c).cast("bigint").alias("value")) for c in columns))
+        return df.select(F.inline(pairs))
+
+    parts = [
+        figures(warehouse.gold(t).agg(F.count(F.lit(1)).alias(t)), "rows", t) for t in GOLD_TABLES
+    ] + [
+        figures(manifest.select("summary.*"), "summary", "accepted_events", "players", "late_events", "purchases", "quarantined_events"),
+        figures(warehouse.health(), "health", "accepted_events"),
+        figures(spark.range(1).select(*(F.lit(verified[k]).alias(k) for k in ("players", "accepted_events"))), "verified", "players", "accepted_events"),
+        figures(warehouse.receipt_listing().agg(F.count(F.lit(1)).alias("batches"), F.sum("received_count").alias("received")), "receipts", "batches", "received"),
+        figures(warehouse.audit().agg(F.sum("violations").alias("violations")), "audit", "violations"),
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.union(part)
+    return _keep_result(spark, result, root)
+
+
+def q_warehouse_two_batches(spark, sf_dir):
+    """Two overlapping batches of the raw lines in one warehouse; rows by outcome."""
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = _two_batches(spark, root, sf_dir)
     accepted = warehouse.bronze().groupBy("batch_id").agg(F.count("*").alias("rows"))
     result = accepted.select("batch_id", F.lit("accepted").alias("outcome"), "rows").union(
         reason_summary(warehouse.quarantine())
@@ -334,6 +413,12 @@ QUERIES: dict[str, Query] = {
     "quarantine_reasons": q_quarantine_reasons,
     "ingest_bronze": q_ingest_bronze,
     "ndjson_lines": q_ndjson_lines,
+    "ndjson_records": q_ndjson_records,
+    "warehouse_daily": q_warehouse_daily,
+    "warehouse_timeline": q_warehouse_timeline,
+    "warehouse_export": q_warehouse_export,
+    "cohort_retention_filtered": q_cohort_retention_filtered,
+    "cohort_totals_filtered": q_cohort_totals_filtered,
     "warehouse_two_batches": q_warehouse_two_batches,
     "contract_rules": q_contract_rules,
     "summary": q_summary,
