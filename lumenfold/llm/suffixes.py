@@ -15,7 +15,7 @@ in it, as the longest extension to both sides need not be the next one's.
 
 Groups of over ``MAX_GROUP`` suffixes take an exact other way that is linear in
 their size: every member names the windows of ``MIN_WORDS`` words whose least
-k-gram it is, equal windows are counted by an aggregate, and those in
+k-gram it is, equal windows are counted by a salted aggregate, and those in
 two documents are repeated. Suffixes of the most frequent k-grams (at most
 ``HOT_KEYS`` of them) go there before any shuffle.
 
@@ -46,6 +46,8 @@ SIDE = MIN_WORDS - GRAM
 WINDOW = MIN_WORDS - GRAM + 1
 MAX_GROUP = 32
 HOT_KEYS = 100_000
+#: Tasks that the rows of one window are dealt to.
+SALTS = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,8 +218,14 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     columns = ["gram", "doc_id", "place", "first", "last", "left", "right"]
     large = rows.where("hot").select(columns).union(cold.where(F.col("n") > max_group).select(columns))
     windows = large.mapInArrow(_windows, "window bigint, doc_id bigint, start bigint")
-    shared = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
-    wide = windows.join(shared, "window").select(
+    # A passage of very many copies is dealt to SALTS tasks, in the counts and in the join.
+    windows = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    ends = F.min("doc_id").alias("a"), F.max("doc_id").alias("b")
+    parts = windows.groupBy("window", "salt").agg(*ends)
+    # At most SALTS rows of a window are left here.
+    whole = W.partitionBy("window")
+    shared = parts.withColumn("a", F.min("a").over(whole)).withColumn("b", F.max("b").over(whole)).where("a <> b")
+    wide = windows.join(shared, ["window", "salt"]).select(
         "doc_id",
         "start",
         (F.col("start") + MIN_WORDS).alias("stop"),
