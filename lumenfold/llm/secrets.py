@@ -2,10 +2,14 @@
 
 Two character models are trained from labelled samples: random strings (hashes
 of numbers, written in hexadecimal, base 64 and letters and digits) and ordinary
-identifiers (words of the documents at hand, joined as in names and paths; fillers,
-counters and dates). A candidate is a run of ``SHORTEST`` or more letters, digits and
-``+ / _ = -``. It is a secret if the sum over its character pairs of the log
-likelihood ratio, random against ordinary, reaches ``THRESHOLD``.
+identifiers (words of the documents at hand, joined as in names, paths and
+assignments; fillers, counters and dates). Candidates are the runs of letters, digits and ``+ / _ = -``. A
+stretch of a run is a secret if the sum over its character pairs of the log
+likelihood ratio, random against ordinary, reaches ``THRESHOLD``; it ends before the
+sum falls by ``THRESHOLD`` again, so a run may hold several. Its span reaches to the
+next marks or the ends of the run (``=`` at the end of the run included), begins with a
+letter or digit and has ``SHORTEST`` or more characters. Of a
+secret that holds marks itself, a piece at its end that looks ordinary may stay out.
 
 Everything runs in DataFrame functions. Both samples are bounded (``STRINGS``,
 ``SAMPLE_DOCS`` and ``FILLERS``); scanning covers whole texts of every row. Training collects one
@@ -32,8 +36,8 @@ HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 KINDS = ("assign", "access", "hex", "random")
 
-#: Shortest run that is scored.
-SHORTEST = 20
+#: Shortest span that is reported; the score of shorter ones tells rare words from random strings too badly.
+SHORTEST = 12
 #: Least log likelihood ratio (natural) of a secret.
 THRESHOLD = 12.0
 STRINGS = 4000
@@ -70,10 +74,11 @@ def ordinary_strings(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
 
     def joined(i: Column) -> Column:
         three = F.slice("w", i, F.lit(3))
-        kind = F.pmod(i, F.lit(6))
+        kind = F.pmod(i, F.lit(7))
         name = F.concat_ws("", F.transform(three, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))))
         out = F.when(kind == 0, F.concat_ws("", three)).when(kind == 1, F.concat_ws("_", three))
         out = out.when(kind == 2, F.concat_ws("/", three)).when(kind == 3, F.concat_ws("-", three)).when(kind == 4, name)
+        out = out.when(kind == 5, F.concat_ws("=", three))
         return out.otherwise(F.upper(F.concat_ws("_", three)))
 
     names = words.select(F.explode(F.transform(at, joined)).alias("value"))
@@ -116,20 +121,83 @@ def train(docs: DataFrame) -> list[float]:
     return log_ratios(random_strings(docs.sparkSession), ordinary_strings(docs))
 
 
-def likelihood_ratio(value: Column, table: list[float]) -> Column:
-    """Sum of the pair ratios of a string over ALPHABET (two characters or more)."""
+def pair_ratios(value: Column, table: list[float]) -> Column:
+    """The pair ratios of a string over ALPHABET (two characters or more), in order."""
     # One constant text, folded to an array when the query is planned.
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     places = F.transform(
         F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
     )
-    total = lambda p: F.aggregate(
-        F.sequence(F.lit(0), F.size(p) - 2),
-        F.lit(0.0),
-        lambda s, i: s + F.get(ratios, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1)),
+    each = lambda p: F.transform(
+        F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.get(ratios, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1))
     )
     # The inner array is bound to a name, so that it is built once per string.
-    return F.get(F.transform(F.array(places), total), 0)
+    return F.get(F.transform(F.array(places), each), 0)
+
+
+def greatest_sum(ratios: Column) -> Column:
+    """The greatest sum of neighbouring elements (0 for none)."""
+
+    def add(s: Column, r: Column) -> Column:
+        total = F.greatest(s.total, F.lit(0.0)) + r
+        return F.struct(total.alias("total"), F.greatest(s.best, total).alias("best"))
+
+    return F.aggregate(ratios, F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best")), add, lambda s: s.best)
+
+
+def stretches(ratios: Column, threshold: float) -> Column:
+    """Stretches whose sum reaches the threshold: array of struct(a, b), in characters, b exclusive.
+
+    A stretch starts where the sum would rise from 0, ends at its greatest sum and
+    is closed when the sum has fallen to 0 or by ``threshold``.
+    """
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+
+    def state(total, best, a, b, i, found) -> Column:
+        values = {"total": total, "best": best, "a": a, "b": b, "i": i, "found": found}
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    def closed(s: Column) -> Column:
+        return F.when(s.best >= threshold, F.concat(s.found, F.array(F.struct(s.a.alias("a"), s.b.alias("b"))))).otherwise(s.found)
+
+    def add(s: Column, r: Column) -> Column:
+        total = s.total + r
+        risen = total > s.best
+        ends = (total <= 0) | (s.best - total >= threshold)
+        zero = F.lit(0.0)
+        return F.when(ends, state(zero, zero, s.i + 1, s.i + 1, s.i + 1, closed(s))).otherwise(
+            state(total, F.greatest(s.best, total), s.a, F.when(risen, s.i + 2).otherwise(s.b), s.i + 1, s.found)
+        )
+
+    return F.aggregate(ratios, state(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0), empty), add, closed)
+
+
+def random_spans(text: Column, table: list[float], threshold: float) -> Column:
+    """The secrets by the models: array of struct(start, stop), null for none."""
+    size = lambda x, pattern: F.char_length(F.regexp_extract(x, pattern, 0))
+
+    def spans(run: Column) -> Column:
+        def whole(x: Column) -> Column:
+            own = F.substring(run.found, x.a + 1, x.b - x.a)
+            a, b = x.a + size(own, "^[+/_=-]+"), x.b - size(F.reverse(own), "^[+/_=-]+")
+            a -= size(F.reverse(F.substring(run.found, F.lit(1), a)), "^[A-Za-z0-9]+")
+            b += size(F.substring(run.found, b + 1, F.char_length(run.found)), "^[A-Za-z0-9]*(=+$)?")
+            return F.struct((run.start + a).alias("start"), (run.start + b).alias("stop"))
+
+        spans = F.transform(stretches(pair_ratios(run.found, table), threshold), whole)
+        return F.filter(spans, lambda x: x.stop > x.start)
+
+    def join(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.array(F.struct(last.start.alias("start"), x.stop.alias("stop")))
+        # Two stretches between the same marks are one span.
+        return F.when(x.start < last.stop, F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(x)))
+
+    # Few texts hold a run that reaches the threshold; places are looked up in these alone.
+    likely = lambda x: greatest_sum(pair_ratios(x, table)) >= threshold
+    found = F.flatten(F.transform(F.filter(match_spans(text, RUNS), lambda run: likely(run.found)), spans))
+    joined = F.aggregate(found, F.array().cast("array<struct<start:bigint,stop:bigint>>"), join)
+    return F.when(F.exists(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), likely), joined)
 
 
 def _keep(spans: Column, kind: str, test) -> Column:
@@ -162,8 +230,8 @@ def scan(
         _keep(match_spans(t, rf"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}"), "access", lambda x: length(x) >= ACCESS_LENGTH),
         _keep(match_spans(t, rf"(?<![0-9a-f])[0-9a-f]{{{HEX_LENGTH},}}"), "hex", lambda x: length(x) >= HEX_LENGTH),
     )
-    added = _keep(match_spans(t, RUNS), "random", lambda x: likelihood_ratio(x.found, table) >= threshold)
-    found = hold(hold(rows, "base", F.array_sort(base)), "added", added)
+    found = hold(hold(rows, "base", F.array_sort(base)), "random", random_spans(t, table, threshold))
+    found = found.withColumn("added", _keep(F.col("random"), "random", lambda x: length(x) >= SHORTEST))
     return found.select(*keep, "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 

@@ -224,6 +224,30 @@ def test_markov_models_tell_random_from_ordinary(spark, table):
     assert found == set(range(20))
 
 
+def test_random_keys_within_runs_and_short_ones(spark, table, texts):
+    pick = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, want = [], []
+    path = "the/river/under/ordinary/stone/bridges/near/some/little/village/"
+    for n in (*range(12, 20), 24, 32):
+        for before, after in ((path, ""), (path, "/" + path[:-1]), ("the=", ""), ("/station?side=", "&other=1"), ("", ""), ("see ", " there")):
+            rows.append((len(rows), before + "".join(pick.choices(letters, k=n)) + after))
+            want.append([(len(before), len(before) + n)])
+    key = "".join(pick.choices(letters, k=20))
+    rows.append((len(rows), key + "/" + path + key))
+    want.append([(0, 20), (21 + len(path), 41 + len(path))])
+    words = re.findall("[A-Za-z]{2,15}", " ".join(t for t in texts.values() if t))
+    names = (pick.choice("/_-=").join(words[i : i + 6]) for i in range(0, 12_000, 6))
+    clean = [path[:-1], "linux/x86_64", "2026-08-01_12-30", "-_/=+" * 9, *(pick.choice([x, x.upper()]) for x in names)]
+    rows += [(len(rows) + i, x) for i, x in enumerate(clean)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
+    kind = secrets.KINDS.index("random")
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == kind] for r in found}
+    assert [got[i] for i in range(len(want))] == want
+    false = [i for i in range(len(want), len(rows)) if got[i]]
+    assert min(false, default=len(rows)) >= len(want) + 4 and len(false) < 0.01 * len(clean)
+
+
 def test_redaction(spark, table, odd):
     hexes = "deadbeef" * 4
     rows = [(1, "a token=abcdefghij b", "x"), (2, None, "y"), (3, hexes, "z"), (4, "clean", None), (5, f"token={hexes} é {hexes}", "")]
