@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows.
 
 Texts are lower-case words of letters and digits, and their shingles are five
-words long. For every benchmark item, windows with as many words as the item
-slide over each document by one word. A window's fingerprint (64 bits, votes of
+words long (the whole text, if it has fewer). For every benchmark item, windows with
+as many words as the item slide over each document by one word; a document that is
+shorter than the item is one window. A window's fingerprint (64 bits, votes of
 its shingles with their weights) is looked up among the items of that size: the
 fingerprint is dealt into eight blocks of eight bits, and an item within
 ``RADIUS`` differing bits agrees with it to ``RADIUS // 8`` bits in at least one
@@ -17,8 +18,8 @@ them; such windows are passed over, which loses nothing.
 The benchmark goes to the workers in blocks of ``BLOCK_CHARS`` characters, so
 what is broadcast is bounded; every block is one pass over the documents.
 
-Null and empty texts, items of fewer than five words and documents shorter than
-an item never match. Repeated rows match alike; equal items (id and text) count
+Items of fewer than five words match equal words only. Null and empty texts never
+match. Repeated rows match alike; equal items (id and text) count
 once. Of several windows of a document that match an item, the most similar, then
 the first, is reported.
 """
@@ -54,6 +55,8 @@ def split_words(text: str | None) -> list[str]:
 
 
 def shingles(words: list[str]) -> list[str]:
+    if 0 < len(words) < SHINGLE:
+        return [" ".join(words)]
     return [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
 
 
@@ -104,9 +107,13 @@ class Benchmark:
         by_size: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
         self.numbers: dict[str, int] = {}
         codes: dict[int, list[np.ndarray]] = defaultdict(list)
+        #: By size: the items of fewer than five words.
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         for key, text in sorted(set(items), key=str):
             words = split_words(text)
             if len(words) < SHINGLE:
+                if words:
+                    self.short[len(words)][tuple(words)].append(key)
                 continue
             by_size[len(words)].append((key, words))
             codes[len(words)].append(self._codes(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words])))
@@ -145,14 +152,20 @@ class Benchmark:
     def matches(self, words: list[str], places: np.ndarray, codes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of one text's best window per matched item."""
         best: dict[int, tuple[float, int, int]] = {}
-        for n, size in self.sizes.items():
-            if len(words) < n:
+        for n, items in self.short.items():
+            for at, gram in enumerate(zip(*(words[i:] for i in range(n)))):
+                for key in items.get(gram, ()):
+                    if key not in best or at < best[key][1]:
+                        best[key] = (1.0, at, n)
+        for n, size in self.sizes.items() if len(places) else ():
+            width = min(n, len(words))
+            grams = width - SHINGLE + 1
+            if grams / (n - SHINGLE + 1) < SIMILARITY:
                 continue
             own = places[np.isin(codes, self.codes[n])]
             if not len(own):
                 continue
-            grams = n - SHINGLE + 1
-            last = len(words) - n
+            last = len(words) - width
             # Windows that hold one of these shingles, as stretches of window starts.
             lows, highs = np.maximum(own - grams + 1, 0), np.minimum(own, last)
             fresh = np.flatnonzero(np.append(True, lows[1:] > highs[:-1] + 1))
@@ -160,7 +173,7 @@ class Benchmark:
                 low, high = int(lows[a]), int(highs[b - 1])
                 if high < low:
                     continue
-                part = shingles(words[low : high + n])
+                part = shingles(words[low : high + width])
                 sums = np.zeros((len(part) + 1, 64), np.int32)
                 np.cumsum(_votes(part), axis=0, out=sums[1:])
                 windows, items = size.candidates(_pack(sums[grams:] - sums[:-grams]))
@@ -168,9 +181,15 @@ class Benchmark:
                     s = similarity(Counter(part[w : w + grams]), size.weights[i])
                     key = size.ids[i]
                     if s >= SIMILARITY and (key not in best or (-s, low + w) < (-best[key][0], best[key][1])):
-                        best[key] = (s, low + w, n)
+                        best[key] = (s, low + w, width)
         return [(key, *found) for key, found in best.items()]
 
+    def found(self, texts: list[list[str]]) -> list[list[tuple[int, float, int, int]]]:
+        """The matches of each text."""
+        shared = {at: (places, codes) for at, places, codes in self.hits(texts)}
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return [self.matches(t, *shared.get(i, none)) if i in shared or self.short else [] for i, t in enumerate(texts)]
+
 
 def _blocks(benchmark: DataFrame, block_chars: int):
     """Lists of (item_id, text) of bounded size."""
@@ -195,12 +214,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
             index = Benchmark(shared.value)
 
             def step(texts):
-                words = [split_words(t) for t in texts]
-                out = [[] for _ in texts]
-                for at, places, codes in index.hits(words):
-                    found = index.matches(words[at], places, codes)
-                    out[at] = [dict(zip(("item_id", "similarity", "start_word", "n_words"), m)) for m in found]
-                return {"found": out}
+                names = ("item_id", "similarity", "start_word", "n_words")
+                found = index.found([split_words(t) for t in texts])
+                return {"found": [[dict(zip(names, m)) for m in own] for own in found]}
 
             return step
 
@@ -221,11 +237,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BL
             index = Benchmark(shared.value)
 
             def step(texts):
-                words = [split_words(t) for t in texts]
-                clean = np.ones(len(texts), bool)
-                for at, places, codes in index.hits(words):
-                    clean[at] = not index.matches(words[at], places, codes)
-                return clean
+                return [not own for own in index.found([split_words(t) for t in texts])]
 
             return step
 

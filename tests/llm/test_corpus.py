@@ -188,6 +188,34 @@ def test_decontamination_finds_all_similar_windows(spark, odd, empty):
     assert decontam.find_matches(odd, bench.where("false")).count() == 0 == decontam.find_matches(empty, bench).count()
 
 
+def test_decontamination_of_documents_shorter_than_an_item_and_of_short_items(spark):
+    pick = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, pick.choices(vocabulary, k=n)) for i, n in enumerate([45, 45, 30, 20, 15, 9, 5, 4, 3, 2, 1])]
+    docs = [i[:-3] for _, i in items] + [i[2:] for _, i in items] + [i[5:-5] for _, i in items] + [i for _, i in items]
+    docs += [[], ["x"], *([*pick.choices(["x", "y"], k=3), *i, *i, "z"] for _, i in items), [*items[0][1][:-3], "x"]]
+    want = {}
+    for d, words in enumerate(docs):
+        for i, own in items:
+            width = min(len(own), len(words))
+            cut = lambda p: collections.Counter(" ".join(own) for own in slow_shingles(words[p : p + width]))  # noqa: E731, B023
+            gold = collections.Counter(" ".join(g) for g in slow_shingles(own))
+            each = [(-decontam.similarity(cut(p), gold), p) for p in range(len(words) - width + 1)] if width else []
+            if each and -min(each)[0] >= decontam.SIMILARITY:
+                want[d, i] = (-min(each)[0], min(each)[1], width)
+    assert want[0, 0] == (38 / 41, 0, 42) and {i for _, i in want} == set(range(len(items)))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontam.find_matches(frame, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in found} == want and len(found) == len(want)
+    clean = {r.doc_id for r in decontam.without_matches(frame, bench).collect()}
+    assert clean == set(range(len(docs))) - {d for d, _ in want}
+
+
+def slow_shingles(words):
+    return [words[i : i + 5] for i in range(max(1, len(words) - 4))] if words else []
+
+
 # -- secrets --------------------------------------------------------------------------
 
 SLOW = (
