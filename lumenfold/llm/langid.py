@@ -6,9 +6,13 @@ longest length with a known n-gram decides (mean log frequency of those), then
 the next shorter one, down to single letters. A text's language is the one with
 the greatest sum; ``score`` is the softmax of the sums at that language.
 
-``fit`` may learn from a bounded sample of the labelled rows (``max_docs``) and
-keeps a bounded model (``max_words`` words, ``max_grams`` n-grams), which is why
-it can be collected and broadcast. Scoring covers every row and whole texts.
+``fit`` may learn from a bounded sample of the labelled rows (``max_docs``, and
+``MIN_DOCS`` of every language or all its rows) and keeps a bounded model
+(``max_words`` words, ``max_grams`` n-grams, the most frequent of every language and
+length in turn), which is why it can be collected and broadcast; more than
+``MAX_LANGUAGES`` languages are an error. What a language lacks has the same log
+frequency in every language, however little a language has been seen. Scoring
+covers every row and whole texts.
 
 Null texts, texts without letters and any text under an empty model are ``und``
 with score 0. Ties go to the alphabetically first language. Repeated rows score
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import filter_texts, map_texts, settle
@@ -32,12 +36,14 @@ from lumenfold.llm.common import filter_texts, map_texts, settle
 UNDETERMINED = "und"
 #: Labelled rows that a model learns from (expected number; all if there are fewer).
 MAX_DOCS = 20_000
+#: Rows of each language at least (expected number; all if there are fewer).
+MIN_DOCS = 500
 MAX_WORDS = 50_000
 MAX_GRAMS = 50_000
-#: Languages that a model tells apart (the most frequent ones).
+#: Languages that a model can tell apart.
 MAX_LANGUAGES = 200
 LONGEST_GRAM = 4
-#: Added to every count.
+#: Added to every count of the language with the most; the others get the same log frequency for none.
 PRIOR = 0.5
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 200_000
@@ -90,12 +96,16 @@ class Model:
         return out
 
 
-def _sample(rows: DataFrame, max_docs: int) -> DataFrame:
-    """About ``max_docs`` rows, chosen by a hash of the text (the same rows every time)."""
-    total = rows.count()
+def _sample(rows: DataFrame, sizes: dict[str, int], max_docs: int) -> DataFrame:
+    """About ``max_docs`` rows and ``MIN_DOCS`` of each language, chosen by a hash of the text (the same every time)."""
+    total = sum(sizes.values())
     if total <= max_docs:
         return rows
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1_000_000 * max_docs / total))
+    parts = []
+    for lang, n in sizes.items():
+        share = min(1.0, max(max_docs / total, MIN_DOCS / n))
+        parts += [F.lit(lang), F.lit(math.ceil(1_000_000 * share))]
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(F.create_map(*parts), F.col("lang")))
 
 
 def fit(
@@ -110,17 +120,19 @@ def fit(
     def make():
         return lambda texts: {"words": [letter_words(t) for t in texts]}
 
-    chosen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r.lang for r in chosen.collect())
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1)
+    sizes = {r.lang: r.n for r in found.collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(sizes)
     if not languages:
         return Model([], {}, {})
-    sample = _sample(rows.where(F.col("lang").isin(languages)), max_docs)
+    sample = _sample(rows, sizes, max_docs)
     words = map_texts(sample, "words array<string>", make, keep=("lang",))
     counts = words.select("lang", F.explode("words").alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
     counts = settle(counts)  # read three times below
     # One row per item with its count in every language.
     per_language = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-    table = counts.groupBy("item").agg(F.sum("n").alias("total"), per_language.alias("by"))
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
 
     def cut(n: int) -> Column:
@@ -134,22 +146,27 @@ def fit(
         counts.select("lang", "n", F.explode(pieces).alias("item"))
         .groupBy("lang", "item")
         .agg(F.sum("n").alias("n"))
-        .groupBy("item")
-        .agg(F.sum("n").alias("total"), per_language.alias("by"))
     )
 
-    def kept(df, limit):
-        return df.where("total > 1").orderBy(F.desc("total"), "item").limit(limit).collect()
+    def kept(df, limit, *group):
+        # In turn the most frequent of every language (and length), so that none crowds others out.
+        place = F.row_number().over(Window.partitionBy("lang", *group).orderBy(F.desc("n"), "item"))
+        table = df.withColumn("place", place).groupBy("item").agg(
+            F.sum("n").alias("total"), per_language.alias("by"), F.min("place").alias("place")
+        )
+        return table.where("total > 1").orderBy("place", F.desc("total"), "item").limit(limit).collect()
 
     # Log frequencies are relative to all words, or to all n-grams of a length.
     sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    gram_rows = kept(gram_counts, max_grams)
+    gram_rows = kept(gram_counts, max_grams, F.length("item"))
 
     def logs(rows, totals, size):
-        scale = np.log([totals.get(k, 0) + PRIOR * (size + 1) for k in languages])
-        return {r.item: np.log([r.by.get(k, 0) + PRIOR for k in languages]) - scale for r in rows}
+        most = max(1, *(totals.get(k, 0) for k in languages))
+        ratio = np.array([most / max(totals.get(k, 0), 1) for k in languages])
+        scale = math.log(most + PRIOR * (size + 1))
+        return {r.item: np.log(np.array([r.by.get(k, 0) for k in languages]) * ratio + PRIOR) - scale for r in rows}
 
-    word_rows = kept(table, max_words)
+    word_rows = kept(counts, max_words)
     gram_logs = {}
     for n in range(1, LONGEST_GRAM + 1):
         rows_n = [r for r in gram_rows if len(r.item) == n]

@@ -394,6 +394,27 @@ def test_language_of_held_out_documents(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"} and langid.known_language(odd, none).count() == 5
 
 
+def test_a_rare_language_is_learnt(spark, monkeypatch):
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choices("abcdefgh", k=pick.randint(3, 7)))
+    names = {k: [word() for _ in range(n)] for k, n in (("big", 4000), ("rare", 300))}
+    text = lambda k: " ".join(pick.choices(names[k], k=20))
+    rows = [("big", text("big")) for _ in range(29_970)] + [("rare", text("rare")) for _ in range(30)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(train, max_docs=3000, max_words=1000, max_grams=1000)
+    assert len(model.words) == 1000 and len(model.grams) <= 1000
+    held = [(k, text(k)) for k in ("big", "rare") for _ in range(200)]
+    got = langid.identify(spark.createDataFrame(held, train.schema), model, keep=("lang",)).collect()
+    right = collections.Counter(r.lang for r in got if r.lang == r.lang_pred)
+    assert right["big"] >= 196 and right["rare"] >= 196
+    # What a language lacks counts as much in both.
+    floors = np.array([*model.words.values()]).min(axis=0)
+    assert floors[0] == pytest.approx(floors[1])
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(train)
+
+
 def test_quality_of_held_out_documents(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = quality.label_rows(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
