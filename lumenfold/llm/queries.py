@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, decontam, langid, ordermin, quality, secrets, simhash, suffixes, unigram, warc
+from lumenfold.llm import bpe, decontam, fim, langid, ordermin, quality, secrets, simhash, suffixes, unigram, warc
 from lumenfold.llm.common import documents, held_out, remove_path, scratch_path, settle
 from lumenfold.session import ensure_utc
 from lumenfold.sources.tables import read_table
@@ -91,6 +91,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(ensure_utc(spark), sf_dir), words=3, max_bits=2)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut every document, write it with marks and restore it; form, lengths and digests of both texts."""
+    cut = fim.restore(fim.fill_in_middle(documents(ensure_utc(spark), sf_dir)))
+    digests = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_decontamination": op2_decontamination,
@@ -102,7 +109,35 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL where it can express a query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op13_fill_in_middle": """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), numbers AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+         ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4
+  FROM drawn
+), forms AS (
+  SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+              WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM forms
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""",
+}
