@@ -54,9 +54,9 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", columns or ("doc_id", "text"))
 
 
-def held_out(doc_id: Column) -> Column:
-    """True where crc32(doc_id as text) mod 5 is 0 (a null id counts as empty text)."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+def held_out(doc_id: Column, folds: int = FOLDS, fold: int = 0) -> Column:
+    """True where crc32(doc_id as text) mod ``folds`` is ``fold`` (a null id counts as empty text)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
 def settle(df: DataFrame) -> DataFrame:

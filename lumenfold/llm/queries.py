@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, decontam, fim, langid, ordermin, quality, secrets, simhash, suffixes, unigram, warc
+from lumenfold.llm import bpe, decontam, fim, langid, lattice, ordermin, quality, secrets, simhash, spelling, suffixes, unigram, warc
 from lumenfold.llm.common import documents, held_out, remove_path, scratch_path, settle
 from lumenfold.session import ensure_utc
 from lumenfold.sources.tables import read_table
@@ -91,6 +91,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(ensure_utc(spark), sf_dir), words=3, max_bits=2)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with their nearest more frequent form; one run in 97 of each text is damaged first."""
+    words = spelling.word_counts(documents(ensure_utc(spark), sf_dir), damage_every=97)
+    return spelling.variants(words)
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by words and by subword lattice, learnt outside the fold mod 7 = 2."""
+    docs = documents(ensure_utc(spark), sf_dir).withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+    rows = docs.withColumn("train", ~F.col("held_out"))
+    return lattice.score_texts(rows, PIECES, "train", keep=("doc_id", "held_out"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut every document, write it with marks and restore it; form, lengths and digests of both texts."""
     cut = fim.restore(fim.fill_in_middle(documents(ensure_utc(spark), sf_dir)))
@@ -109,6 +122,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
