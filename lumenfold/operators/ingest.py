@@ -8,6 +8,8 @@ then joined to the whole rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from lumenfold.functions.hashing import quarantine_id
 from lumenfold.operators.validate import validate
 from lumenfold.schema import BRONZE_COLUMNS
 
+#: From a table of event ids to those of them that are committed.
+Lookup = Callable[[DataFrame], DataFrame]
+
 
 def materialize(df: DataFrame, location: str | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table written once into the cluster's
@@ -36,7 +41,7 @@ def materialize(df: DataFrame, location: str | None = None) -> DataFrame:
 
 def route(
     lines: DataFrame,
-    existing_ids: DataFrame | None = None,
+    existing_ids: DataFrame | Lookup | None = None,
     strict_duplicates: bool = False,
     checked: DataFrame | None = None,
     partitions: int | None = None,
@@ -66,13 +71,20 @@ def route(
     return decided.drop("_twice").unionByName(rejected)
 
 
-def duplicate_lines(keys: DataFrame, existing_ids: DataFrame | None = None) -> DataFrame:
-    """(event_id, line_number, ``_twice``) of the lines whose id an earlier line or ``existing_ids`` holds."""
+def duplicate_lines(keys: DataFrame, existing_ids: DataFrame | Lookup | None = None) -> DataFrame:
+    """(event_id, line_number, ``_twice``) of the lines whose id an earlier line or ``existing_ids`` holds.
+
+    ``existing_ids`` is a table of ids, or a function from a table of ids to those of them that exist.
+    """
     per_id = keys.groupBy("event_id").agg(F.min("line_number").alias("_first"), F.max("line_number").alias("_last"))
     if existing_ids is None:
         per_id = per_id.withColumn("_known", F.lit(False))
     else:
-        held = per_id.select("event_id").join(existing_ids.select("event_id"), "event_id", "left_semi")
+        ids = per_id.select("event_id")
+        if isinstance(existing_ids, DataFrame):
+            held = ids.join(existing_ids.select("event_id"), "event_id", "left_semi")
+        else:
+            held = existing_ids(ids)
         per_id = per_id.join(held.withColumn("_known", F.lit(True)), "event_id", "left")
     known = F.coalesce("_known", F.lit(False))
     several = per_id.where(known | (F.col("_last") > F.col("_first")))
@@ -80,9 +92,9 @@ def duplicate_lines(keys: DataFrame, existing_ids: DataFrame | None = None) -> D
     return rows.select("event_id", "line_number", F.lit(True).alias("_twice")).distinct()
 
 
-def _payload(chars: int | None):
-    """The raw line, whole or (B20) cut to ``chars`` characters."""
-    return (F.col("raw") if chars is None else F.substring("raw", 1, chars)).alias("raw_payload")
+def _cut(name: str, chars: int | None):
+    """A text column, whole or (B20) cut to ``chars`` characters."""
+    return F.col(name) if chars is None else F.substring(name, 1, chars)
 
 
 def bronze_rows(routed: DataFrame, payload_chars: int | None = None) -> DataFrame:
@@ -91,11 +103,13 @@ def bronze_rows(routed: DataFrame, payload_chars: int | None = None) -> DataFram
         *[c for c in BRONZE_COLUMNS if c not in ("raw_payload", "is_late", "batch_id")],
         "is_late",
         "batch_id",
-        _payload(payload_chars),
+        _cut("raw", payload_chars).alias("raw_payload"),
     ).select(*BRONZE_COLUMNS)
 
 
-def quarantine_rows(routed: DataFrame, quarantined_at=None, payload_chars: int | None = None) -> DataFrame:
+def quarantine_rows(
+    routed: DataFrame, quarantined_at=None, payload_chars: int | None = None, detail_chars: int | None = None
+) -> DataFrame:
     """Rejected lines with a deterministic id."""
     at = F.lit(quarantined_at).cast("timestamp") if quarantined_at is not None else F.current_timestamp()
     return routed.filter(F.col("reason_code").isNotNull()).select(
@@ -103,8 +117,8 @@ def quarantine_rows(routed: DataFrame, quarantined_at=None, payload_chars: int |
         "batch_id",
         "line_number",
         "reason_code",
-        F.coalesce("details", F.lit("")).alias("details"),
-        _payload(payload_chars),
+        F.coalesce(_cut("details", detail_chars), F.lit("")).alias("details"),
+        _cut("raw", payload_chars).alias("raw_payload"),
         at.alias("quarantined_at"),
     )
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.timeutil import second_diff
-from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, session_fragments
+from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, BucketPlan, session_fragments
 from lumenfold.schema import SESSION_GAP_MINUTES
 
 
 def sessions(
     silver: DataFrame,
     gap_minutes: int = SESSION_GAP_MINUTES,
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | BucketPlan = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """One row per (player, session). A session starts at a player's first event
     or when >= ``gap_minutes`` minute boundaries separate consecutive events.

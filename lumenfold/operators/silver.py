@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lumenfold.functions.timeutil import second_diff, utc_date
-from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, add_sequence
+from lumenfold.operators.ordering import DEFAULT_BUCKET_SECONDS, BucketPlan, add_sequence
 from lumenfold.schema import SILVER_COLUMNS
 
 
@@ -34,7 +34,7 @@ def silver_columns(bronze: DataFrame) -> DataFrame:
     )
 
 
-def silver(bronze: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def silver(bronze: DataFrame, bucket_seconds: int | BucketPlan = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Full silver table: C1-C3 plus the per-player ``event_sequence`` ordered by
     (event_time, event_id)."""
     return add_sequence(silver_columns(bronze), bucket_seconds=bucket_seconds).select(*SILVER_COLUMNS)

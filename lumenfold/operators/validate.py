@@ -26,7 +26,6 @@ from lumenfold.schema import (
     GAME_VERSION_PATTERN,
     LATE_ARRIVAL_HOURS,
     LEVEL_RANGE,
-    MAX_DETAIL_CHARS,
     PLATFORMS,
     PLAYER_ID_PATTERN,
     PROPERTY_FIELDS,
@@ -364,7 +363,7 @@ def _verdict_exprs() -> dict:
         F.col("line_number"),
         F.col("raw"),
         F.col("reason_code"),
-        F.substring(details, 1, MAX_DETAIL_CHARS).alias("details"),
+        details.alias("details"),
         *[typed[c].alias(c) for c in TYPED_COLUMNS],
     ]
     e["is_late"] = F.when(

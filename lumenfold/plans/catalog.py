@@ -14,24 +14,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import concat_skip_nulls
 from lumenfold.functions.timeutil import naive_utc
 from lumenfold.operators import metrics as M
 from lumenfold.operators.anomalies import anomalies
 from lumenfold.operators.cohorts import cohort_review
 from lumenfold.operators.daily import daily_metrics
 from lumenfold.operators.funnel import funnel
+from lumenfold.operators.ordering import bucket_plan
 from lumenfold.operators.players import player_summary
 from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver, silver_columns
 from lumenfold.operators.validate import validate
-from lumenfold.plans.warehouse import Warehouse, verify_export
+from lumenfold.plans.warehouse import AdmissionLimits, BatchConflictError, InputRefused, Warehouse, verify_export
 from lumenfold.session import checkpoint_dir, ensure_checkpoint_dir, ensure_utc
-from lumenfold.functions.hashing import pseudonymize
-from lumenfold.operators.audit import constraint_audit
+from lumenfold.functions.hashing import check_secret, pseudonymize, pseudonymizer
+from lumenfold.operators.audit import constraint_audit, constraint_violations
 from lumenfold.operators.privacy import scan_text
 from lumenfold.sources.tables import read_table
-from lumenfold.operators.ingest import bronze_rows, quarantine_rows, reason_summary, receipt_counts, route
+from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, reason_summary, receipt_counts, route
 from lumenfold.schema import GOLD_TABLES
 from lumenfold.sources.adapters import RAW_BATCH_ID, RULE_CASES, contract_columns, load_bronze, load_raw_lines, rule_lines
 from lumenfold.sources.ndjson import lines_digest, read_ndjson, records_to_lines, write_ndjson
@@ -44,17 +46,25 @@ def _silver_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver_columns(load_bronze(ensure_utc(spark), sf_dir))
 
 
+def _sessions(s: DataFrame) -> DataFrame:
+    """Sessions by buckets that fit the fullest player (one small job measures them)."""
+    ensure_checkpoint_dir(s.sparkSession)
+    return sessions(s, bucket_seconds=bucket_plan(s))
+
+
 def q_silver(spark, sf_dir):
-    return naive_utc(silver(load_bronze(ensure_utc(spark), sf_dir)))
+    bronze = load_bronze(ensure_utc(spark), sf_dir)
+    ensure_checkpoint_dir(spark)
+    return naive_utc(silver(bronze, bucket_plan(bronze)))
 
 
 def q_sessions(spark, sf_dir):
-    return naive_utc(sessions(_silver_cols(spark, sf_dir)))
+    return naive_utc(_sessions(_silver_cols(spark, sf_dir)))
 
 
 def q_daily_metrics(spark, sf_dir):
     s = _silver_cols(spark, sf_dir)
-    return daily_metrics(s, sessions(s))
+    return daily_metrics(s, _sessions(s))
 
 
 def q_retention(spark, sf_dir):
@@ -67,12 +77,12 @@ def q_funnel(spark, sf_dir):
 
 def q_player_summary(spark, sf_dir):
     s = _silver_cols(spark, sf_dir)
-    return player_summary(s, sessions(s))
+    return player_summary(s, _sessions(s))
 
 
 def q_player_summary_churn1(spark, sf_dir):
     s = _silver_cols(spark, sf_dir)
-    return player_summary(s, sessions(s), churn_days=1)
+    return player_summary(s, _sessions(s), churn_days=1)
 
 
 def q_anomalies(spark, sf_dir):
@@ -93,12 +103,12 @@ def q_newest_anomalies(spark, sf_dir):
 
 def q_latest_day(spark, sf_dir):
     s = _silver_cols(spark, sf_dir)
-    return M.latest_day(daily_metrics(s, sessions(s)))
+    return M.latest_day(daily_metrics(s, _sessions(s)))
 
 
 def q_players_top(spark, sf_dir):
     s = _silver_cols(spark, sf_dir)
-    return M.players(player_summary(s, sessions(s)))
+    return M.players(player_summary(s, _sessions(s)))
 
 
 def q_retention_rows(spark, sf_dir):
@@ -144,33 +154,34 @@ def q_cohort_totals_filtered(spark, sf_dir):
     return cohort_review(_silver_cols(spark, sf_dir), **COHORT_FILTERS).totals
 
 
-def _routed(spark, sf_dir):
-    return route(load_raw_lines(ensure_utc(spark), sf_dir), partitions=spark.sparkContext.defaultParallelism)
+def _routed(spark, sf_dir, finish):
+    """``finish`` of the routed raw lines, on its own; the staged batch is removed."""
+    staging = _scratch(ensure_utc(spark), "stage")
+    lines = load_raw_lines(spark, sf_dir)
+    checked = materialize(validate(lines, partitions=spark.sparkContext.defaultParallelism), staging)
+    return _keep_result(spark, finish(route(lines, checked=checked)), staging)
 
 
 def q_ingest_quarantine(spark, sf_dir):
-    return quarantine_rows(_routed(spark, sf_dir)).select(
-        "quarantine_id", "batch_id", "line_number", "reason_code", "details"
-    )
+    columns = ("quarantine_id", "batch_id", "line_number", "reason_code", "details")
+    return _routed(spark, sf_dir, lambda routed: quarantine_rows(routed).select(*columns))
 
 
 def q_ingest_receipt(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    return receipt_counts(_routed(spark, sf_dir)).select(F.lit(RAW_BATCH_ID).alias("batch_id"), "*")
+    batch = F.lit(RAW_BATCH_ID).alias("batch_id")
+    return _routed(spark, sf_dir, lambda routed: receipt_counts(routed).select(batch, "*"))
 
 
 def q_quarantine_reasons(spark, sf_dir):
-    return reason_summary(quarantine_rows(_routed(spark, sf_dir)))
+    return _routed(spark, sf_dir, lambda routed: reason_summary(quarantine_rows(routed)))
 
 
 def q_ingest_bronze(spark, sf_dir):
-    return naive_utc(bronze_rows(_routed(spark, sf_dir)).drop("raw_payload"))
+    return naive_utc(_routed(spark, sf_dir, lambda routed: bronze_rows(routed).drop("raw_payload")))
 
 
 def q_summary(spark, sf_dir):
-    routed = _routed(spark, sf_dir)
-    return M.summary(bronze_rows(routed), quarantine_rows(routed))
+    return _routed(spark, sf_dir, lambda routed: M.summary(bronze_rows(routed), quarantine_rows(routed)))
 
 
 PSEUDONYM_SECRET = "lumenfold-example-secret-2024"
@@ -237,6 +248,19 @@ def q_warehouse_daily(spark, sf_dir):
     return _keep_result(spark, warehouse.gold("gold_daily_metrics"), root)
 
 
+def q_warehouse_refresh(spark, sf_dir):
+    """G1: the sessions of a warehouse into which a second batch was brought by ``refresh``."""
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = Warehouse(spark, root).initialize()
+    lines = load_raw_lines(spark, sf_dir)
+    second = F.shiftright(F.col("line_number") - 1, 1) % 40 == 7
+    warehouse.ingest_lines(lines.where(~second), "first", "first")
+    warehouse.rebuild()
+    warehouse.ingest_lines(lines.where(second), "second", "second")
+    warehouse.refresh()
+    return _keep_result(spark, naive_utc(warehouse.gold("gold_sessions")), root)
+
+
 def q_warehouse_timeline(spark, sf_dir):
     """the busiest player's timeline, by its identifier, from a rebuilt warehouse."""
     root = _scratch(ensure_utc(spark), "warehouse")
@@ -291,6 +315,142 @@ def q_warehouse_two_batches(spark, sf_dir):
     return _keep_result(spark, result.union(counts), root)
 
 
+def q_warehouse_replay(spark, sf_dir):
+    """A batch replayed, its id used for other bytes, and an overlapping batch over indexed ids.
+
+    One row per step: what came of it, the counts of its receipt, and the receipts of the warehouse after it.
+    """
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = Warehouse(spark, root).initialize()
+    lines = load_raw_lines(spark, sf_dir)
+    source = F.shiftright(F.col("line_number") - 1, 1)
+    steps = []
+    for step, part, batch_id, checksum in (
+        ("first", source % 3 != 0, "one", "a"),
+        ("replay", source % 3 != 0, "one", "a"),
+        ("conflict", source % 3 == 0, "one", "b"),
+        ("overlap", source % 2 == 0, "two", "c"),
+        ("again", source % 2 == 0, "three", "c"),
+    ):
+        try:
+            result = warehouse.ingest_lines(lines.where(part), batch_id, checksum)
+            outcome = "replayed" if result.already_processed else "committed"
+            counts = (result.received, result.accepted, result.quarantined)
+        except BatchConflictError:
+            outcome, counts = "refused", (None, None, None)
+        if step == "conflict":
+            warehouse.index_ids()
+        steps.append((step, outcome, *counts, warehouse.receipts().count()))
+    schema = "step string, outcome string, received bigint, accepted bigint, quarantined bigint, receipts bigint"
+    return _keep_result(spark, spark.createDataFrame(steps, schema), root)
+
+
+def q_warehouse_snapshot(spark, sf_dir):
+    """A snapshot's reads while a second batch is committed and a second version published.
+
+    Daily events of the snapshot and of the warehouse after it, and the cohort review's totals of each as of a day.
+    """
+    root = _scratch(ensure_utc(spark), "warehouse")
+    warehouse = Warehouse(spark, root).initialize()
+    lines = load_raw_lines(spark, sf_dir)
+    source = F.shiftright(F.col("line_number") - 1, 1)
+    warehouse.ingest_lines(lines.where(source % 3 != 0), "first", "first")
+    warehouse.rebuild()
+    before = warehouse.snapshot()
+    warehouse.ingest_lines(lines.where(source % 3 == 0), "second", "second")
+    warehouse.rebuild()
+    result = None
+    for name, handle in (("before", before), ("after", warehouse)):
+        review = handle.cohort(as_of=COHORT_AS_OF)
+        rows = (
+            handle.gold("gold_daily_metrics").select(F.col("event_date").cast("string").alias("item"), F.col("events").alias("value")),
+            handle.bronze().agg(F.lit("bronze").alias("item"), F.count("*").alias("value")),
+            handle.receipts().agg(F.lit("receipts").alias("item"), F.count("*").alias("value")),
+            review.totals.select(F.lit("cohort_players").alias("item"), F.col("cohort_players").alias("value")),
+        )
+        for part in rows:
+            part = part.select(F.lit(name).alias("handle"), "item", F.col("value").cast("bigint").alias("value"))
+            result = part if result is None else result.unionByName(part)
+    return _keep_result(spark, result, root)
+
+
+def q_warehouse_refusals(spark, sf_dir):
+    """What must be refused is, and leaves the warehouse as it was.
+
+    All raw lines are offered each time; a row per offer with its outcome and the
+    warehouse's receipts and accepted events after it.
+    """
+    root = _scratch(ensure_utc(spark), "warehouse")
+    lines = materialize(load_raw_lines(spark, sf_dir), f"{root}/lines")
+    n = lines.count()
+
+    def warehouse(**limits):
+        return Warehouse(spark, f"{root}/wh", limits=AdmissionLimits(**limits)).initialize()
+
+    plain = warehouse()
+    offers = [
+        ("A10:rows above the limit", lambda: warehouse(max_input_rows=n - 1).ingest_lines(lines, "all", "x")),
+        ("A10:rows at the limit", lambda: warehouse(max_input_rows=n).ingest_lines(lines, "all", "x")),
+        ("A10:no room in the warehouse", lambda: warehouse(max_warehouse_rows=2 * n - 1).ingest_lines(lines, "more", "y")),
+        ("A11:strict input", lambda: plain.ingest_lines(lines, "strict", "z", strict=True)),
+        ("A11:strict name", lambda: plain.ingest_lines(lines, "../all", "z", strict=True)),
+        ("A5:empty name", lambda: plain.ingest_lines(lines, "", "z")),
+        ("A5:name of 81 characters", lambda: plain.ingest_lines(lines, "n" * 81, "z")),
+        ("A7:other bytes", lambda: plain.ingest_lines(lines, "all", "y")),
+        ("B18:key of 15 characters", lambda: check_secret("k" * 15)),
+        ("B18:key of 16 characters", lambda: check_secret("k" * 16)),
+        ("K1:end before start", lambda: cohort_review(silver_columns(plain.bronze()), start=COHORT_AS_OF, end=dt.date(2024, 1, 4))),
+        ("K1:platform", lambda: cohort_review(silver_columns(plain.bronze()), platform="abacus")),
+        ("K1:version", lambda: cohort_review(silver_columns(plain.bronze()), version="one")),
+        ("K2:day not known yet", lambda: cohort_review(silver_columns(plain.bronze()), as_of=dt.date(2999, 1, 1))),
+    ]
+    rows = []
+    for case, offer in offers:
+        try:
+            offer()
+            outcome = "taken"
+        except (InputRefused, BatchConflictError, ValueError) as error:
+            outcome = "refused" if type(error) is ValueError else type(error).__name__
+        rows.append((case, outcome, plain.receipts().count(), plain.bronze().count()))
+    return _keep_result(spark, spark.createDataFrame(rows, "case string, outcome string, receipts bigint, accepted bigint"), root)
+
+
+def q_ingest_bounds(spark, sf_dir):
+    """Lengths of stored raw lines and details, whole and cut, by reason; how many cut ones begin the whole."""
+    def finish(routed):
+        whole = quarantine_rows(routed).select("quarantine_id", "reason_code", "raw_payload", "details")
+        cut = quarantine_rows(routed, payload_chars=40, detail_chars=10).select(
+            "quarantine_id", F.col("raw_payload").alias("cut_payload"), F.col("details").alias("cut_details")
+        )
+        return whole.join(cut, "quarantine_id").groupBy("reason_code").agg(
+            F.count("*").alias("rows"),
+            F.max(F.length("cut_payload")).cast("bigint").alias("longest_payload"),
+            F.max(F.length("cut_details")).cast("bigint").alias("longest_details"),
+            F.sum(F.length("details")).cast("bigint").alias("detail_chars"),
+            F.count_if(
+                F.expr("startswith(raw_payload, cut_payload) and startswith(details, cut_details)")
+                & (F.length("cut_payload") == F.least(F.lit(40), F.length("raw_payload")))
+            ).alias("beginnings"),
+        )
+
+    return _routed(spark, sf_dir, finish)
+
+
+def q_cohort_no_data(spark, sf_dir):
+    """The review of events of which none is left: header and totals, no retention row."""
+    none = _silver_cols(spark, sf_dir).where("event_time < timestamp_ntz'1900-01-01'")
+    review = cohort_review(none)
+    return review.header.select("as_of", "available_through").crossJoin(review.totals).crossJoin(
+        review.retention.agg(F.count("*").alias("retention_rows"))
+    )
+
+
+def q_null_parts(spark, sf_dir):
+    """Parts of which some are null, joined as the metric layer does, by event type."""
+    text = concat_skip_nulls("event_type", F.lit("-"), "level", F.lit("-"), "amount_cents", "currency", F.lit("-"), "reason")
+    return _silver_cols(spark, sf_dir).groupBy(text.alias("label")).agg(F.count("*").alias("events"))
+
+
 def q_contract_rules(spark, sf_dir):
     """A changed line per event and rule; verdicts, rule codes and levels by case."""
     lines = rule_lines(read_table(ensure_utc(spark), sf_dir, "events", ("event_id",)))
@@ -312,37 +472,41 @@ def q_conversations_privacy(spark, sf_dir):
     return scan_text(conv, ["conv_id", "turn"], "text")
 
 
+def q_conversations_credentials(spark, sf_dir):
+    """The scan over all turns, some of which are given a credential, an address or a number by their keys."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    place = F.coalesce("conv_id", F.lit(0)) * 31 + F.coalesce("turn", F.lit(0))
+    leaks = F.concat(
+        F.when(place % 5 == 0, F.lit(" Authorization: BEARER\u00a0abc.DEF-123_456~789+/=")).otherwise(""),
+        F.when(place % 7 == 0, F.lit(" mail someone.else+x@mail.example.org now")).otherwise(""),
+        F.when(place % 11 == 0, F.lit(" call +1 (555) 010-9999 today")).otherwise(""),
+        F.when(place % 13 == 0, F.lit(" bearer short")).otherwise(""),
+    )
+    texts = conv.withColumn("text", F.concat(F.coalesce("text", F.lit("")), leaks))
+    return scan_text(texts, ["conv_id", "turn"], "text")
+
+
 def q_customer_pseudonyms(spark, sf_dir):
-    from pyspark.sql import functions as F
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    pseudonym = pseudonymizer(spark, PSEUDONYM_SECRET)
+    return cust.select("c_custkey", pseudonym(F.col("c_name")).alias("player_id"))
 
+
+def q_customer_pseudonyms_native(spark, sf_dir):
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
     return cust.select("c_custkey", pseudonymize(F.col("c_name"), PSEUDONYM_SECRET).alias("player_id"))
 
 
 def q_orders_audit(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
-    customer = read_table(spark, sf_dir, "customer", ["c_custkey"])
-    return constraint_audit(
-        orders,
-        "orders",
-        primary_key=["o_orderkey"],
-        not_null=["o_custkey", "o_orderdate"],
-        checks={
-            "check:o_totalprice>=0": F.col("o_totalprice") >= 0,
-            "check:o_orderstatus_enum": F.col("o_orderstatus").isin("O", "F", "P"),
-        },
-        foreign_keys=[(["o_custkey"], customer, ["c_custkey"], "foreign_key:o_custkey->customer")],
-    )
+    return constraint_audit(orders, "orders", **_orders_rules(spark, sf_dir))
 
 
-def q_orders_audit_broken(spark, sf_dir):
-    """The audit over all orders with rows broken by the remainder of their key."""
+def _broken_orders(spark, sf_dir):
+    """All orders, with rows broken by the remainder of their key."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
-    customer = read_table(spark, sf_dir, "customer", ["c_custkey"])
     key = F.col("o_orderkey")
-    broken = orders.select(
+    return orders.select(
         key,
         F.when(key % 97 == 0, None).when(key % 79 == 0, -1 - key).otherwise(F.col("o_custkey")).alias("o_custkey"),
         F.when(key % 83 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
@@ -350,16 +514,32 @@ def q_orders_audit_broken(spark, sf_dir):
         F.when(key % 71 != 0, F.col("o_orderdate")).alias("o_orderdate"),
         F.explode(F.when(key % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
     ).drop("copy")
-    return constraint_audit(
-        broken,
-        "orders",
-        primary_key=["o_orderkey"],
-        not_null=["o_custkey", "o_orderdate"],
-        checks={
+
+
+def _orders_rules(spark, sf_dir):
+    customer = read_table(spark, sf_dir, "customer", ["c_custkey"])
+    return {
+        "primary_key": ["o_orderkey"],
+        "not_null": ["o_custkey", "o_orderdate"],
+        "checks": {
             "check:o_totalprice>=0": F.col("o_totalprice") >= 0,
             "check:o_orderstatus_enum": F.col("o_orderstatus").isin("O", "F", "P"),
         },
-        foreign_keys=[(["o_custkey"], customer, ["c_custkey"], "foreign_key:o_custkey->customer")],
+        "foreign_keys": [(["o_custkey"], customer, ["c_custkey"], "foreign_key:o_custkey->customer")],
+    }
+
+
+def q_orders_audit_broken(spark, sf_dir):
+    """The audit over all orders with rows broken by the remainder of their key."""
+    return constraint_audit(_broken_orders(spark, sf_dir), "orders", **_orders_rules(spark, sf_dir))
+
+
+def q_orders_violations(spark, sf_dir):
+    """The same orders; which keys break each constraint, and a generated year beside the date."""
+    year = F.when(F.col("o_orderkey") % 67 == 0, F.lit(1900)).otherwise(F.year("o_orderdate"))
+    broken = _broken_orders(spark, sf_dir).withColumn("order_year", year)
+    return constraint_violations(
+        broken, "orders", ["o_orderkey"], generated={"order_year": F.year("o_orderdate")}, **_orders_rules(spark, sf_dir)
     )
 
 
@@ -415,18 +595,28 @@ QUERIES: dict[str, Query] = {
     "ndjson_lines": q_ndjson_lines,
     "ndjson_records": q_ndjson_records,
     "warehouse_daily": q_warehouse_daily,
+    "warehouse_refresh": q_warehouse_refresh,
     "warehouse_timeline": q_warehouse_timeline,
     "warehouse_export": q_warehouse_export,
     "cohort_retention_filtered": q_cohort_retention_filtered,
     "cohort_totals_filtered": q_cohort_totals_filtered,
     "warehouse_two_batches": q_warehouse_two_batches,
+    "warehouse_replay": q_warehouse_replay,
+    "warehouse_snapshot": q_warehouse_snapshot,
+    "warehouse_refusals": q_warehouse_refusals,
+    "ingest_bounds": q_ingest_bounds,
+    "cohort_no_data": q_cohort_no_data,
+    "null_parts": q_null_parts,
     "contract_rules": q_contract_rules,
     "summary": q_summary,
     "documents_privacy": q_documents_privacy,
     "conversations_privacy": q_conversations_privacy,
+    "conversations_credentials": q_conversations_credentials,
     "customer_pseudonyms": q_customer_pseudonyms,
+    "customer_pseudonyms_native": q_customer_pseudonyms_native,
     "orders_audit": q_orders_audit,
     "orders_audit_broken": q_orders_audit_broken,
+    "orders_violations": q_orders_violations,
     "cohort_header": q_cohort_header,
     "events_audit": q_events_audit,
 }

@@ -2,25 +2,33 @@
 
 Layout under ``root`` (any Hadoop-compatible URI)::
 
-    receipts/batch_id=<id>/                 one row per committed batch (the commit marker)
+    commits/<number>                        the batch and attempt that the number committed
+    receipts/batch_id=<id>/attempt_id=<a>/    one row per attempt
     bronze/batch_id=<id>/attempt_id=<a>/      accepted events of one attempt at that batch
     quarantine/batch_id=<id>/attempt_id=<a>/  rejected lines of that attempt
-    silver/v=<version>/event_date=<d>/  silver of one rebuild
-    gold/v=<version>/<table>/   the six gold tables of one rebuild
-    gold/_committed/<version>   marker: the version is complete
-
-Exactly-once without transactions: every attempt at a batch only appends, to
-partitions of its own, and its receipt, written last, names the attempt. Readers
-join bronze and quarantine to the receipts on batch and attempt (``left_semi``),
-so what a failed attempt left is never seen, whatever the session's overwrite
-mode. A rebuild writes a new version and publishes it by creating its
-marker; a failed rebuild leaves the previous version current. Single writer
-per warehouse, as in the reference design.
+    event_ids/                              bucketed index of committed event ids (``plans.ids``)
+    silver/v=<version>/event_date=<d>/  silver, the dates that the version wrote
+    gold/v=<version>/<table>/   the six gold tables; sessions by start date like silver
+    gold/_committed/<version>   marker: the version is complete. Its manifest has the
+                                commits that it covers and the version of each date's files
+
+Exactly-once without transactions: every attempt at a batch writes to folders of
+its own and is committed by taking the next number of the commit
+log (``plans.commits``), which one writer alone can do. Readers join bronze,
+quarantine and receipts to the log on batch and attempt (``left_semi``), so what
+a failed attempt left is never seen, whatever the session's overwrite mode. A
+writer that finds its number taken looks for its batch and for duplicates again,
+so several writers keep one receipt per batch and one event per id. A rebuild
+writes a new version and publishes it by creating its marker; a failed rebuild
+leaves the previous version current. ``snapshot`` pins the log and the version
+for reads that must agree while others commit.
 """
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
+import json
 import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -28,9 +36,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from lumenfold import __version__
+from lumenfold.functions.timeutil import utc_date
 from lumenfold.operators import metrics as M
 from lumenfold.operators.anomalies import anomalies
 from lumenfold.operators.audit import constraint_audit
@@ -38,12 +47,14 @@ from lumenfold.operators.cohorts import CohortReview, cohort_review
 from lumenfold.operators.daily import daily_metrics
 from lumenfold.operators.funnel import funnel
 from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, receipt_counts, route
-from lumenfold.operators.ordering import bucket_width
+from lumenfold.operators.ordering import bucket_plan
 from lumenfold.operators.players import player_summary
 from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver
 from lumenfold.operators.validate import validate
+from lumenfold.plans.commits import CommitLog, put_if_absent, read_text
+from lumenfold.plans.ids import FEW, EventIds
 from lumenfold.schema import (
     AMOUNT_RANGE,
     BATCH_ID_STRICT_PATTERN,
@@ -63,11 +74,15 @@ from lumenfold.schema import (
     SILVER_COLUMNS,
 )
 from lumenfold.session import checkpoint_dir, ensure_utc
-from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, read_ndjson, records_to_lines
+from lumenfold.sources.ndjson import file_digests, lines_digest, lines_from_files, located, number_lines, records_to_lines
 
 RECEIPT_LISTING_LIMIT = 100
+#: Batches committed since the last index generation before the next one is written.
+INDEX_EVERY = 32
 #: Partition column of one attempt at a batch.
 ATTEMPT = StructField("attempt_id", StringType())
+#: Tables kept by date, and the column that names the folder.
+DATED = {"silver": "event_date", "gold_sessions": "start_date"}
 EXPORT_SCOPE = "current global gold tables; cohort review filters are separate"
 
 
@@ -114,10 +129,13 @@ class Warehouse:
         root: str,
         limits: AdmissionLimits | None = None,
         payload_chars: int | None = None,
+        detail_chars: int | None = None,
     ):
-        """``payload_chars`` cuts stored raw lines (B20: ``MAX_RAW_PAYLOAD_CHARS``); whole lines by default."""
+        """``payload_chars`` and ``detail_chars`` cut stored raw lines and details of rejected ones (B20:
+        ``MAX_RAW_PAYLOAD_CHARS``, ``MAX_DETAIL_CHARS``); both are whole by default."""
         self.spark = ensure_utc(spark)
         self.payload_chars = payload_chars
+        self.detail_chars = detail_chars
         self.root = root.rstrip("/")
         self.limits = limits or AdmissionLimits()
         self.receipts_path = f"{self.root}/receipts"
@@ -126,6 +144,12 @@ class Warehouse:
         self.silver_root = f"{self.root}/silver"
         self.gold_root = f"{self.root}/gold"
         self.markers = f"{self.gold_root}/_committed"
+        self.commits = CommitLog(self.spark, f"{self.root}/commits")
+        self.event_ids = EventIds(self.spark, f"{self.root}/event_ids")
+        self.index_every = INDEX_EVERY
+        #: Commit number and version that reads are pinned to.
+        self._up_to: int | None = None
+        self._pinned_version: str | None = None
 
     # -- filesystem helpers (Hadoop FS API, works for any cluster store) -----
     def _fs(self, path: str):
@@ -137,44 +161,61 @@ class Warehouse:
         for path in (self.receipts_path, self.bronze_path, self.quarantine_path, self.silver_root, self.markers):
             fs, p = self._fs(path)
             fs.mkdirs(p)
+        self.commits.create()
+        self.event_ids.create()
         return self
 
+    def snapshot(self) -> Warehouse:
+        """A handle whose reads all see the commits and the version of this moment."""
+        pinned = copy.copy(self)
+        pinned._up_to = self.commits.last() if self._up_to is None else self._up_to
+        pinned._pinned_version = self.current_version()
+        return pinned
+
     # -- durable table scans (A16) -------------------------------------------
     def receipts(self) -> DataFrame:
-        return self._stored_receipts().select(*RECEIPTS.fieldNames())
+        return self._committed(self.receipts_path, RECEIPTS)
+
+    def _attempts(self, after: int = 0) -> DataFrame:
+        return self.commits.entries(self._up_to).where(F.col("number") > after).select("batch_id", "attempt_id")
 
-    def _stored_receipts(self) -> DataFrame:
-        return self.spark.read.schema(StructType([*RECEIPTS.fields, ATTEMPT])).parquet(self.receipts_path)
+    def _every_attempt(self, path: str, schema) -> DataFrame:
+        return self.spark.read.schema(StructType([*schema.fields, ATTEMPT])).parquet(path)
 
-    def _committed(self, path: str, schema) -> DataFrame:
-        table = self.spark.read.schema(StructType([*schema.fields, ATTEMPT])).parquet(path)
-        attempts = self._stored_receipts().select("batch_id", "attempt_id")
-        return table.join(attempts, ["batch_id", "attempt_id"], "left_semi").select(*schema.fieldNames())
+    def _committed(self, path: str, schema, after: int = 0) -> DataFrame:
+        rows = self._every_attempt(path, schema).join(self._attempts(after), ["batch_id", "attempt_id"], "left_semi")
+        return rows.select(*schema.fieldNames())
 
-    def bronze(self) -> DataFrame:
-        return self._committed(self.bronze_path, BRONZE)
+    def bronze(self, after: int = 0) -> DataFrame:
+        """Accepted events; with ``after`` those of later commits than that number."""
+        return self._committed(self.bronze_path, BRONZE, after)
 
     def quarantine(self) -> DataFrame:
         return self._committed(self.quarantine_path, QUARANTINE)
 
     # -- ingest (A5-A11, B*) --------------------------------------------------
-    def _prior(self, batch_id: str):
-        return self.receipts().filter(F.col("batch_id") == batch_id).limit(1).collect()
+    def _prior(self, batch_id: str, source_sha256: str) -> IngestionResult | None:
+        """The receipt of a batch that was committed before; other bytes under its id are refused."""
+        found = self.receipts().filter(F.col("batch_id") == batch_id).limit(1).collect()
+        if not found:
+            return None
+        row = found[0]
+        if row["source_sha256"] != source_sha256:
+            raise BatchConflictError(f"batch {batch_id!r} was committed from other bytes")
+        return IngestionResult(
+            batch_id, source_sha256, row["received_count"], row["accepted_count"],
+            row["quarantine_count"], already_processed=True,
+        )
 
     def ingest_lines(
         self, lines: DataFrame, batch_id: str, source_sha256: str, strict: bool = False
     ) -> IngestionResult:
         """Validate, route and commit one batch of ``(line_number, raw)`` lines."""
         check_batch_id(batch_id, strict)
-        prior = self._prior(batch_id)
+        number = self.commits.last() + 1
+        prior = self._prior(batch_id, source_sha256) if number > 1 else None
         if prior:
-            row = prior[0]
-            if row["source_sha256"] != source_sha256:
-                raise BatchConflictError(f"batch {batch_id!r} was committed from other bytes")
-            return IngestionResult(
-                batch_id, source_sha256, row["received_count"], row["accepted_count"],
-                row["quarantine_count"], already_processed=True,
-            )
+            return prior
         lines = lines.select(F.lit(batch_id).alias("batch_id"), "line_number", "raw")
         if self.limits.max_input_rows is not None or self.limits.max_warehouse_rows is not None:
             n = lines.count()
@@ -186,13 +227,13 @@ class Warehouse:
                     raise InputRefused("the warehouse has no room for so many lines; nothing was written")
         staging = f"{checkpoint_dir(self.spark).rstrip('/')}/lumenfold-stage-{uuid.uuid4().hex}"
         try:
-            return self._validate_route_commit(lines, batch_id, source_sha256, strict, staging)
+            return self._validate_route_commit(lines, batch_id, source_sha256, strict, staging, number)
         finally:
             fs, p = self._fs(staging)
             fs.delete(p, True)  # the batch's staging table is no longer needed
 
     def _validate_route_commit(
-        self, lines: DataFrame, batch_id: str, source_sha256: str, strict: bool, staging: str
+        self, lines: DataFrame, batch_id: str, source_sha256: str, strict: bool, staging: str, number: int
     ) -> IngestionResult:
         checked = materialize(validate(lines, strict_duplicates=strict), f"{staging}/lines")
         if strict:
@@ -200,28 +241,60 @@ class Warehouse:
             if refused.limit(1).count() > 0:
                 raise InputRefused("duplicate keys, non-finite numbers or non-object lines are not supported")
             checked = checked.drop("strict_refused")
+        while True:
+            fresh, behind = self.event_ids.fresh(self._attempts())
+            known = self._known(checked, fresh)
+            result = self._attempt(lines, checked, known, batch_id, source_sha256, number, staging)
+            if result:
+                break
+            # Another writer took the number: with this batch, or with events that this one may repeat.
+            number = self.commits.last() + 1
+            prior = self._prior(batch_id, source_sha256)
+            if prior:
+                return prior
+        if behind + 1 >= self.index_every:
+            self.index_ids()
+        return result
+
+    def _attempt(
+        self, lines: DataFrame, checked: DataFrame, known, batch_id: str, source_sha256: str, number: int, staging: str
+    ) -> IngestionResult | None:
+        """Write one attempt and commit it as ``number``; None if another writer took the number meanwhile."""
+        attempt = uuid.uuid4().hex
         # Both staged tables are plain files: nothing below reads the tables that are appended to.
-        known = self.bronze().select("event_id")
-        routed = route(lines, existing_ids=known, checked=checked, staging=f"{staging}/duplicates")
+        routed = route(lines, existing_ids=known, checked=checked, staging=f"{staging}/duplicates-{attempt}")
         now = dt.datetime.now(dt.timezone.utc)
-        attempt = uuid.uuid4().hex
-        parts = ("batch_id", "attempt_id")
-        for rows, path in (
-            (bronze_rows(routed, self.payload_chars), self.bronze_path),
-            (quarantine_rows(routed, now, self.payload_chars), self.quarantine_path),
-        ):
-            rows.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy(*parts).parquet(path)
+        # A folder of the attempt's own: writers that share one would share its temporary files.
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch_id)
+        place = f"batch_id={name}/attempt_id={attempt}"
+        bronze_rows(routed, self.payload_chars).drop("batch_id").write.parquet(f"{self.bronze_path}/{place}")
+        rejected = quarantine_rows(routed, now, self.payload_chars, self.detail_chars)
+        rejected.drop("batch_id").write.parquet(f"{self.quarantine_path}/{place}")
         counts = receipt_counts(routed).first()
-        receipt = self.spark.createDataFrame(
-            [(batch_id, source_sha256, now, now, counts["received_count"], counts["accepted_count"],
-              counts["quarantine_count"], attempt)],
-            StructType([*RECEIPTS.fields, ATTEMPT]),
-        )
-        receipt.write.mode("append").partitionBy("batch_id").parquet(self.receipts_path)
+        values = (source_sha256, now, now, counts["received_count"], counts["accepted_count"], counts["quarantine_count"])
+        receipt = self.spark.createDataFrame([values], StructType([f for f in RECEIPTS.fields if f.name != "batch_id"]))
+        receipt.coalesce(1).write.parquet(f"{self.receipts_path}/{place}")
+        if not self.commits.add(number, batch_id, attempt):
+            return None
         return IngestionResult(
             batch_id, source_sha256, counts["received_count"], counts["accepted_count"], counts["quarantine_count"]
         )
 
+    def _known(self, checked: DataFrame, fresh: DataFrame):
+        """For ``route``, which of a batch's ids are committed already."""
+        if self.commits.last() == 0:
+            return None
+        few = None
+        if checked.count() <= FEW:  # the row count of a staged file
+            few = [r[0] for r in checked.where("reason_code is null").select("event_id").distinct().collect()]
+        ids = self._every_attempt(self.bronze_path, BRONZE).select("event_id", "batch_id", "attempt_id")
+        return lambda wanted: self.event_ids.among(wanted, fresh, ids, few)
+
+    def index_ids(self) -> bool:
+        """Bring the id index up to the log; false if another writer did so meanwhile."""
+        ids = self._every_attempt(self.bronze_path, BRONZE).select("event_id", "batch_id", "attempt_id")
+        return self.event_ids.extend(self._attempts(), ids)
+
     def ingest_ndjson(self, path: str, batch_id: str, strict: bool = False) -> IngestionResult:
         """A1/A4: NDJSON file(s); invalid UTF-8 aborts before any write."""
         check_batch_id(batch_id, strict)
@@ -230,7 +303,12 @@ class Warehouse:
             size = self.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
             if size == 0 or size > self.limits.max_input_bytes:
                 raise InputRefused("input must be non-empty and within the byte limit")
-        lines, bad = read_ndjson(self.spark, path, batch_id)
+        return self.ingest_text(located(self.spark.read.text(path)), batch_id, strict)
+
+    def ingest_text(self, scanned: DataFrame, batch_id: str, strict: bool = False) -> IngestionResult:
+        """A text scan with its places (``sources.ndjson.located``), as files and micro-batches give it."""
+        check_batch_id(batch_id, strict)
+        lines, bad = number_lines(scanned, batch_id)
         staging = f"{checkpoint_dir(self.spark).rstrip('/')}/lumenfold-lines-{uuid.uuid4().hex}"
         try:
             if not bad.isEmpty():
@@ -242,9 +320,8 @@ class Warehouse:
             fs.delete(p, True)
 
     def ingest_files(self, files: DataFrame, batch_id: str, strict: bool = False) -> IngestionResult:
-        """Ingest ``binaryFile`` rows as one batch (also used per micro-batch by
-        ``streaming.file_ingest``). Lines are numbered per file; a multi-file
-        batch is keyed by the sorted per-file digests."""
+        """Ingest ``binaryFile`` rows, whole files of at most 2 GB each, as one batch
+        numbered on in path order and keyed by the digest of its lines."""
         lines, bad, checksum = lines_from_files(files, batch_id)
         if bad.limit(1).count() > 0:
             raise UnicodeDecodeError("utf-8", b"", 0, 1, "source is not valid UTF-8")
@@ -279,69 +356,142 @@ class Warehouse:
         fs, p = self._fs(self.markers)
         if not fs.exists(p):
             return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p))
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return sorted(n for n in names if not n.startswith(("_", ".")))
+
+    def manifest(self, version: str) -> dict:
+        """``commits`` that the version covers; ``dates``: per dated table the version that holds each date."""
+        return json.loads(read_text(self.spark, f"{self.markers}/{version}"))
 
     def current_version(self) -> str | None:
+        if self._up_to is not None:
+            return self._pinned_version
         versions = self._versions()
         return versions[-1] if versions else None
 
+    @staticmethod
+    def new_version() -> str:
+        return dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ") + "-" + uuid.uuid4().hex[:8]
+
     def rebuild(self) -> str:
         """Recompute silver and gold from committed bronze into a new version and
         publish it atomically. Silver and sessions are written once and read
         back (lineage cut at a durable table), the rest derive from them."""
-        version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ") + "-" + uuid.uuid4().hex[:8]
-        silver_path = f"{self.silver_root}/v={version}"
-        gold = f"{self.gold_root}/v={version}"
-        # A folder per date lets date filters prune files; the rebalance keeps files
-        # of even size (AQE joins small and splits large dates). Sorting by player
-        # clusters row-group statistics, so player filters skip row groups.
-        bronze = self.bronze()
-        width = bucket_width(bronze)
-        (
-            silver(bronze, width)
-            .hint("rebalance", "event_date")
-            .sortWithinPartitions("event_date", "player_id", "event_time", "event_id")
-            .write.mode("overwrite")
-            .partitionBy("event_date")
-            .parquet(silver_path)
+        version, pinned = self.new_version(), self.snapshot()
+        bronze = pinned.bronze()
+        buckets = bucket_plan(bronze)
+        self.write_silver(silver(bronze, buckets), version)
+        dates = {"silver": self.linked("silver", {}, None, version)}
+        s = self.read_dated("silver", dates["silver"])
+        self.write_sessions(sessions(s, bucket_seconds=buckets), version)
+        dates["gold_sessions"] = self.linked("gold_sessions", {}, None, version)
+        sess = self.read_dated("gold_sessions", dates["gold_sessions"])
+        self.write_gold(
+            {
+                "gold_daily_metrics": daily_metrics(s, sess),
+                "gold_retention": retention(s),
+                "gold_funnel": funnel(s),
+                "gold_player_summary": player_summary(s, sess),
+                "gold_anomaly_candidates": anomalies(s),
+            },
+            version,
         )
-        s = self._silver_at(silver_path)
-        sessions(s, bucket_seconds=width).write.mode("overwrite").parquet(f"{gold}/gold_sessions")
-        sess = self.spark.read.parquet(f"{gold}/gold_sessions")
-        outputs = {
-            "gold_daily_metrics": daily_metrics(s, sess),
-            "gold_retention": retention(s),
-            "gold_funnel": funnel(s),
-            "gold_player_summary": player_summary(s, sess),
-            "gold_anomaly_candidates": anomalies(s),
-        }
-        # Independent tables: submit their jobs concurrently so small stages do
-        # not leave executors idle; any failure propagates and no marker is made.
-        with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+        return self.publish(version, pinned, dates)
+
+    def refresh(self) -> str:
+        """Publish what ``rebuild`` would, rewriting only what batches since the current version change."""
+        from lumenfold.plans.refresh import refresh
+
+        return refresh(self)
+
+    # A version in the making: its tables, then its marker.
+    def write_silver(self, rows: DataFrame, version: str) -> None:
+        """A folder per event_date, so that date filters prune files; the rebalance keeps
+        them of even size (AQE joins small and splits large dates). Sorting by player
+        clusters row-group statistics, so player filters skip row groups."""
+        spread = rows.hint("rebalance", "event_date")
+        ordered = spread.sortWithinPartitions("event_date", "player_id", "event_time", "event_id")
+        ordered.write.mode("overwrite").partitionBy("event_date").parquet(self._dated_root("silver", version))
+
+    def write_sessions(self, rows: DataFrame, version: str) -> None:
+        dated = rows.withColumn(DATED["gold_sessions"], utc_date("session_started_at"))
+        spread = dated.hint("rebalance", DATED["gold_sessions"])
+        spread.write.mode("overwrite").partitionBy(DATED["gold_sessions"]).parquet(self._dated_root("gold_sessions", version))
+
+    def write_gold(self, tables: dict[str, DataFrame], version: str) -> None:
+        """Independent tables: their jobs are submitted together, so small stages do not
+        leave executors idle; any failure propagates and no marker is made."""
+        with ThreadPoolExecutor(max_workers=len(tables)) as pool:
             futures = [
-                pool.submit(lambda n=name, d=df: d.write.mode("overwrite").parquet(f"{gold}/{n}"))
-                for name, df in outputs.items()
+                pool.submit(lambda n=name, d=df: d.write.mode("overwrite").parquet(f"{self.gold_root}/v={version}/{n}"))
+                for name, df in tables.items()
             ]
             for future in futures:
                 future.result()
-        fs, marker = self._fs(f"{self.markers}/{version}")
-        fs.create(marker, False).close()
+
+    def publish(self, version: str, pinned: Warehouse, dates: dict[str, dict[str, str]]) -> str:
+        content = json.dumps({"commits": pinned._up_to, "dates": dates})
+        if not put_if_absent(self.spark, f"{self.markers}/{version}", content):
+            raise RuntimeError(f"version {version} exists")
         return version
 
-    def _silver_at(self, path: str) -> DataFrame:
+    # -- tables by date ---------------------------------------------------------
+    def _dated_root(self, table: str, version: str) -> str:
+        return f"{self.silver_root}/v={version}" if table == "silver" else f"{self.gold_root}/v={version}/{table}"
+
+    def _dates_in(self, table: str, version: str) -> list[str]:
+        """The dates that a version wrote itself."""
+        fs, p = self._fs(self._dated_root(table, version))
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        mark = f"{DATED[table]}="
+        return [n.removeprefix(mark) for n in names if n.startswith(mark)]
+
+    def linked(self, table: str, before: dict[str, str], rewritten: list[dt.date] | None, version: str) -> dict[str, str]:
+        """Which version holds each date: ``version`` those that it wrote, else as before; rewritten ones may be gone."""
+        gone = {str(d) for d in rewritten or ()}
+        kept = {d: v for d, v in before.items() if d not in gone}
+        return kept | {d: version for d in self._dates_in(table, version)}
+
+    def read_dated(self, table: str, dates: dict[str, str]) -> DataFrame:
         # With its schema, as a table without rows has no date folders to tell it from.
-        return self.spark.read.schema(silver(self.bronze()).schema).parquet(path).select(*SILVER_COLUMNS)
+        rows = silver(self.bronze())
+        schema, columns = rows.schema, SILVER_COLUMNS
+        if table == "gold_sessions":
+            rows = sessions(rows)
+            columns = rows.columns
+            schema = StructType([*rows.schema.fields, StructField(DATED[table], DateType())])
+        found = None
+        for version in sorted(set(dates.values())):
+            root, own = self._dated_root(table, version), [d for d, v in dates.items() if v == version]
+            whole = set(own) == set(self._dates_in(table, version))
+            paths = [root] if whole else [f"{root}/{DATED[table]}={d}" for d in own]
+            part = self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
+            found = part if found is None else found.unionByName(part)
+        return (self.spark.createDataFrame([], schema) if found is None else found).select(*columns)
 
     def silver(self) -> DataFrame:
-        return self._silver_at(f"{self.silver_root}/v={self._require_version()}")
+        return self.read_dated("silver", self.manifest(self._require_version())["dates"]["silver"])
 
     def drop_versions(self, keep: int = 2) -> list[str]:
         """Remove all but the newest ``keep`` rebuilt versions, marker first; their names."""
         if keep < 1:
             raise ValueError("at least the current version must be kept")
-        old = self._versions()[:-keep]
+        versions = self._versions()
+        old, kept = versions[:-keep], versions[-keep:]
+        used = {(t, v, d) for k in kept for t, dates in self.manifest(k)["dates"].items() for d, v in dates.items()}
         for version in old:
-            for path in (f"{self.markers}/{version}", f"{self.silver_root}/v={version}", f"{self.gold_root}/v={version}"):
+            gone = [f"{self.markers}/{version}"]
+            linked = {t: [d for d in self._dates_in(t, version) if (t, version, d) in used] for t in DATED}
+            for table, root in (("silver", self.silver_root), ("gold_sessions", self.gold_root)):
+                if not linked[table]:
+                    gone.append(f"{root}/v={version}")
+                    continue
+                # Dates that a kept version links stay.
+                here = self._dated_root(table, version)
+                gone += [f"{here}/{DATED[table]}={d}" for d in self._dates_in(table, version) if d not in linked[table]]
+                if table != "silver":
+                    gone += [f"{root}/v={version}/{t}" for t in GOLD_TABLES if t != table]
+            for path in gone:
                 fs, p = self._fs(path)
                 fs.delete(p, True)
         return old
@@ -350,6 +500,8 @@ class Warehouse:
         if table not in GOLD_TABLES:
             raise ValueError(f"unknown gold table: {table}")
         version = self._require_version()
+        if table in DATED:
+            return self.read_dated(table, self.manifest(version)["dates"][table])
         return self.spark.read.parquet(f"{self.gold_root}/v={version}/{table}")
 
     def _require_version(self) -> str:
@@ -424,9 +576,10 @@ class Warehouse:
 
     # -- export (A12, A14, A15) -------------------------------------------------
     def export(self, out_dir: str, max_bytes: int | None = None) -> DataFrame:
-        """Write each gold table as zstd Parquet under ``out_dir/<table>.parquet``
-        and a manifest (file name, bytes, sha256 per file, summary, scope).
-        Tables stay distributed: one directory of part files per table."""
+        """Write each gold table as zstd Parquet under ``out_dir/<table>.parquet`` and
+        a manifest: a row per part file (name, bytes, tree digest) in
+        ``_manifest/files``, and the summary and scope, which is returned, in
+        ``_manifest/summary``. One directory of part files per table."""
         out_dir = out_dir.rstrip("/")
         for name in GOLD_TABLES:
             (
@@ -435,45 +588,42 @@ class Warehouse:
                 .option("compression", "zstd")
                 .parquet(f"{out_dir}/{name}.parquet")
             )
-        files = file_digests(self.spark, f"{out_dir}/*.parquet/*.parquet").select(
-            F.regexp_extract("path", r"([^/]+\.parquet/[^/]+)$", 1).alias("name"),
-            F.col("length").alias("bytes"),
-            "sha256",
-        )
+        files = export_files(self.spark, out_dir)
         if max_bytes is not None:
             total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
             if total > max_bytes:
                 raise ValueError("export exceeds the byte budget")
-        summary = M.summary(self.bronze(), self.quarantine())
-        manifest = files.agg(F.array_sort(F.collect_list(F.struct("name", "bytes", "sha256"))).alias("files"))
-        manifest = manifest.crossJoin(summary.select(F.struct("*").alias("summary"))).select(
+        files.write.mode("overwrite").json(f"{out_dir}/_manifest/files")
+        manifest = M.summary(self.bronze(), self.quarantine()).select(
             F.lit(__version__).alias("application_version"),
             F.current_timestamp().alias("captured_at"),
             F.lit(EXPORT_SCOPE).alias("scope"),
-            "summary",
-            "files",
+            F.struct("*").alias("summary"),
         )
-        manifest.coalesce(1).write.mode("overwrite").json(f"{out_dir}/_manifest")
-        return self.spark.read.json(f"{out_dir}/_manifest")
+        manifest.coalesce(1).write.mode("overwrite").json(f"{out_dir}/_manifest/summary")
+        return self.spark.read.json(f"{out_dir}/_manifest/summary")
+
+
+def export_files(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(name, bytes, tree_sha256) of each exported part file as it is on disk."""
+    return file_digests(spark, f"{out_dir}/*.parquet/*.parquet").select(
+        F.regexp_extract("path", r"([^/]+\.parquet/[^/]+)$", 1).alias("name"),
+        F.col("length").alias("bytes"),
+        "tree_sha256",
+    )
 
 
 def verify_export(spark: SparkSession, out_dir: str) -> dict:
     """Every manifest digest matches the bytes on disk; players = rows of
     the player summary; events = sum(events) of the daily table."""
     out_dir = out_dir.rstrip("/")
-    manifest = spark.read.json(f"{out_dir}/_manifest")
-    listed = manifest.select(F.explode("files").alias("f")).select("f.name", "f.bytes", "f.sha256")
-    actual = file_digests(spark, f"{out_dir}/*.parquet/*.parquet").select(
-        F.regexp_extract("path", r"([^/]+\.parquet/[^/]+)$", 1).alias("name"),
-        F.col("length").alias("bytes"),
-        "sha256",
-    )
-    mismatched = listed.join(actual, ["name", "bytes", "sha256"], "full_outer").join(
-        listed.join(actual, ["name", "bytes", "sha256"], "inner").select("name"), "name", "left_anti"
-    )
+    summary = spark.read.json(f"{out_dir}/_manifest/summary").select("summary.*").first()
+    listed = spark.read.schema("name string, bytes bigint, tree_sha256 string").json(f"{out_dir}/_manifest/files")
+    actual = export_files(spark, out_dir).withColumn("on_disk", F.lit(True))
+    both = listed.withColumn("listed", F.lit(True)).join(actual, ["name", "bytes", "tree_sha256"], "full_outer")
+    mismatched = both.where("listed is null or on_disk is null")
     if mismatched.limit(1).count() > 0:
         raise ValueError("export checksum mismatch")
-    summary = manifest.select("summary.*").first()
     players = spark.read.parquet(f"{out_dir}/gold_player_summary.parquet").count()
     events = spark.read.parquet(f"{out_dir}/gold_daily_metrics.parquet").agg(F.sum("events")).first()[0] or 0
     if players != summary["players"] or events != summary["accepted_events"]:

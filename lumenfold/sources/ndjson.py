@@ -3,8 +3,11 @@
 * ``read_ndjson``: a splittable text scan, so a file of any size is read by as
   many tasks as it has splits. Lines end at the full Python ``splitlines``
   separator set and are numbered by offsets of the splits; the text itself is
-  not shuffled. ``lines_from_files`` does the same for ``binaryFile`` rows
-  (file-arrival streams, one task per file).
+  not shuffled. ``located`` and ``number_lines`` are its two halves, which the
+  file-arrival stream uses on its micro-batches. ``lines_from_files`` does the
+  same for whole files given as ``binaryFile`` rows (one task per file).
+* ``file_digests``: a digest per file of any kind and size, read by the same
+  splittable scan.
 * ``number_rows``: consecutive 1-based numbers for an ordered DataFrame
   without a single-partition window (count per partition, then offsets --
   the DataFrame form of ``zipWithIndex``).
@@ -27,13 +30,67 @@ LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 OTHER_BREAKS = r"[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 NON_BLANK = "[^" + PY_WHITESPACE_CLASS + "]"
 DIGEST_FANOUT = 4096
+#: Splits whose offsets are handed to every task; more are joined by a shuffle of the lines.
+MAX_SPLITS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) per file; the content never leaves its task."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
+    """(path, length, tree_sha256) per file, whatever its size, read in ranges by many tasks.
+
+    The pieces of a file are what stands between its newline bytes. The digest is
+    SHA-256 over the file's length and the digests of its groups of
+    ``DIGEST_FANOUT`` chunks of as many pieces, lower-case hex by line; a chunk is
+    SHA-256 over the SHA-256 of its pieces, a group over its chunks. How the scan
+    splits the file makes no difference. A file without bytes has no row.
+    """
+    pieces = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_size").alias("length"),
+        F.monotonically_increasing_id().alias("at"),
+        F.sha2("value", 256).alias("digest"),
+    )
+    counts = pieces.groupBy("source_file", "split").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    numbered = _with_bases(pieces, counts, per_file=True).withColumn("number", F.col("base") + F.col("at") - F.col("first"))
+    file = ["source_file", "length"]
+    chunks = _digest_level(numbered.withColumn("up", F.floor(F.col("number") / DIGEST_FANOUT)), file, "number")
+    groups = _digest_level(chunks.withColumn("up", F.floor(F.col("number") / DIGEST_FANOUT)), file, "number")
+    files = _digest_level(groups.withColumn("up", F.lit(0)), file, "number", first=F.col("length").cast("string"))
+    return files.select(F.col("source_file").alias("path"), "length", F.col("digest").alias("tree_sha256"))
+
+
+def _digest_level(df: DataFrame, by: list[str], order: str, first: F.Column | None = None) -> DataFrame:
+    """(``by``, number, digest): SHA-256 over the digests of equal ``up`` in order, ``first`` before them if given."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("digest").alias("d"))))
+    joined = F.array_join(F.transform(items, lambda x: x["d"]), "\n")
+    parts = F.concat_ws("\n", first, joined) if first is not None else joined
+    return df.groupBy(*by, F.col("up").alias("number")).agg(F.sha2(parts, 256).alias("digest"))
+
+
+def _with_bases(rows: DataFrame, counts: DataFrame, per_file: bool = False) -> DataFrame:
+    """``rows`` with ``first`` and ``base`` of their split: its first row, and the lines of all splits before it.
+
+    ``counts`` has a row per split: (source_file, split, first, lines, ...). Up to
+    ``MAX_SPLITS`` of them are handed to every task as a small table; beyond that
+    the join is left to a shuffle by split. Splits are in order of path and place;
+    ``per_file`` begins every file at 0.
+    """
+    key = ["source_file", "split"]
+    few = counts.limit(MAX_SPLITS + 1).collect()
+    if len(few) > MAX_SPLITS:
+        window = Window.partitionBy("source_file") if per_file else Window
+        before = window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+        bases = counts.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
+        return rows.join(bases.hint("merge"), key)
+    bases, base, file = [], 0, None
+    for row in sorted(few, key=lambda r: (r["source_file"], r["split"])):
+        if per_file and row["source_file"] != file:
+            base, file = 0, row["source_file"]
+        bases.append((*(row[c] for c in counts.columns if c != "lines"), base))
+        base += row["lines"]
+    schema = T.StructType([*(f for f in counts.schema.fields if f.name != "lines"), T.StructField("base", T.LongType())])
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(bases, schema)), key)
 
 
 def split_lines(text_col: str = "text") -> F.Column:
@@ -83,34 +140,40 @@ def lines_from_files(files: DataFrame, batch_id: str) -> tuple[DataFrame, DataFr
     return lines, bad, lines_digest(lines)
 
 
+def located(text: DataFrame) -> DataFrame:
+    """(source_file, split, value) of a text scan, batch or streaming."""
+    return text.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        "value",
+    )
+
+
 def read_ndjson(spark: SparkSession, path: str, batch_id: str) -> tuple[DataFrame, DataFrame]:
-    """A1: NDJSON file(s) at ``path`` as ``(lines, invalid_utf8)``.
+    """A1: NDJSON file(s) at ``path`` as ``(lines, invalid_utf8)``; see ``number_lines``."""
+    return number_lines(located(spark.read.text(path)), batch_id)
+
+
+def number_lines(scanned: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """``(lines, invalid_utf8)`` of ``located`` rows.
 
     ``lines`` has (batch_id, source_file, line_number, raw) for non-blank lines;
     files are numbered on in path order and blank lines are counted. Rows of
     ``invalid_utf8`` (source_file) must be absent before anything is written.
+    Counting the lines of each split is a job of its own, run at once.
     """
-    text = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("at"),
-        "value",
-    )
+    text = scanned.select("source_file", "split", F.monotonically_increasing_id().alias("at"), "value")
     parts = F.split("value", OTHER_BREAKS, -1)
     # The scan ends lines at \\n, \\r and \\r\\n; few hold one of the other separators.
     text = text.withColumn("parts", F.when(F.col("value").rlike(OTHER_BREAKS), parts).otherwise(F.array("value")))
-    key = ["source_file", "split"]
-    counts = text.groupBy(*key).agg(
+    counts = text.groupBy("source_file", "split").agg(
         F.min("at").alias("first"),
         F.sum(F.size("parts")).alias("lines"),
         F.max(F.size("parts") > 1).alias("uneven"),
     )
-    # One row per split of the input.
-    before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
-    joined = text.join(F.broadcast(counts), key)
+    joined = _with_bases(text, counts)
     even = joined.where("not uneven").withColumn("offset", F.col("at") - F.col("first"))
-    inside = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     uneven = joined.where("uneven").withColumn("offset", F.coalesce(F.sum(F.size("parts")).over(inside), F.lit(0)))
     numbered = even.unionByName(uneven).select(
         F.lit(batch_id).alias("batch_id"),
@@ -177,38 +240,11 @@ def lines_digest(lines: DataFrame) -> DataFrame:
     digests of ``DIGEST_FANOUT`` consecutive numbers, over groups of those, and
     over the group digests. Lines themselves never leave their task, and every
     group below the last has ``DIGEST_FANOUT`` digests at most."""
-    fan = DIGEST_FANOUT
-
-    def level(df: DataFrame, key: str, order: str, payload: str, out_key: str) -> DataFrame:
-        collected = df.groupBy(F.col(key).alias(out_key)).agg(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("items")
-        )
-        return collected.select(
-            out_key,
-            F.sha2(F.array_join(F.transform("items", lambda x: x["p"]), "\n"), 256).alias("digest"),
-        )
-
-    chunks = level(
-        lines.select(
-            F.floor((F.col("line_number") - 1) / fan).alias("chunk"),
-            "line_number",
-            F.sha2("raw", 256).alias("line_sha256"),
-        ),
-        "chunk",
-        "line_number",
-        "line_sha256",
-        "chunk",
-    )
-    groups = level(chunks.withColumn("grp", F.floor(F.col("chunk") / fan)), "grp", "chunk", "digest", "grp")
-    root = groups.agg(
-        F.sha2(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("grp", "digest"))), lambda x: x["digest"]), "\n"
-            ),
-            256,
-        ).alias("source_sha256")
-    )
-    return root
+    each = lines.select("line_number", F.sha2("raw", 256).alias("digest"))
+    chunks = _digest_level(each.withColumn("up", F.floor((F.col("line_number") - 1) / DIGEST_FANOUT)), [], "line_number")
+    groups = _digest_level(chunks.withColumn("up", F.floor(F.col("number") / DIGEST_FANOUT)), [], "number")
+    ordered = F.array_sort(F.collect_list(F.struct("number", "digest")))
+    return groups.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["digest"]), "\n"), 256).alias("source_sha256"))
 
 
 def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
