@@ -48,14 +48,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC, read the archives back; a row per capture.
 
     The archives are removed once the (narrow) result stands in the checkpoint
-    folder, as they are a means here.
+    folder, as they are a means here. Rows written and captures read must agree.
     """
     pages = read_table(ensure_utc(spark), sf_dir, "pages")
-    row_id = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    # The whole path: folders of a partitioned table repeat file names.
+    row_id = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     path = scratch_path(spark, "warc")
     warc.write_warc(pages.select("page_id", "url", "html", row_id.alias("row_id")), path)
     result = settle(warc.page_captures(spark, path))
     remove_path(spark, path)
+    written, read = pages.count(), result.count()
+    if written != read:
+        raise RuntimeError(f"{written} captures written, {read} read")
     return result
 
 

@@ -17,8 +17,10 @@ offsets (sums of lengths within a file), so reading is exact for any payload.
 Offsets use narrow columns of the files concerned only.
 
 Transactions are assembled by bringing the request, response and metadata records
-together on the identifiers that concurrent-to names: one shuffle and one nested
-row per capture. Payloads travel only if the caller selects them.
+together on the identifiers that concurrent-to names, by either side and through
+other records: one nested row per capture, with all its requests and metadata
+records. Links are followed on ids alone; then records meet in one shuffle.
+Payloads travel only if the caller selects them.
 
 Null html is an empty payload, a null url is empty. Rows that agree in id, url
 and html are separate captures; of equal ids that tie for the response one is
@@ -267,37 +269,67 @@ def _fields(records: DataFrame) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, path: str) -> DataFrame:
-    """One nested row per capture: ``response``, ``payload``, ``request`` and ``metadata``.
+def _captures_of(links: DataFrame) -> DataFrame:
+    """(id, capture) of every request and metadata record that concurrent-to links lead to a response or revisit.
+
+    ``links`` has (id, answer, concurrent) of all records. A link counts from either
+    side; it may lead through other requests and metadata records, not through
+    another response. Rounds end when one finds nothing new.
+    """
+    answers = links.where("answer").select("id").distinct()
+    named = links.select("id", F.explode("concurrent").alias("other"))
+    edges = named.union(named.select("other", "id")).distinct().join(answers, "id", "left_anti")
+    edges = settle(edges.select(F.col("id").alias("from"), "other"))
+    reached = new = answers.select("id", F.col("id").alias("capture"))
+    while True:
+        step = edges.join(new, edges["other"] == new["id"]).select(F.col("from").alias("id"), "capture").distinct()
+        new = settle(step.join(reached, ["id", "capture"], "left_anti"))
+        if new.isEmpty():
+            return reached
+        reached = settle(reached.union(new))
+
+
+def transactions(spark: SparkSession, path: str, direct: bool = False) -> DataFrame:
+    """One nested row per capture: ``response``, ``payload``, ``requests`` and ``metadata``.
 
     ``response`` has id, type (response or revisit), url, digest (as announced),
     refers_to, payload_bytes and payload_sha1 (of the payload read; a revisit has
-    none of its own). ``request`` and ``metadata`` have id and block and are null
-    where no record names the response. Of several that do, the one with the least
-    id is taken. Records that name no response of the archives are left out.
+    none of its own). ``requests`` and ``metadata`` are arrays of (id, block) by id,
+    each record once. Records that no link leads to a response are left out.
+    ``direct`` says that every request and metadata record names its response
+    itself, as ``write_warc`` has it, which spares the pass over the links.
     """
     found = read_records(spark, path, _fields)
     answer = F.col("type").isin("response", "revisit")
-    keys = F.when(answer, F.array("id")).otherwise(F.col("concurrent"))
-    keyed = found.select(F.explode(keys).alias("capture"), "*")
+    if direct:
+        keys = F.when(answer, F.array("id")).otherwise(F.col("concurrent"))
+        keyed = found.select(F.explode(keys).alias("capture"), "*")
+    else:
+        links = read_records(spark, path, lambda df: _fields(df).select("id", answer.alias("answer"), "concurrent"))
+        keyed = found.join(_captures_of(settle(links)), "id")
     fields = ["id", "type", "url", "digest", "refers_to", "payload_bytes", "payload_sha1"]
-    other = lambda kind: F.min(F.when(F.col("type") == kind, F.struct("id", "block"))).alias(kind)
+
+    def others(kind: str) -> Column:
+        own = F.collect_set(F.when(F.col("type") == kind, F.struct("id", "block")))
+        return F.array_sort(own).alias(kind)
+
     grouped = keyed.groupBy("capture").agg(
         F.min(F.when(answer, F.struct(*fields))).alias("response"),
         F.first("payload", ignorenulls=True).alias("payload"),
-        other("request"),
-        other("metadata"),
+        others("request").alias("requests"),
+        others("metadata"),
     )
-    return grouped.where("response is not null").select("response", "payload", "request", "metadata")
+    return grouped.where("response is not null").select("response", "payload", "requests", "metadata")
 
 
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
     """Per capture: page_id, payload_bytes, payload_digest, record_type, refers_to, all from the archives.
 
-    A revisit takes size and digest from the response it refers to.
+    The archives are those of ``write_warc``. A revisit takes size and digest from
+    the response it refers to.
     """
-    fields = F.col("metadata.block").cast("string")
-    rows = transactions(spark, path).select(
+    fields = F.col("metadata")[0].block.cast("string")
+    rows = transactions(spark, path, direct=True).select(
         F.regexp_extract(fields, r"(?m)^page_id: (-?\d+)", 1).try_cast("bigint").alias("page_id"),
         F.col("response.id").alias("id"),
         F.col("response.type").alias("record_type"),
