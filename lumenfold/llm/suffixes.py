@@ -23,8 +23,14 @@ Both ways find a window if and only if it stands in two documents, up to hash
 equality (64 bits for k-grams and windows, 16 bits for each word of a context, so
 a span's end can be a word too far with a chance of 2 ** -16).
 
+Links: the documents that share a window form a star around the least of them, so
+every document of a repeated window is linked, and no window's link is lost where
+spans of several passages overlap.
+
 Null and empty texts have no spans. Rows of one doc_id are one document, so copies
-within it don't count; rows without id are left out.
+within it don't count. Rows without id are a document per distinct text; they count
+as partners, and their own result rows have a null id. Ids are 64-bit numbers of
+which those below ``NO_ID`` are kept for that.
 """
 
 from __future__ import annotations
@@ -48,6 +54,9 @@ MAX_GROUP = 32
 HOT_KEYS = 100_000
 #: Tasks that the rows of one window are dealt to.
 SALTS = 16
+#: Keys of rows without id are below this.
+NO_ID = -(1 << 62)
+_NONE = np.iinfo(np.int64).max
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +104,8 @@ _ROWS = "gram bigint, doc_id bigint, place int, first int, last int, left binary
 def suffixes(docs: DataFrame, narrow: bool = False) -> DataFrame:
     """The selected suffixes of (doc_id, text) rows; ``narrow``: k-gram and document only."""
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    without = F.lit(NO_ID) - 1 - F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), without).alias("doc_id"), "text").where("text is not null")
 
     def run(batches):
         for batch in batches:
@@ -130,13 +140,19 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(rows: pa.Table) -> pa.RecordBatch | None:
-    """Spans from whole groups, sorted by k-gram: each row's widest repeated span and one partner."""
+    """Spans from whole groups, sorted by k-gram: each row's widest repeated span, once per partner.
+
+    A row's partners are, over the windows around its suffix, the least other
+    document with that window.
+    """
     n = rows.num_rows
     gram, doc, place = (np.asarray(rows.column(c)) for c in ("gram", "doc_id", "place"))
     side = lambda c: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint16).reshape(n, SIDE)
     left, right = side("left"), side("right")
-    low, high = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
-    partner = np.full(n, np.iinfo(np.int64).max)
+    low, high = np.full(n, _NONE), np.zeros(n, np.int64)
+    # By the words that a window has before the suffix.
+    least = np.full((n, WINDOW), _NONE)
+    offset = np.arange(WINDOW)
     at, step = np.arange(n), 0
     while True:
         step += 1
@@ -149,14 +165,19 @@ def _compare(rows: pa.Table) -> pa.RecordBatch | None:
         before, after = _same(left[a], left[b]), _same(right[a], right[b])
         good = before + GRAM + after >= MIN_WORDS
         a, b, before, after = a[good], b[good], before[good], after[good]
+        within = (offset <= before[:, None]) & (offset >= SIDE - after[:, None])
         for x, y in ((a, b), (b, a)):
             low[x] = np.minimum(low[x], place[x] - before)
             high[x] = np.maximum(high[x], place[x] + GRAM + after)
-            partner[x] = np.minimum(partner[x], doc[y])
-    got = high > 0
-    if not got.any():
+            least[x] = np.minimum(least[x], np.where(within, doc[y][:, None], _NONE))
+    got = np.flatnonzero(high)
+    if not len(got):
         return None
-    values = (doc[got], low[got], high[got], partner[got])
+    partners = np.sort(least[got], axis=1)
+    fresh = partners != _NONE
+    fresh[:, 1:] &= partners[:, 1:] != partners[:, :-1]
+    row = got[np.nonzero(fresh)[0]]
+    values = (doc[row], low[row], high[row], partners[fresh])
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=["doc_id", "start", "stop", "partner"])
 
 
@@ -199,7 +220,7 @@ def _windows(batches):
 
 
 def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """(doc_id, start, stop, partner) spans of words, not merged; ``partner`` is another document with it."""
+    """(doc_id, start, stop, partner) spans of words, not merged: a row per span and partner that links it."""
     keys = suffixes(docs, narrow=True).groupBy("gram").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")
     )
@@ -236,7 +257,10 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """Per document with repeats: doc_id, ``spans`` (array of struct(start, stop), merged, in words),
-    ``n_words`` (words in them) and ``partners`` (for each span, the least document found to share part of it).
+    ``n_words`` (words in them) and ``partners`` (ids of the documents that it is linked to, in order).
+
+    Documents that share a window are linked to the least of them, so they are
+    connected through ``partners`` whatever else they share.
     """
     spans = repeated_spans(docs, max_group)
     order = W.partitionBy("doc_id").orderBy("start", "stop")
@@ -244,15 +268,12 @@ def repeated_passages(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     # Spans that touch are not merged: what joins two passages stands in neither.
     fresh = F.when(F.col("start") < reach, 0).otherwise(1)
     parts = spans.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(order))
+    known = F.when(F.col("partner") >= NO_ID, F.col("partner"))
     merged = parts.groupBy("doc_id", "part").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("partner").alias("partner")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set(known).alias("with")
     )
     return merged.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop", "partner"))).alias("s"),
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"),
         F.sum(F.col("stop") - F.col("start")).alias("n_words"),
-    ).select(
-        "doc_id",
-        F.transform("s", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop"))).alias("spans"),
-        "n_words",
-        F.col("s.partner").alias("partners"),
-    )
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("with")))).alias("partners"),
+    ).select(F.when(F.col("doc_id") >= NO_ID, F.col("doc_id")).alias("doc_id"), "spans", "n_words", "partners")

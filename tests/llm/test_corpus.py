@@ -346,7 +346,7 @@ def test_warc_round_trip(spark, workdir):
         assert sorted(str(tuple(r[:3])) for r in got) == want
         again = sorted(str((r.page_id, r.refers_to)) for r in got if r.record_type == "revisit")
         assert again == sorted(map(str, [(1, 11), (2, 11), (3, 11), (11, 11), (None, None)]))
-        assert tricky.encode() in [bytes(r.payload) for r in whole] and all(r.request and r.metadata for r in whole)
+        assert tricky.encode() in [bytes(r.payload) for r in whole] and all(len(r.requests) == len(r.metadata) == 1 for r in whole)
 
 
 def test_many_records_cross_the_reader_s_buffers(spark, workdir):
@@ -459,4 +459,26 @@ def test_repeated_passages_equal_all_windows(spark, max_group):
     rows = [(d, " ".join(w)) for d, w in docs.items()] + [(None, "a b"), (200, None), (201, ""), (202, "same " * 300)]
     got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), max_group).collect()
     assert {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in got} == want
-    assert all(r.doc_id not in r.partners for r in got)
+    # Links: exactly those to the least document of each window, or from it to another one.
+    stars = collections.defaultdict(set)
+    for members in owners.values():
+        for d in members:
+            if len(members) > 1 and d != min(members):
+                stars[d].add(min(members))
+    for r in got:
+        assert stars[r.doc_id] <= set(r.partners) and r.partners == sorted(set(r.partners) - {r.doc_id})
+        assert all(any(r.doc_id in m and p in m for m in owners.values()) for p in r.partners)
+
+
+@pytest.mark.parametrize("max_group", [32, 1])
+def test_links_of_overlapping_passages_and_rows_without_id(spark, empty, max_group):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    two, one, both = words("a", 70), words("b", 70), words("c", 60)
+    # Documents 5 and 6 alone share a passage that overlaps what each shares with another.
+    docs = {2: two + both[:20], 1: one + both[:20], 5: two + both, 6: one + both, 9: words("z", 80), 10: words("q", 80), 11: words("q", 80)}
+    rows = [(d, " ".join(w)) for d, w in docs.items()] * 2 + [(None, " ".join(words("z", 80)))] * 2
+    found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), max_group).collect()
+    got = {r.doc_id: r.partners for r in found}
+    assert got[5] == [2, 6] and got[6] == [1, 5] and got[2] == [5] and got[1] == [6] and got[10] == [11] and got[11] == [10]
+    assert got[9] == [] and got[None] == [9] and len(found) == len(got) == 8
+    assert suffixes.repeated_passages(empty).count() == 0
