@@ -133,6 +133,55 @@ QUERIES = {
 
 #: DuckDB SQL where it can express a query.
 SQL: dict[str, str] = {
+    "op5_warc": """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS bytes FROM pages
+), placed AS (
+  SELECT *, bytes >= 1000 AND page_id < max(page_id) OVER same AS again, max(page_id) OVER same AS last
+  FROM payloads WINDOW same AS (PARTITION BY html)
+)
+SELECT page_id, bytes AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM placed
+""",
+    "op11_spelling_variants": """
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n FROM runs GROUP BY id, run
+), crc_steps AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) AS r(b)
+), hashed AS (
+  SELECT id, run, n, hex(encode(id || ':' || run)) AS h FROM counted
+), coded AS (
+  SELECT run, n, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM hashed, crc_steps
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM coded
+  ) GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3
+), cut AS (
+  SELECT word, n, i AS place, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, {'n': -near_n, 'w': near}) AS form FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN form END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM formed f JOIN chain c ON f.form = c.word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)
+""",
     "op13_fill_in_middle": """
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
