@@ -2,8 +2,9 @@
 
 Two character models are trained from labelled samples: random strings (hashes
 of numbers, written in hexadecimal, base 64 and letters and digits) and ordinary
-identifiers (words of the documents at hand, joined as in names, paths and
-assignments; fillers, counters and dates). Candidates are the runs of letters, digits and ``+ / _ = -``. A
+identifiers (words of the documents at hand and of the documentation of PySpark's
+own functions, joined as in names, paths and assignments, some with numbers;
+fillers, counters and dates). Candidates are the runs of letters, digits and ``+ / _ = -``. A
 stretch of a run is a secret if the sum over its character pairs of the log
 likelihood ratio, random against ordinary, reaches ``THRESHOLD``; it ends before the
 sum falls by ``THRESHOLD`` again, so a run may hold several. Its span reaches to the
@@ -12,7 +13,7 @@ letter or digit and has ``SHORTEST`` or more characters. Of a
 secret that holds marks itself, a piece at its end that looks ordinary may stay out.
 
 Everything runs in DataFrame functions. Both samples are bounded (``STRINGS``,
-``SAMPLE_DOCS`` and ``FILLERS``); scanning covers whole texts of every row. Training collects one
+``SAMPLE_DOCS``, ``FILLERS`` and the installed documentation, about 1 MB); scanning covers whole texts of every row. Training collects one
 count per character pair.
 
 Null and empty texts have no spans. Spans count code points, with exclusive
@@ -22,8 +23,10 @@ kinds may overlap.
 
 from __future__ import annotations
 
+import inspect
 import math
 
+from pyspark import sql
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +44,10 @@ SHORTEST = 12
 #: Least log likelihood ratio (natural) of a secret.
 THRESHOLD = 12.0
 STRINGS = 4000
-SAMPLE_DOCS = 1000
+SAMPLE_DOCS = 200
 FILLERS = 2000
+#: Every so many ordinary names one has a number in it.
+NUMBERED = 18
 
 #: Letters by case, digits and the five marks; a row and a column of the pair table each.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -64,24 +69,48 @@ def random_strings(spark: SparkSession, count: int = STRINGS) -> DataFrame:
     return spark.range(0, count, 1, 4).select(F.explode(F.array(*forms)).alias("value"))
 
 
+#: What stands between two texts of the documentation.
+_GAP = "\x1f"
+
+
+def documentation() -> str:
+    """The public documentation of the installed PySpark's functions and main classes: ordinary English and names."""
+    owners = (F, sql.DataFrame, sql.SparkSession, sql.Column, sql.Window, sql.DataFrameReader, sql.DataFrameWriter)
+    found = [getattr(o, name, None) for o in owners for name in sorted(dir(o)) if not name.startswith("_")]
+    return _GAP.join(inspect.getdoc(x) or "" for x in found if callable(x))
+
+
 def ordinary_strings(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
-    """(value) identifiers: words of about ``count`` documents, joined by case, mark or nothing, and plain fillers."""
+    """(value) identifiers: words of about ``count`` distinct texts and of the documentation, joined by case, mark,
+    number or nothing, and plain fillers."""
     total = docs.count()
     share = max(1, math.ceil(1_000_000 * min(1.0, count / max(total, 1))))
-    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
-    words = hold(chosen.select("text"), "w", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,15}"), F.lit(0))).where("size(w) > 0")
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text").distinct()
+    known = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(documentation()), _GAP)).alias("text"))
+    words = hold(chosen.union(known), "w", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,15}"), F.lit(0))).where("size(w) > 0")
     at = F.sequence(F.lit(1), F.size("w"))
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))
 
     def joined(i: Column) -> Column:
         three = F.slice("w", i, F.lit(3))
         kind = F.pmod(i, F.lit(7))
-        name = F.concat_ws("", F.transform(three, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))))
         out = F.when(kind == 0, F.concat_ws("", three)).when(kind == 1, F.concat_ws("_", three))
-        out = out.when(kind == 2, F.concat_ws("/", three)).when(kind == 3, F.concat_ws("-", three)).when(kind == 4, name)
-        out = out.when(kind == 5, F.concat_ws("=", three))
+        out = out.when(kind == 2, F.concat_ws("/", three)).when(kind == 3, F.concat_ws("-", three))
+        out = out.when(kind == 4, F.concat_ws("", F.transform(three, capital))).when(kind == 5, F.concat_ws("=", three))
         return out.otherwise(F.upper(F.concat_ws("_", three)))
 
-    names = words.select(F.explode(F.transform(at, joined)).alias("value"))
+    def numbered(i: Column) -> Column:
+        a = F.get("w", i - 1)
+        b = F.coalesce(F.get("w", i), a)
+        turn = F.floor(i / NUMBERED)
+        n = F.when(turn % 2 == 1, turn % 10).otherwise(turn % 128).cast("string")
+        kind = F.pmod(turn, F.lit(5))
+        out = F.when(kind == 0, F.concat(a, n, F.lit("_"), b)).when(kind == 1, F.upper(F.concat(a, n, F.lit("_"), b)))
+        out = out.when(kind == 2, F.concat(a, capital(b), n)).when(kind == 3, F.concat(F.substring(a, 1, 1), n, b))
+        return out.otherwise(F.concat(a, n, F.lit("/"), b))
+
+    each = F.transform(at, lambda i: F.when(i % NUMBERED == 1, F.array(joined(i), numbered(i))).otherwise(F.array(joined(i))))
+    names = words.select(F.explode(F.flatten(each)).alias("value"))
     # Rules and fillers of one character, counters and dates are ordinary as well.
     fills = F.when(F.col("id") % 40 == 0, F.array(*(F.lit(c * 30) for c in ALPHABET))).otherwise(F.array().cast("array<string>"))
     date = F.date_format(F.timestamp_seconds(F.col("id") * 864_013), "yyyy-MM-dd-HH-mm-ss")

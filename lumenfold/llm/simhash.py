@@ -188,8 +188,11 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     many = many.join(best, (many.h == best.h) & many.doc_id.eqNullSafe(best.doc_id), "left_semi")
     chosen = best.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     several = many.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row")).select(
-        "_row", F.col("_row.doc_id").alias("_id"), F.xxhash64("_row.text").alias("_h")
+    # Columns go by place, so no name of theirs can clash.
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    whole = docs.toDF(*names).select(
+        F.struct(*names).alias("_row"), F.col(own_id).alias("_id"), F.xxhash64(own_text).alias("_h")
     )
     same = lambda x: (whole._h == x._h) & whole._id.eqNullSafe(x._id)
     kept = whole.join(chosen, same(chosen), "left_semi")
@@ -197,6 +200,7 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     once = (
         kept.join(several, (kept._h == several._h) & kept._id.eqNullSafe(several._id), "left_semi")
         .groupBy("_id", "_h")
-        .agg(F.min("_row").alias("_row"))
+        # As text, as maps have no order.
+        .agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     )
-    return single.select("_row").union(once.select("_row")).select("_row.*")
+    return single.select("_row").union(once.select("_row")).select("_row.*").toDF(*docs.columns)
