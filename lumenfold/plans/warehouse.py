@@ -526,7 +526,7 @@ class Warehouse:
         return cohort_review(self.silver(), **filters)
 
     def audit(self) -> DataFrame:
-        """A18 over the warehouse tables."""
+        """A18 over the warehouse tables, with the generated UTC date of silver once it is built."""
         bronze = self.bronze()
         receipts = self.receipts()
         b = constraint_audit(
@@ -572,7 +572,17 @@ class Warehouse:
             },
             foreign_keys=[(["batch_id"], receipts, ["batch_id"], "foreign_key:batch_id->receipts")],
         )
-        return b.unionByName(r).unionByName(q)
+        found = b.unionByName(r).unionByName(q)
+        if self.current_version() is None:
+            return found
+        dated = constraint_audit(
+            self.silver(),
+            "silver_events",
+            primary_key=["event_id"],
+            not_null=["player_id", "event_time", "event_sequence"],
+            generated={"event_date": utc_date("event_time")},
+        )
+        return found.unionByName(dated)
 
     # -- export (A12, A14, A15) -------------------------------------------------
     def export(self, out_dir: str, max_bytes: int | None = None) -> DataFrame:
