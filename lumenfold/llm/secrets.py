@@ -30,7 +30,9 @@ from pyspark import sql
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import remove_path, scratch_path
 from lumenfold.llm.textops import hold, match_spans, running
+from lumenfold.plans.commits import write_text
 
 # The patterns of the base kinds and their shortest values.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -69,24 +71,20 @@ def random_strings(spark: SparkSession, count: int = STRINGS) -> DataFrame:
     return spark.range(0, count, 1, 4).select(F.explode(F.array(*forms)).alias("value"))
 
 
-#: What stands between two texts of the documentation.
-_GAP = "\x1f"
-
-
 def documentation() -> str:
-    """The public documentation of the installed PySpark's functions and main classes: ordinary English and names."""
+    """The public documentation of the installed PySpark's functions and main classes, one of them a line:
+    ordinary English and names."""
     owners = (F, sql.DataFrame, sql.SparkSession, sql.Column, sql.Window, sql.DataFrameReader, sql.DataFrameWriter)
     found = [getattr(o, name, None) for o in owners for name in sorted(dir(o)) if not name.startswith("_")]
-    return _GAP.join(inspect.getdoc(x) or "" for x in found if callable(x))
+    return "\n".join(" ".join((inspect.getdoc(x) or "").split()) for x in found if callable(x))
 
 
-def ordinary_strings(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
-    """(value) identifiers: words of about ``count`` distinct texts and of the documentation, joined by case, mark,
-    number or nothing, and plain fillers."""
+def ordinary_strings(docs: DataFrame, known: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
+    """(value) identifiers: words of about ``count`` distinct texts of ``docs`` and of all of ``known``, joined by
+    case, mark, number or nothing, and plain fillers."""
     total = docs.count()
     share = max(1, math.ceil(1_000_000 * min(1.0, count / max(total, 1))))
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text").distinct()
-    known = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(documentation()), _GAP)).alias("text"))
     words = hold(chosen.union(known), "w", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,15}"), F.lit(0))).where("size(w) > 0")
     at = F.sequence(F.lit(1), F.size("w"))
     capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 99))
@@ -145,9 +143,18 @@ def log_ratios(random: DataFrame, ordinary: DataFrame, prior: float = 0.5) -> li
 
 
 def train(docs: DataFrame) -> list[float]:
-    """The pair table learnt from random strings and from words of ``docs`` (text)."""
-    docs = docs.where("text is not null").select("text")
-    return log_ratios(random_strings(docs.sparkSession), ordinary_strings(docs))
+    """The pair table learnt from random strings and from words of ``docs`` (text) and of the documentation.
+
+    The documentation is handed over as a file in the shared folder, so no plan holds it.
+    """
+    spark, docs = docs.sparkSession, docs.where("text is not null").select("text")
+    path = scratch_path(spark, "ordinary-texts")
+    write_text(spark, path, documentation())
+    try:
+        known = spark.read.text(path).select(F.col("value").alias("text"))
+        return log_ratios(random_strings(spark), ordinary_strings(docs, known))
+    finally:
+        remove_path(spark, path)
 
 
 def pair_ratios(value: Column, table: list[float]) -> Column:
