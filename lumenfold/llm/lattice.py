@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import remove_path, scratch_path, settle, ship
 from lumenfold.llm.unigram import MARK, piece_scores
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 #: Words up to this length share array steps.
 MAX_SHARED = 128
 #: Cells (words x positions) of one array step.

@@ -66,9 +66,58 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def word_codes(text: str) -> np.ndarray:
-    """A 64-bit code per word."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in text.encode("utf-8").split()], np.uint64)
+#: Bytes whose powers are held at once.
+CODE_BYTES = 1 << 20
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of an odd number modulo 2 ** 64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n, CODE_BYTES) + 1
+        bases = (_BASE, pow(_BASE, -1, 1 << 64))
+        found = [np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in bases]
+        if n > CODE_BYTES:
+            return found[0], found[1]
+        _POWERS[:] = found
+    return _POWERS[0], _POWERS[1]
+
+
+def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, 64-bit codes) of the words of some UTF-8 bytes: differences of a running polynomial."""
+    word = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    first, stop = edges[::2], edges[1::2]
+    power, back = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return first, _mix((total[stop] - total[first]) * back[first] + (stop - first).astype(np.uint64) * _ODD)
+
+
+def word_codes(texts: list[str]) -> list[np.ndarray]:
+    """A 64-bit code per word of each text; equal words have equal codes wherever they stand."""
+    raw = [t.encode("utf-8") for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    firsts, codes, low = [], [], 0
+    while low < len(data):
+        high = min(low + CODE_BYTES, len(data))
+        if high < len(data):
+            # A block ends with a word's end: the last in it, or the first after it.
+            inside = np.flatnonzero(_SPACE[data[low:high]])
+            high = low + int(inside[-1]) + 1 if len(inside) else high
+            while not len(inside):
+                more = np.flatnonzero(_SPACE[data[high : high + CODE_BYTES]])
+                high += int(more[0]) + 1 if len(more) else CODE_BYTES
+                inside = more
+        first, code = _codes(data[low:high])
+        firsts.append(first + low)
+        codes.append(code)
+        low = high
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    cuts = np.searchsorted(np.concatenate(firsts), ends) if firsts else []
+    return np.split(np.concatenate(codes), cuts[:-1]) if texts else []
 
 
 def select(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +160,7 @@ def suffixes(docs: DataFrame, narrow: bool = False) -> DataFrame:
         for batch in batches:
             for start, end, texts in _steps(batch.column(1), 1_000_000):
                 ids, found = batch.column(0).slice(start, end - start).to_pylist(), []
-                for doc_id, text in zip(ids, texts):
-                    codes = word_codes(text)
+                for doc_id, codes in zip(ids, word_codes(texts)):
                     places, *others = select(codes)
                     if len(places):
                         found.append((doc_id, places, *others, *(contexts(codes, places) if not narrow else ())))
