@@ -9,14 +9,19 @@ then joined to the whole rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.hashing import quarantine_id
 from lumenfold.operators.validate import validate
 from lumenfold.schema import BRONZE_COLUMNS
+from lumenfold.sources.tables import spread
 
+HUGE_METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
+#: Bytecodes above which the JVM never compiles a method to machine code.
+JIT_METHOD_LIMIT = "8000"
 #: From a table of event ids to those of them that are committed.
 Lookup = Callable[[DataFrame], DataFrame]
 
@@ -39,6 +44,34 @@ def materialize(df: DataFrame, location: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession):
+    """Within it, stages whose generated method the JVM would only interpret (as that of
+    the contract rules) run as one smaller generated class per operator instead."""
+    before = spark.conf.get(HUGE_METHOD_CONF, None)
+    if before == JIT_METHOD_LIMIT:
+        yield
+        return
+    spark.conf.set(HUGE_METHOD_CONF, JIT_METHOD_LIMIT)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(HUGE_METHOD_CONF)
+        else:
+            spark.conf.set(HUGE_METHOD_CONF, before)
+
+
+def stage_validated(
+    lines: DataFrame, location: str | None = None, strict_duplicates: bool = False, partitions: int | None = None
+) -> DataFrame:
+    """``validate`` of all lines, written once. Its cost per line is some hundred times that
+    of a shuffle, so without ``partitions`` the lines are dealt out by their bytes first."""
+    dealt = spread(lines) if partitions is None else lines
+    with compiled_methods(lines.sparkSession):
+        return materialize(validate(dealt, strict_duplicates, partitions), location)
+
+
 def route(
     lines: DataFrame,
     existing_ids: DataFrame | Lookup | None = None,
@@ -58,7 +91,7 @@ def route(
     again nor shuffles whole rows while that table is small.
     """
     if checked is None:
-        checked = materialize(validate(lines, strict_duplicates, partitions))
+        checked = stage_validated(lines, None, strict_duplicates, partitions)
     valid = checked.filter(F.col("reason_code").isNull())
     rejected = checked.filter(F.col("reason_code").isNotNull())
     twice = duplicate_lines(valid.select("event_id", "line_number"), existing_ids)

@@ -151,6 +151,10 @@ def _stage_types(df: DataFrame) -> DataFrame:
     return df.withColumns(props).withColumns(types)
 
 
+def _is_number(t: Column) -> Column:
+    return t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")
+
+
 def _int_value(v: Column, t: Column) -> Column:
     """Lax integer coercion: integral numbers, booleans and integral numeric
     text are accepted; fractions are not."""
@@ -199,7 +203,8 @@ def _values_exprs() -> dict[str, Column]:
     for name in _TS_FIELDS:
         f = F.col(f"f_{name}")
         values[f"x_{name}"] = F.when(F.col(f"t_{name}") == "STRING", f.try_cast("string"))
-        values[f"n_{name}"] = f.try_cast("double")
+        # Casting a time's text to a number would raise and catch an exception per line.
+        values[f"n_{name}"] = F.when(_is_number(F.col(f"t_{name}")), f.try_cast("double"))
     # Top-level keys straight from the line (it is valid JSON whenever doc is).
     values["root_keys"] = F.json_object_keys(F.col("raw"))
     values["prop_keys"] = F.json_object_keys(F.to_json(F.col("f_properties")))
@@ -216,7 +221,7 @@ def _timestamp_exprs() -> dict[str, Column]:
     out: dict[str, Column] = {}
     for name in _TS_FIELDS:
         t, txt, num = F.col(f"t_{name}"), F.col(f"x_{name}"), F.col(f"n_{name}")
-        is_num = t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")
+        is_num = _is_number(t)
         numeric_text = txt.rlike(_NUMERIC_TEXT)
         has_offset = txt.rlike(_OFFSET)
         parsed_text = _text_to_ts(txt)

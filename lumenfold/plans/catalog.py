@@ -32,8 +32,8 @@ from lumenfold.session import checkpoint_dir, ensure_checkpoint_dir, ensure_utc
 from lumenfold.functions.hashing import check_secret, pseudonymize, pseudonymizer
 from lumenfold.operators.audit import constraint_audit, constraint_violations
 from lumenfold.operators.privacy import scan_text
-from lumenfold.sources.tables import read_table
-from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, reason_summary, receipt_counts, route
+from lumenfold.sources.tables import read_table, spread
+from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, reason_summary, receipt_counts, route, stage_validated
 from lumenfold.schema import GOLD_TABLES
 from lumenfold.sources.adapters import RAW_BATCH_ID, RULE_CASES, contract_columns, load_bronze, load_raw_lines, rule_lines
 from lumenfold.sources.ndjson import lines_digest, read_ndjson, records_to_lines, write_ndjson
@@ -158,7 +158,7 @@ def _routed(spark, sf_dir, finish):
     """``finish`` of the routed raw lines, on its own; the staged batch is removed."""
     staging = _scratch(ensure_utc(spark), "stage")
     lines = load_raw_lines(spark, sf_dir)
-    checked = materialize(validate(lines, partitions=spark.sparkContext.defaultParallelism), staging)
+    checked = stage_validated(lines, staging)
     return _keep_result(spark, finish(route(lines, checked=checked)), staging)
 
 
@@ -453,7 +453,7 @@ def q_null_parts(spark, sf_dir):
 
 def q_contract_rules(spark, sf_dir):
     """A changed line per event and rule; verdicts, rule codes and levels by case."""
-    lines = rule_lines(read_table(ensure_utc(spark), sf_dir, "events", ("event_id",)))
+    lines = rule_lines(spread(read_table(ensure_utc(spark), sf_dir, "events", ("event_id",))))
     case = ((F.col("line_number") - 1) % len(RULE_CASES)).cast("int").alias("case_no")
     return (
         validate(lines)

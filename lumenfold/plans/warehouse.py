@@ -46,13 +46,12 @@ from lumenfold.operators.audit import constraint_audit
 from lumenfold.operators.cohorts import CohortReview, cohort_review
 from lumenfold.operators.daily import daily_metrics
 from lumenfold.operators.funnel import funnel
-from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, receipt_counts, route
+from lumenfold.operators.ingest import bronze_rows, materialize, quarantine_rows, receipt_counts, route, stage_validated
 from lumenfold.operators.ordering import bucket_plan
 from lumenfold.operators.players import player_summary
 from lumenfold.operators.retention import retention
 from lumenfold.operators.sessions import sessions
 from lumenfold.operators.silver import silver
-from lumenfold.operators.validate import validate
 from lumenfold.plans.commits import CommitLog, put_if_absent, read_text
 from lumenfold.plans.ids import FEW, EventIds
 from lumenfold.schema import (
@@ -235,7 +234,7 @@ class Warehouse:
     def _validate_route_commit(
         self, lines: DataFrame, batch_id: str, source_sha256: str, strict: bool, staging: str, number: int
     ) -> IngestionResult:
-        checked = materialize(validate(lines, strict_duplicates=strict), f"{staging}/lines")
+        checked = stage_validated(lines, f"{staging}/lines", strict_duplicates=strict)
         if strict:
             refused = checked.filter(F.col("strict_refused"))
             if refused.limit(1).count() > 0:

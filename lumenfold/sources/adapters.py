@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.timeutil import late_flag
 from lumenfold.schema import LATE_ARRIVAL_HOURS, SCHEMA_VERSION
-from lumenfold.sources.tables import EVENTS_COLUMNS, read_table
+from lumenfold.sources.tables import EVENTS_COLUMNS, read_table, spread
 
 # Fixed values of the adapter.
 TYPE_MAP = {
@@ -143,7 +143,8 @@ def raw_event_lines(events: DataFrame, batch_id: str = RAW_BATCH_ID) -> DataFram
 
 
 def load_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_event_lines(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
+    # The narrow rows are dealt out, not the lines that are built of them.
+    return raw_event_lines(spread(read_table(spark, sf_dir, "events", EVENTS_COLUMNS)))
 
 
 # Fixed plan of one change per line for the contract rules: by event id modulo the
