@@ -177,12 +177,19 @@ def _epoch_to_ts(seconds_or_ms: Column) -> Column:
     return F.when(secs.between(*EPOCH_SECONDS), F.timestamp_micros(F.floor(secs * 1_000_000).try_cast("bigint")))
 
 
-def _text_to_ts(txt: Column) -> Column:
+def _text_parts(name: str) -> dict[str, Column]:
+    """What ``_text_to_ts`` needs of a time's text: columns, as each is used several times."""
+    txt = F.col(f"x_{name}")
+    parts = {f"{part}_{name}": F.regexp_extract(txt, _DATE_TIME, i) for i, part in ((1, "date"), (2, "time"))}
+    parts |= {f"{part}_{name}": F.regexp_extract(txt, _OFFSET_PARTS, i) for i, part in ((1, "sign"), (2, "hours"), (3, "minutes"))}
+    return parts | {f"numeric_{name}": txt.rlike(_NUMERIC_TEXT), f"offset_{name}": txt.rlike(_OFFSET)}
+
+
+def _text_to_ts(name: str) -> Column:
     """Whole date and time, taken as UTC, less the offset that is written (under a day)."""
-    date, time = (F.regexp_extract(txt, _DATE_TIME, i) for i in (1, 2))
+    date, time, sign, hours, minutes = (F.col(f"{part}_{name}") for part in ("date", "time", "sign", "hours", "minutes"))
     full = F.when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
     local = F.when(date != "", F.try_to_timestamp(F.concat(date, F.lit("T"), full, F.lit("Z"))))
-    sign, hours, minutes = (F.regexp_extract(txt, _OFFSET_PARTS, i) for i in (1, 2, 3))
     shift = hours.try_cast("bigint") * 60 + minutes.try_cast("bigint")
     signed = F.when(sign == "-", -shift).when(sign == "+", shift).otherwise(F.lit(0).cast("bigint"))
     small = (sign == "") | ((hours.try_cast("int") < 24) & (minutes.try_cast("int") < 60))
@@ -214,24 +221,26 @@ def _values_exprs() -> dict[str, Column]:
 def _stage_timestamps(df: DataFrame) -> DataFrame:
     """Text must carry a UTC offset; epoch numbers (seconds, or milliseconds
     above 2e10) are UTC by definition."""
-    return df.withColumns(_cached("timestamps", _timestamp_exprs))
+    parts, stamps, values = _cached("timestamps", _timestamp_exprs)
+    return df.withColumns(parts).withColumns(stamps).withColumns(values)
 
 
-def _timestamp_exprs() -> dict[str, Column]:
+def _timestamp_exprs() -> tuple[dict[str, Column], ...]:
+    parts: dict[str, Column] = {}
+    stamps: dict[str, Column] = {}
     out: dict[str, Column] = {}
     for name in _TS_FIELDS:
-        t, txt, num = F.col(f"t_{name}"), F.col(f"x_{name}"), F.col(f"n_{name}")
-        is_num = _is_number(t)
-        numeric_text = txt.rlike(_NUMERIC_TEXT)
-        has_offset = txt.rlike(_OFFSET)
-        parsed_text = _text_to_ts(txt)
+        txt, num = F.col(f"x_{name}"), F.col(f"n_{name}")
+        numeric_text, has_offset, stamp = (F.col(f"{part}_{name}") for part in ("numeric", "offset", "stamp"))
+        parts |= _text_parts(name)
+        stamps[f"stamp_{name}"] = _text_to_ts(name)
         out[f"v_{name}"] = (
-            F.when(is_num, _epoch_to_ts(num))
+            F.when(_is_number(F.col(f"t_{name}")), _epoch_to_ts(num))
             .when(numeric_text, _epoch_to_ts(txt.try_cast("double")))
-            .when(has_offset, parsed_text)
+            .when(has_offset, stamp)
         )
-        out[f"naive_{name}"] = ~numeric_text & ~has_offset & parsed_text.isNotNull()
-    return out
+        out[f"naive_{name}"] = ~numeric_text & ~has_offset & stamp.isNotNull()
+    return parts, stamps, out
 
 
 def _present(name: str) -> Column:
