@@ -4,6 +4,8 @@ Input: ``(batch_id, line_number, raw)`` rows (non-blank lines). Output adds
 ``reason_code`` (NULL = contract-valid so far), ``details`` and the typed v1
 columns. Everything is a projection -- no shuffle -- so it runs at scan
 speed; only candidate rows reach the Python JSON helper (see ``privacy``).
+Lines whose text alone shows that no rule fails (``_stage_fit``) are read by one
+plain parse; every other line takes the whole way.
 
 Routing precedence: invalid_json -> invalid_shape -> privacy_violation ->
 contract_violation (duplicate_event is decided later, across the batch).
@@ -33,6 +35,7 @@ from lumenfold.schema import (
     SCHEMA_VERSION,
 )
 
+LEVEL_EVENTS = ("level_start", "level_complete", "reset")
 DUPLICATE_KEYS_CONF = "spark.sql.variant.allowDuplicateKeys"
 _INT_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 _OFFSET = r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
@@ -151,6 +154,72 @@ def _stage_types(df: DataFrame) -> DataFrame:
     return df.withColumns(props).withColumns(types)
 
 
+# A member of a line in plain form: no escapes, no numbers but integers, times in UTC.
+_PLAIN_TIME = r'"[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|\+00:00)"'
+_PLAIN_INT = r"(?:0|[1-9][0-9]{0,8})"
+_PLAIN_PROPERTIES = {
+    "level": _PLAIN_INT,
+    "amount_cents": _PLAIN_INT,
+    "currency": f'"{CURRENCY_PATTERN.strip("^$")}"',
+    "reason": rf'"[A-Za-z0-9 _.,:;!?()/+-]{{{REASON_LENGTH[0]},{REASON_LENGTH[1]}}}"',
+}
+
+
+def _members(values: dict[str, str], unique: bool = False) -> str:
+    """One of the members and the comma that must follow it, unless the object ends there."""
+    again = {name: rf'(?![^}}]*"{name}")' if unique else "" for name in values}
+    each = "|".join(f'"{name}": ?{again[name]}{value}' for name, value in values.items())
+    return rf"(?:(?:{each})(?:, ?(?=\")|(?=\}})))"
+
+
+_PLAIN_FIELDS = {
+    "event_id": f'"{EVENT_ID_PATTERN.strip("^$")}"',
+    "event_time": _PLAIN_TIME,
+    "event_type": f'"(?:{"|".join(EVENT_TYPES)})"',
+    "game_version": r'"[0-9]{1,2}\.[0-9]+\.[0-9]+"',  # none that could pass for a phone number
+    "platform": f'"(?:{"|".join(PLATFORMS)})"',
+    "player_id": f'"{PLAYER_ID_PATTERN.strip("^$")}"',
+    "properties": rf"\{{{_members({n: f'(?:{v}|null)' for n, v in _PLAIN_PROPERTIES.items()}, unique=True)}*\}}",
+    "received_at": _PLAIN_TIME,
+    "schema_version": str(SCHEMA_VERSION),
+}
+_PLAIN_LINE = rf"\A\{{{_members(_PLAIN_FIELDS)}{{{len(_PLAIN_FIELDS)}}}\}}\z"
+_RECORD_SCHEMA = (
+    "event_id string, event_time string, event_type string, game_version string, platform string, player_id string,"
+    " properties struct<level: int, amount_cents: int, currency: string, reason: string>,"
+    " received_at string, schema_version int"
+)
+
+
+def _stage_fit(df: DataFrame) -> DataFrame:
+    """``_fit``: the line is contract-valid, as one regex and the few rules across fields show; its
+    values are in ``_record`` and ``_stamps``, its text in ``_line``. ``raw`` is NULL from here on
+    for these lines, so that the stages after this one do no work for them. A line of as many
+    members as the contract has fields in which no field is missing repeats none. Of its members
+    only a reason can hold what ``candidate`` looks for."""
+    record, stamps, fit = _cached("fit", _fit_exprs)
+    marked = df.withColumn("_record", record).withColumn("_stamps", stamps).withColumn("_fit", fit)
+    return marked.withColumns({"_line": F.col("raw"), "raw": F.when(~F.col("_fit"), F.col("raw"))})
+
+
+def _fit_exprs() -> tuple[Column, Column, Column]:
+    raw, record, stamps = F.col("raw"), F.col("_record"), F.col("_stamps")
+    plain = F.when(raw.rlike(_PLAIN_LINE), raw)
+    level, amount = record["properties"]["level"], record["properties"]["amount_cents"]
+    etype = record["event_type"]
+    rules = [record[name].isNotNull() for name in _PLAIN_FIELDS]
+    rules += [stamps["received_at"] >= stamps["event_time"]]
+    rules += [v.isNull() | v.between(*bounds) for v, bounds in ((level, LEVEL_RANGE), (amount, AMOUNT_RANGE))]
+    rules += [~etype.isin(*LEVEL_EVENTS) | level.isNotNull()]
+    rules += [(etype != "purchase") | (amount.isNotNull() & record["properties"]["currency"].isNotNull())]
+    rules += [record["properties"]["reason"].isNull() | ~candidate(raw)]
+    fit = rules[0]
+    for rule in rules[1:]:
+        fit = fit & rule
+    times = F.struct(*(F.try_to_timestamp(record[name]).alias(name) for name in _TS_FIELDS))
+    return F.from_json(plain, _RECORD_SCHEMA), times, F.coalesce(fit, F.lit(False))
+
+
 def _is_number(t: Column) -> Column:
     return t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")
 
@@ -293,7 +362,7 @@ def _codes_expr() -> Column:
     rsn = F.col("v_reason")
     rules.append((_present("reason") & (rsn.isNull() | ~F.length(rsn).between(*REASON_LENGTH)), "reason:length"))
     etype = F.col("v_event_type")
-    rules.append((etype.isin("level_start", "level_complete", "reset") & F.col("v_level").isNull(), "level:required"))
+    rules.append((etype.isin(*LEVEL_EVENTS) & F.col("v_level").isNull(), "level:required"))
     rules.append(
         (
             (etype == "purchase") & (F.col("v_amount_cents").isNull() | F.col("v_currency").isNull()),
@@ -322,7 +391,7 @@ TYPED_COLUMNS = (
 
 
 def _verdict_exprs() -> dict:
-    doc_ok = F.col("doc_ok")
+    doc_ok, fit = F.col("doc_ok"), F.col("_fit")
     insp = F.col("insp")
     needs_python = ~doc_ok | (F.col("object_root") & candidate(F.col("raw")))
     e: dict = {
@@ -334,15 +403,17 @@ def _verdict_exprs() -> dict:
         },
         "privacy": F.when(F.col("_object"), insp.violations),
         "reason": (
-            F.when(~F.col("_parsed"), F.lit("invalid_json"))
+            F.when(fit, F.lit(None))
+            .when(~F.col("_parsed"), F.lit("invalid_json"))
             .when(~F.col("_object"), F.lit("invalid_shape"))
             .when(F.col("_privacy").isNotNull(), F.lit("privacy_violation"))
             .when(~doc_ok | (F.col("codes") != ""), F.lit("contract_violation"))
         ),
         # Strict input (A11): a line that *is* JSON but has duplicate keys,
         # non-finite numbers or a non-object root refuses the whole input.
-        "strict_refused": (doc_ok & (~F.col("dup_free") | ~F.col("object_root")))
-        | (F.coalesce(insp.parsed, F.lit(False)) & insp.refused.isNotNull()),
+        "strict_refused": ~fit
+        & ((doc_ok & (~F.col("dup_free") | ~F.col("object_root")))
+        | (F.coalesce(insp.parsed, F.lit(False)) & insp.refused.isNotNull())),
     }
     rc = F.col("reason_code")
     details = (
@@ -372,13 +443,16 @@ def _verdict_exprs() -> dict:
         "currency": F.col("v_currency"),
         "reason": F.col("v_reason"),
     }
+    record = F.col("_record")
+    plain = {c: record["properties"][c] if c in PROPERTY_FIELDS else record[c] for c in TYPED_COLUMNS}
+    plain |= {c: F.col("_stamps")[c] for c in _TS_FIELDS}
     e["output"] = [
         F.col("batch_id"),
         F.col("line_number"),
-        F.col("raw"),
+        F.col("_line").alias("raw"),
         F.col("reason_code"),
         details.alias("details"),
-        *[typed[c].alias(c) for c in TYPED_COLUMNS],
+        *[F.when(fit, plain[c]).otherwise(typed[c]).alias(c) for c in TYPED_COLUMNS],
     ]
     e["is_late"] = F.when(
         F.col("reason_code").isNull(), late_flag("event_time", "received_at", LATE_ARRIVAL_HOURS)
@@ -393,7 +467,8 @@ def validate(lines: DataFrame, strict_duplicates: bool = False, partitions: int
     ``partitions`` deals the lines round-robin to so many tasks first; by
     default they stay where the scan has them."""
     e = _cached("verdict", _verdict_exprs)
-    parsed = parse_lines(lines if partitions is None else lines.repartition(partitions), strict_duplicates)
+    dealt = _stage_fit(lines if partitions is None else lines.repartition(partitions))
+    parsed = parse_lines(dealt, strict_duplicates)
     staged = parsed.withColumn("object_root", e["object_root"]).withColumn("insp", e["insp"])
     staged = _stage_codes(_stage_timestamps(_stage_values(_stage_types(staged))))
     staged = staged.withColumns(e["flags"]).withColumn("_privacy", e["privacy"])

@@ -16,7 +16,8 @@ from conftest import canonical, lines_df
 from lumenfold.functions.hashing import hmac_pads, pseudonymize
 from lumenfold.operators.ingest import route
 from lumenfold.operators.privacy import scan_json
-from lumenfold.operators.validate import validate
+from lumenfold.operators.privacy import candidate
+from lumenfold.operators.validate import _stage_fit, validate
 
 
 def verdicts(spark, raws):
@@ -154,3 +155,42 @@ def test_text_scan_matches_python_rules_on_driver_texts(spark):
             if labels:
                 expected[tuple(r[k] for k in keys)] = "; ".join(labels)
         assert got == expected, table
+
+
+def plain(make, **changed):
+    return canonical(make(event_type="level_start", properties={"level": 3}) | changed)
+
+
+def test_valid_lines_in_plain_form_skip_the_long_way(spark, make):
+    """In any order of the keys; ``raw`` is what the costly stages see."""
+    record = json.loads(plain(make))
+    lines = [canonical(record), json.dumps(dict(reversed(record.items()))), plain(make, properties={"level": None, "reason": "ok"}, event_type="purchase")]
+    seen = {r["line_number"]: r for r in _stage_fit(lines_df(spark, lines)).collect()}
+    assert [(seen[n]["_fit"], seen[n]["raw"]) for n in (1, 2, 3)] == [(True, None), (True, None), (False, lines[2])]
+    assert [seen[n]["_line"] for n in (1, 2, 3)] == lines
+    assert verdicts(spark, lines) == {1: (None, None), 2: (None, None), 3: ("contract_violation", '["purchase:amount_and_currency_required"]')}
+
+
+def test_lines_that_only_look_plain_take_the_long_way(spark, make):
+    line = plain(make)
+    odd = [
+        line + "x", line[:-1] + ",}", "[" + line + "]", line.replace(":3", ":03"), line.replace(":3", ":1001"), line.replace(":3", ':3,"level":0'),
+        line.replace('"platform":"pc"', '"platform":"pc","platform":"mobile"'), line.replace('"platform":"pc"', '"event_type":"reset"'),
+        plain(make, event_time="2026-02-30T12:00:00Z"), plain(make, received_at="2020-01-01T00:00:00Z"), plain(make, game_version="123.456.7890"),
+        plain(make, properties={"level": 3, "reason": "call 619-555-0101"}), plain(make, properties={"level": 3, "reason": "my token"}),
+    ]
+    marked = _stage_fit(lines_df(spark, odd)).collect()
+    assert [r["_line"] for r in marked if r["_fit"]] == []
+    out = verdicts(spark, odd)
+    assert [out[n][0] for n in (1, 2, 3)] == ["invalid_json", "invalid_json", "invalid_shape"]
+    assert [out[n][0] for n in (11, 12)] == ["privacy_violation"] * 2
+    assert [out[n][0] for n in (4, 5, 6, 8, 9, 10)] == ["invalid_json"] + ["contract_violation"] * 5
+    assert out[7] == out[13] == (None, None)
+
+
+def test_no_plain_line_is_a_candidate_for_the_privacy_scan(spark, make):
+    reasons = [None, "ok", "a name", "Bearer 123456789012", "619.555.0101", "apikey"]
+    lines = [plain(make, properties={"level": 3, "reason": r}, game_version=v) for r in reasons for v in ("12.345.6789", "1.2.3", "1.123.456.7890")]
+    marked = _stage_fit(lines_df(spark, lines))
+    assert marked.where(F.col("_fit")).count() == 4
+    assert marked.where(F.col("_fit") & candidate(F.col("_line"))).count() == 0
