@@ -103,13 +103,19 @@ def raw_event_lines(events: DataFrame, batch_id: str = RAW_BATCH_ID) -> DataFram
     events, with deterministic corruptions keyed on the integer event id.
 
     Line numbers are ``2 * id + 1`` (``+ 1`` for a duplicate's second copy);
-    the gaps behave like blank lines. Pure projection + explode: no shuffle.
+    the gaps behave like blank lines. Pure projection + explode: no shuffle. The
+    copies are made of the narrow rows: a filter by line number is then applied
+    before lines are built, not after.
     """
-    typed = contract_columns(events, keep=("event_id",), keep_as=("src_id",))
+    twice = F.col("event_id") % CORRUPT_DUPLICATE == 0
+    copies = F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copied = events.select("*", F.explode(copies).alias("copy"))
+    typed = contract_columns(copied, keep=("event_id", "copy"), keep_as=("src_id", "copy"))
     sid = F.col("src_id")
     reason = F.when(sid % CORRUPT_PHONE_VALUE == 0, F.lit("call 619-555-0101"))
     record = typed.select(
         "src_id",
+        "copy",
         F.when(sid % CORRUPT_SENSITIVE_KEY == 0, F.lit("player@example.test")).alias("contact_email"),
         F.when(sid % CORRUPT_BAD_ID == 0, F.upper("event_id")).otherwise(F.col("event_id")).alias("event_id"),
         F.date_format("event_time", ISO_UTC).alias("event_time"),
@@ -128,17 +134,16 @@ def raw_event_lines(events: DataFrame, batch_id: str = RAW_BATCH_ID) -> DataFram
     )
     from lumenfold.sources.ndjson import canonical_json  # local: avoids an import cycle
 
-    body = canonical_json(record.drop("src_id"), nulls=False)
+    body = canonical_json(record.drop("src_id", "copy"), nulls=False)
     raw = (
         F.when(sid % CORRUPT_INVALID_JSON == 0, F.concat(F.lit('{"event_id": broken '), sid.cast("string")))
         .when(sid % CORRUPT_NOT_OBJECT == 0, F.concat(F.lit("["), sid.cast("string"), F.lit("]")))
         .otherwise(body)
     )
-    copies = F.when(sid % CORRUPT_DUPLICATE == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return record.select(sid, raw.alias("raw"), F.explode(copies).alias("copy")).select(
+    return record.select(
         F.lit(batch_id).alias("batch_id"),
         (F.col("src_id") * 2 + 1 + F.col("copy")).cast("bigint").alias("line_number"),
-        "raw",
+        raw.alias("raw"),
     )
 
 

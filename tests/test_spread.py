@@ -69,3 +69,14 @@ def test_batch_of_one_task_is_validated_by_several(spark, workdir, small_partiti
     assert checked.count() == lines.count()
     plain = validate(lines)
     assert sorted(map(repr, checked.drop("task").collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_a_filter_by_line_number_comes_before_lines_are_built(spark, workdir):
+    folder = one_row_group(workdir, 600)
+    lines = load_raw_lines(spark, folder)
+    part = lines.where(F.shiftright(F.col("line_number") - 1, 1) % 3 == 0)
+    plan = part._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("date_format") < plan.index("% 3")  # operators are listed from the last to the first
+    rows = {(r["line_number"], r["raw"]) for r in lines.collect()}
+    assert len(rows) == 600 + len(range(0, 600, 73))
+    assert {tuple(r) for r in part.select("line_number", "raw").collect()} == {r for r in rows if (r[0] - 1) // 2 % 3 == 0}
